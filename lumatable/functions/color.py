@@ -9,11 +9,20 @@ from pyspark.sql import Column, functions as F
 from .numeric import clamp01
 
 
-def byte_to_linear(byte: Column) -> Column:
-    """sRGB byte to linear light through a 256-entry table built from the rule."""
-    levels = [v / 255 for v in range(256)]
-    table = [v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4 for v in levels]
-    return F.get(F.lit(table), byte)
+def _decode(v: float) -> float:
+    return v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
+
+
+_LINEAR_TABLE = "array(" + ", ".join(f"{_decode(b / 255)!r}D" for b in range(256)) + ")"
+
+
+def byte_to_linear_sql(byte: str) -> str:
+    """sRGB byte to linear light through a 256-entry constant array built from the rule."""
+    return f"{_LINEAR_TABLE}[{byte}]"
+
+
+def byte_to_linear(byte: Column | str) -> Column:
+    return F.expr(byte_to_linear_sql(byte))
 
 
 def srgb_to_linear(v: Column) -> Column:
@@ -68,7 +77,7 @@ def _row(weights, u: Column, v: Column, w: Column) -> Column:
 
 
 def with_linear(df, names=("lr", "lg", "lb"), source=("r", "g", "b")):
-    return df.withColumns({n: byte_to_linear(F.col(s)) for n, s in zip(names, source)})
+    return df.withColumns({n: byte_to_linear(s) for n, s in zip(names, source)})
 
 
 def with_oklab(df, source=("lr", "lg", "lb"), names=("lab_l", "lab_a", "lab_b")):

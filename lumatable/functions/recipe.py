@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
 from .. import schema as S
-from .numeric import all_of, any_of, clamp, total
+from .numeric import any_of, total
 
 
 def default_curve() -> Column:
@@ -70,23 +68,6 @@ def sort_curve(curve: Column) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: t["p"])
 
 
-def curve_segments(curve: Column) -> Column:
-    """Sorted points as segments ``x0, y0, x1, dy, dx`` for piecewise-linear lookup."""
-    pts = sort_curve(curve)
-    pairs = F.zip_with(
-        F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(0))),
-        F.slice(pts, 2, F.greatest(F.size(pts) - 1, F.lit(0))),
-        lambda p, q: F.struct(
-            p["x"].alias("x0"),
-            p["y"].alias("y0"),
-            q["x"].alias("x1"),
-            (q["y"] - p["y"]).alias("dy"),
-            F.greatest(F.lit(1e-4), q["x"] - p["x"]).alias("dx"),
-        ),
-    )
-    return F.when(F.size(pts) > 1, pairs)
-
-
 def curve_is_identity(curve: Column) -> Column:
     """True when looking up any value in [0, 1] gives that value back."""
     on_diagonal = F.forall(curve, lambda p: p["x"] == p["y"])
@@ -94,61 +75,80 @@ def curve_is_identity(curve: Column) -> Column:
     return curve.isNull() | (F.size(curve) == 0) | (on_diagonal & spans)
 
 
+# right ends of the first curve segments, compared one by one; longer curves use a sorted search
+INLINE_KNOTS = 6
+
+_SEGMENT_ARRAYS = {
+    "x0": "transform(slice(pts, 1, size(pts) - 1), p -> p.x)",
+    "y0": "transform(slice(pts, 1, size(pts) - 1), p -> p.y)",
+    "dy": "zip_with(slice(pts, 1, size(pts) - 1), slice(pts, 2, size(pts) - 1), (p, q) -> q.y - p.y)",
+    "dx": "zip_with(slice(pts, 1, size(pts) - 1), slice(pts, 2, size(pts) - 1), "
+    "(p, q) -> greatest(1e-4D, q.x - p.x))",
+}
+
+
 def render_constants(recipes):
-    """Everything that is constant per photo, computed once per recipe row.
+    """Everything that is constant per photo, computed once per recipe row, as one struct ``k``.
 
-    The per-pixel stages only read these ``k_*`` columns, so trigonometry, powers and
-    curve sorting cost one evaluation per photo instead of one per pixel.
+    The per-pixel stages only read fields of ``k``, so trigonometry, powers and curve sorting
+    cost one evaluation per photo instead of one per pixel. All fields used in arithmetic are
+    non-null, which keeps the generated code of the pixel loop small enough to be compiled.
     """
-    c = F.col
-    mask = {
-        k: F.coalesce(c("mask")[k], F.lit(v)) for k, v in S.MASK_FALLBACK.items()
-    }
-    angle = -mask["rotation"] * math.pi / 180.0
-    warmth = clamp((c("temperature") - 6500.0) / 4500.0, -1.0, 1.0)
-    tint = c("tint") / 100.0
-    identity = curve_is_identity(c("curve"))
-    pts = sort_curve(c("curve"))
-    return recipes.select(
-        "image_id",
-        (~has_adjustments() & ~curve_moves_pixels(c("curve"))).alias("k_neutral"),
-        F.pow(F.lit(2.0), c("exposure")).alias("k_gain"),
-        (warmth * 0.22 + 1.0 + tint * 0.08).alias("k_wb_r"),
-        (1.0 - tint * 0.1).alias("k_wb_g"),
-        (1.0 - warmth * 0.22 + tint * 0.08).alias("k_wb_b"),
-        F.pow(F.lit(2.0), c("contrast") / 55.0).alias("k_contrast"),
-        (c("clarity") / 100.0).alias("k_clarity"),
-        (c("saturation") / 100.0 + 1.0).alias("k_saturation"),
-        (c("vibrance") / 100.0).alias("k_vibrance"),
-        (c("shadows") / 100.0).alias("k_shadows"),
-        (c("highlights") / 100.0).alias("k_highlights"),
-        (c("whites") / 100.0).alias("k_whites"),
-        (c("blacks") / 100.0).alias("k_blacks"),
-        (c("vignette") / 100.0).alias("k_vignette"),
-        (c("lensBrightness") / 100.0).alias("k_lens"),
-        F.pow(F.lit(2.0), c("maskExposure")).alias("k_mask_gain"),
-        (
-            F.greatest(F.lit(0.02), c("maskFeather") / 100.0 * 0.7) * 2.2 + 1.0
-        ).alias("k_mask_outer"),
-        mask["x"].alias("k_mask_x"),
-        mask["y"].alias("k_mask_y"),
-        F.cos(angle).alias("k_mask_cos"),
-        F.sin(angle).alias("k_mask_sin"),
-        F.greatest(F.lit(0.02), mask["width"] / 2.0).alias("k_mask_rx"),
-        F.greatest(F.lit(0.02), mask["height"] / 2.0).alias("k_mask_ry"),
-        F.when(~identity, F.coalesce(curve_segments(c("curve")), F.expr(
-            "cast(array() as array<struct<x0:double,y0:double,x1:double,dy:double,dx:double>>)"
-        ))).alias("k_segments"),
-        F.when(~identity, F.get(pts, F.lit(0))["x"]).alias("k_curve_x0"),
-        F.when(~identity, F.get(pts, F.lit(0))["y"]).alias("k_curve_y0"),
-        F.when(~identity, F.get(pts, F.size(pts) - 1)["y"]).alias("k_curve_end"),
-        (c("noiseReduction") / 100.0).alias("k_denoise"),
-        (c("sharpness") / 100.0).alias("k_sharpen"),
-        c("rotation").alias("k_rotation"),
-        (c("flipHorizontal") != 0.0).alias("k_flip_h"),
-        (c("flipVertical") != 0.0).alias("k_flip_v"),
+    mask = {k: f"coalesce(mask.{k}, {v}D)" for k, v in S.MASK_FALLBACK.items()}
+    warm = "least(1D, greatest(-1D, (temperature - 6500D) / 4500D))"
+    angle = f"(-{mask['rotation']} * pi() / 180D)"
+    recipes = recipes.withColumns(
+        {
+            "pts": F.when(~curve_is_identity(F.col("curve")), sort_curve(F.col("curve"))),
+            "neutral": F.coalesce(
+                ~has_adjustments() & ~curve_moves_pixels(F.col("curve")), F.lit(False)
+            ),
+        }
     )
-
-
-def all_default() -> Column:
-    return all_of(F.col(k) == v for k, v in S.ADJUSTMENT_DEFAULTS.items())
+    # sentinel arrays keep the fields non-null where no curve is active
+    arrays = {
+        name: f"coalesce(CASE WHEN size(pts) > 1 THEN {body} END, array(0D))"
+        for name, body in _SEGMENT_ARRAYS.items()
+    }
+    inf = "double('Infinity')"
+    fields = {
+        "neutral": "neutral",
+        "gain": "pow(2D, exposure)",
+        "wb_r": f"1D + {warm} * 0.22D + tint / 100D * 0.08D",
+        "wb_g": "1D - tint / 100D * 0.1D",
+        "wb_b": f"1D - {warm} * 0.22D + tint / 100D * 0.08D",
+        "contrast": "pow(2D, contrast / 55D)",
+        "clarity": "clarity / 100D",
+        "saturation": "1D + saturation / 100D",
+        "vibrance": "vibrance / 100D",
+        "shadows": "shadows / 100D",
+        "highlights": "highlights / 100D",
+        "whites": "whites / 100D",
+        "blacks": "blacks / 100D",
+        "vignette": "vignette / 100D",
+        "lens": "lensBrightness / 100D",
+        "mask_gain": "pow(2D, maskExposure) - 1D",
+        "mask_span": "1D + greatest(0.02D, maskFeather / 100D * 0.7D) * 2.2D - 1D",
+        "mask_x": mask["x"],
+        "mask_y": mask["y"],
+        "mask_cos": f"cos{angle}",
+        "mask_sin": f"sin{angle}",
+        "mask_rx": f"greatest(0.02D, {mask['width']} / 2D)",
+        "mask_ry": f"greatest(0.02D, {mask['height']} / 2D)",
+        # 0: no curve, 1: few points, 2: many points
+        "curve": f"CASE WHEN pts IS NULL THEN 0 WHEN size(pts) <= {INLINE_KNOTS + 1} THEN 1 ELSE 2 END",
+        "curve_x": f"coalesce(get(pts, 0).x, {inf})",
+        "curve_y": "coalesce(get(pts, 0).y, 0D)",
+        "curve_end_x": f"coalesce(get(pts, size(pts) - 1).x, {inf})",
+        "curve_end_y": "coalesce(get(pts, size(pts) - 1).y, 0D)",
+        **{f"knot{i}": f"coalesce(get(pts, {i}).x, {inf})" for i in range(1, INLINE_KNOTS)},
+        "knots": "coalesce(transform(slice(pts, 2, greatest(size(pts) - 1, 0)), p -> p.x), array(0D))",
+        **{f"seg_{n}": body for n, body in arrays.items()},
+        "denoise": "noiseReduction / 100D",
+        "sharpen": "sharpness / 100D",
+        "rotation": "rotation",
+        "flip_h": "flipHorizontal <> 0D",
+        "flip_v": "flipVertical <> 0D",
+    }
+    k = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ") AS k"
+    return recipes.selectExpr("image_id", "width", "height", k)

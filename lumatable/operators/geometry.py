@@ -2,111 +2,108 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_up
+from ..plans.joins import has_few_rows, join_per_image
 from .. import schema as S
 
 
+def _with(df: DataFrame, **exprs: str) -> DataFrame:
+    return df.withColumns({name: F.expr(e) for name, e in exprs.items()})
+
+
 def frame_geometry(dims: DataFrame) -> DataFrame:
-    """Add the output frame and the rotation constants to a table with one row per image.
+    """Add the struct ``geo`` (turn, flips, output frame) to a table with one row per image.
 
-    Reads ``width, height, k_rotation, k_flip_h, k_flip_v``. Quarter turns swap integer sizes;
-    other angles use the bounding box of the turned frame.
+    Reads ``width``, ``height`` and the rotation fields of ``k``. Quarter turns swap integer
+    sizes; other angles use the bounding box of the turned frame.
     """
-    turn = F.pmod(F.col("k_rotation"), F.lit(360.0))
-    dims = dims.withColumns(
-        {
-            "g_turn": turn,
-            "g_quarter": F.when(F.pmod(turn, F.lit(90.0)) == 0.0, (turn / 90.0).cast("int")),
-            "g_cos": F.cos(turn * math.pi / 180.0),
-            "g_sin": F.sin(turn * math.pi / 180.0),
-            "g_sx": F.when(F.col("k_flip_h"), -1.0).otherwise(1.0),
-            "g_sy": F.when(F.col("k_flip_v"), -1.0).otherwise(1.0),
-        }
+    dims = _with(dims, turn="pmod(k.rotation, 360D)")
+    dims = _with(
+        dims,
+        # -1 marks an angle that is not a quarter turn
+        quarter="CASE WHEN pmod(turn, 90D) = 0D THEN cast(turn / 90D as int) ELSE -1 END",
+        co="cos(turn * pi() / 180D)",
+        si="sin(turn * pi() / 180D)",
     )
-    q, w, h = F.col("g_quarter"), F.col("width"), F.col("height")
-
-    def box(cu, cv):
-        size = F.ceil(F.abs(w * F.col(cu)) + F.abs(h * F.col(cv)))
-        return F.greatest(F.lit(1), size.cast("int"))
-
-    return dims.withColumns(
-        {
-            "out_width": F.when(q.isin(0, 2), w).when(q.isin(1, 3), h).otherwise(
-                box("g_cos", "g_sin")
-            ),
-            "out_height": F.when(q.isin(0, 2), h).when(q.isin(1, 3), w).otherwise(
-                box("g_sin", "g_cos")
-            ),
-        }
+    box = "greatest(1, cast(ceil(abs(width * {0}) + abs(height * {1})) as int))"
+    dims = _with(
+        dims,
+        ow=f"CASE WHEN quarter IN (0, 2) THEN width WHEN quarter IN (1, 3) THEN height "
+        f"ELSE {box.format('co', 'si')} END",
+        oh=f"CASE WHEN quarter IN (0, 2) THEN height WHEN quarter IN (1, 3) THEN width "
+        f"ELSE {box.format('si', 'co')} END",
     )
-
-
-def _source_position(ox, oy):
-    """Continuous source position of the centre of an output pixel."""
-    dx = (ox + 0.5 - F.col("out_width") / 2.0) * F.col("g_sx")
-    dy = (oy + 0.5 - F.col("out_height") / 2.0) * F.col("g_sy")
-    px = F.col("width") / 2.0 + (dx * F.col("g_cos") + dy * F.col("g_sin"))
-    py = F.col("height") / 2.0 + (dy * F.col("g_cos") - dx * F.col("g_sin"))
-    return px, py
-
-
-def rotate_flip(pixels: DataFrame, dims: DataFrame) -> DataFrame:
-    """Turn and flip pixels that already carry their ``frame_geometry`` columns.
-
-    No join and no shuffle: a quarter turn is a projection of the coordinates. For any other
-    angle a source pixel can be the nearest source of at most four output pixels, so it
-    proposes those four and keeps the ones whose own inverse position falls inside it.
-    Output pixels with no source are generated from ``dims`` as transparent black.
+    return _with(
+        dims,
+        geo="named_struct('quarter', quarter, 'co', co, 'si', si, 'w', width, 'h', height, "
+        "'ow', ow, 'oh', oh, 'sx', CASE WHEN k.flip_h THEN -1D ELSE 1D END, "
+        "'sy', CASE WHEN k.flip_v THEN -1D ELSE 1D END)",
+    ).drop("turn", "quarter", "co", "si", "ow", "oh")
+
+
+# exact permutation of a quarter turn, then the flips inside the turned frame
+_TURN_X = "CASE geo.quarter WHEN 0 THEN x WHEN 1 THEN geo.h - 1 - y WHEN 2 THEN geo.w - 1 - x ELSE y END"
+_TURN_Y = "CASE geo.quarter WHEN 0 THEN y WHEN 1 THEN x WHEN 2 THEN geo.h - 1 - y ELSE geo.w - 1 - x END"
+_PLACE_X = "CASE WHEN geo.sx < 0D THEN geo.ow - 1 - qx ELSE qx END"
+_PLACE_Y = "CASE WHEN geo.sy < 0D THEN geo.oh - 1 - qy ELSE qy END"
+# continuous source position of the centre of output pixel (x, y)
+_BACK_X = (
+    "geo.w / 2D + ((x + 0.5D - geo.ow / 2D) * geo.sx * geo.co + (y + 0.5D - geo.oh / 2D) * geo.sy * geo.si)"
+)
+_BACK_Y = (
+    "geo.h / 2D + ((y + 0.5D - geo.oh / 2D) * geo.sy * geo.co - (x + 0.5D - geo.ow / 2D) * geo.sx * geo.si)"
+)
+# first output column / row whose centre can lie in the turned cell of source pixel (x, y)
+_REACH = "((abs(geo.co) + abs(geo.si)) / 2D + 0.5D + 1e-9D)"
+_FIRST_X = (
+    "cast(ceil(geo.ow / 2D + geo.sx * ((x + 0.5D - geo.w / 2D) * geo.co - (y + 0.5D - geo.h / 2D) * geo.si) "
+    f"- {_REACH}) as int)"
+)
+_FIRST_Y = (
+    "cast(ceil(geo.oh / 2D + geo.sy * ((x + 0.5D - geo.w / 2D) * geo.si + (y + 0.5D - geo.h / 2D) * geo.co) "
+    f"- {_REACH}) as int)"
+)
+
+
+def turn_quarters(pixels: DataFrame) -> DataFrame:
+    """Quarter turns and flips: a projection of the coordinates."""
+    pixels = _with(pixels, qx=_TURN_X, qy=_TURN_Y)
+    return _with(pixels, x=_PLACE_X, y=_PLACE_Y, width="geo.ow", height="geo.oh").drop("qx", "qy", "geo")
+
+
+def turn_freely(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Any angle, nearest source pixel, without a join.
+
+    A source pixel can be the nearest source of at most four output pixels, so it proposes
+    those four and keeps the ones whose own inverse position falls inside it. Output pixels
+    with no source are generated from ``dims`` as transparent black.
     """
-    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
-    q = F.col("g_quarter")
-    # the exact permutation, then the flips inside the turned frame
-    tx = F.when(q == 0, x).when(q == 1, h - 1 - y).when(q == 2, w - 1 - x).otherwise(y)
-    ty = F.when(q == 0, y).when(q == 1, x).when(q == 2, h - 1 - y).otherwise(w - 1 - x)
-    qx = F.when(F.col("k_flip_h"), F.col("out_width") - 1 - tx).otherwise(tx)
-    qy = F.when(F.col("k_flip_v"), F.col("out_height") - 1 - ty).otherwise(ty)
-
-    # forward position of the pixel centre and half extent of its turned cell
-    ux, uy = x + 0.5 - w / 2.0, y + 0.5 - h / 2.0
-    fx = F.col("out_width") / 2.0 + F.col("g_sx") * (ux * F.col("g_cos") - uy * F.col("g_sin"))
-    fy = F.col("out_height") / 2.0 + F.col("g_sy") * (ux * F.col("g_sin") + uy * F.col("g_cos"))
-    reach = (F.abs(F.col("g_cos")) + F.abs(F.col("g_sin"))) / 2.0 + 0.5 + 1e-9
-    first_x = F.ceil(fx - reach).cast("int")
-    first_y = F.ceil(fy - reach).cast("int")
-
-    def at(cx, cy):
-        return F.struct(cx.cast("int").alias("x"), cy.cast("int").alias("y"))
-
-    places = F.when(q.isNotNull(), F.array(at(qx, qy))).otherwise(
-        F.array(*[at(first_x + i, first_y + j) for j in (0, 1) for i in (0, 1)])
-    )
     keep = [c for c in pixels.columns if c not in ("x", "y")]
-    moved = pixels.select(*keep, x.alias("_sx"), y.alias("_sy"), F.explode(places).alias("_p"))
-    moved = moved.withColumns({"x": F.col("_p.x"), "y": F.col("_p.y")})
-    px, py = _source_position(F.col("x"), F.col("y"))
-    inside = (F.floor(px) == F.col("_sx")) & (F.floor(py) == F.col("_sy"))
-    on_frame = (
-        F.col("x").between(0, F.col("out_width") - 1)
-        & F.col("y").between(0, F.col("out_height") - 1)
+    moved = _with(pixels, sx="x", sy="y", qx=_FIRST_X, qy=_FIRST_Y).select(
+        *keep, "sx", "sy", "qx", "qy", F.expr("explode(array(0, 1, 2, 3)) AS n")
     )
-    covered = moved.filter(F.col("g_quarter").isNotNull() | (inside & on_frame)).select(
-        "x", "y", *keep
+    covered = _with(moved, x="qx + n % 2", y="qy + shiftright(n, 1)").filter(
+        "x BETWEEN 0 AND geo.ow - 1 AND y BETWEEN 0 AND geo.oh - 1 "
+        f"AND floor({_BACK_X}) = sx AND floor({_BACK_Y}) = sy"
     )
-
-    grid = full_grid(dims.filter(F.col("g_quarter").isNull()), "out_width", "out_height")
-    px, py = _source_position(F.col("x"), F.col("y"))
-    outside = (px < 0) | (py < 0) | (F.floor(px) >= F.col("width")) | (
-        F.floor(py) >= F.col("height")
+    blank = full_grid(_with(dims, ow="geo.ow", oh="geo.oh"), "ow", "oh").filter(
+        f"floor({_BACK_X}) NOT BETWEEN 0 AND geo.w - 1 "
+        f"OR floor({_BACK_Y}) NOT BETWEEN 0 AND geo.h - 1"
     )
-    blank = grid.filter(outside).withColumns({c: F.lit(0) for c in ("r", "g", "b", "a")})
-    return (
-        covered.unionByName(blank.select(*covered.columns))
-        .withColumns({"width": F.col("out_width"), "height": F.col("out_height")})
-        .drop("out_width", "out_height", "g_turn", "g_quarter", "g_cos", "g_sin", "g_sx", "g_sy")
+    blank = blank.withColumns({c: F.lit(0) for c in ("r", "g", "b", "a")})
+    out = ["x", "y", *keep]
+    turned = covered.select(*out).unionByName(blank.select(*out))
+    return _with(turned, width="geo.ow", height="geo.oh").drop("geo")
+
+
+def rotate_flip(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Turn and flip every photo by its recipe; ``dims`` holds ``frame_geometry`` per image."""
+    right, free = dims.filter("geo.quarter >= 0"), dims.filter("geo.quarter < 0")
+    small = has_few_rows(dims)
+    return turn_quarters(join_per_image(pixels, right, small)).unionByName(
+        turn_freely(join_per_image(pixels, free, small), free)
     )
 
 

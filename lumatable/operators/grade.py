@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
-from ..functions.color import byte_to_linear, linear_to_srgb, luma_2020, luma_709
-from ..functions.numeric import clamp, clamp01, half_up, length2, smoothstep
-from ..functions.recipe import default_curve, default_mask, render_constants
-from .geometry import frame_geometry, preview, preview_size, rotate_flip
+from ..functions.color import byte_to_linear_sql
+from ..functions.recipe import INLINE_KNOTS, default_curve, default_mask, render_constants
+from .geometry import frame_geometry, preview, preview_size, turn_freely, turn_quarters
+from ..plans.joins import has_few_rows, join_per_image
 from .tiles import TILE, tile_with_halo
 
 CHANNELS = ("r", "g", "b")
@@ -45,152 +45,166 @@ def complete_recipes(images: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def render_table(images: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Frame size and all per-photo constants, one row per image."""
-    full = complete_recipes(images, recipes)
-    return full.select("image_id", "width", "height").join(render_constants(full), "image_id")
+    """Frame size, constants ``k`` and geometry ``geo``: one row per image."""
+    dims = frame_geometry(render_constants(complete_recipes(images, recipes)))
+    # The one-element explode hides how the fields were computed. Without it the optimizer
+    # rewrites every filter on ``k`` or ``geo`` into the full recipe expressions of all branches,
+    # and planning takes minutes.
+    return dims.selectExpr("image_id", "inline(array(struct(width, height, k, geo)))")
 
 
 def attach_recipe(pixels: DataFrame, images: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Join each pixel to the constants of its photo.
-
-    No join hint: Spark broadcasts the constants while they are below its size threshold and
-    otherwise sorts and merges, where AQE splits the partition of a dominant photo.
-    """
-    return pixels.join(render_table(images, recipes), "image_id")
+    """Join each pixel to the constants of its photo (neutral ones where there is no recipe)."""
+    return join_per_image(pixels, render_table(images, recipes), has_few_rows(images))
 
 
 # --- row stages -------------------------------------------------------------
 
 
+def _with(px: DataFrame, **exprs: str) -> DataFrame:
+    return px.withColumns({name: F.expr(e) for name, e in exprs.items()})
+
+
+def _each(px: DataFrame, template: str, **values) -> DataFrame:
+    """Apply one expression template to the three linear channels."""
+    return _with(px, **{l: template.format(v=l, c=c) for l, c in zip(LINEAR, CHANNELS)})
+
+
+def _clamp01(v: str) -> str:
+    return f"least(1D, greatest(0D, {v}))"
+
+
+def _smooth(t: str) -> str:
+    return f"{t} * {t} * (3D - 2D * {t})"
+
+
 def normalized_coordinates(px: DataFrame) -> DataFrame:
-    return px.withColumns(
-        {
-            "nx": F.col("x") / F.greatest(F.lit(1), F.col("width") - 1),
-            "ny": F.col("y") / F.greatest(F.lit(1), F.col("height") - 1),
-        }
-    )
+    return _with(px, nx="x / greatest(1, width - 1)", ny="y / greatest(1, height - 1)")
 
 
 def radial_mask_weight(px: DataFrame) -> DataFrame:
     """Weight of the elliptic mask, 1 inside and 0 past the feather."""
-    dx, dy = F.col("nx") - F.col("k_mask_x"), F.col("ny") - F.col("k_mask_y")
-    c, s = F.col("k_mask_cos"), F.col("k_mask_sin")
-    d = length2((dx * c - dy * s) / F.col("k_mask_rx"), (dx * s + dy * c) / F.col("k_mask_ry"))
-    px = px.withColumn("mask_d", d)
-    return px.withColumn(
-        "mask_w", 1.0 - smoothstep(F.lit(1.0), F.col("k_mask_outer"), F.col("mask_d"))
-    ).drop("mask_d")
+    px = _with(
+        px,
+        mu="((nx - k.mask_x) * k.mask_cos - (ny - k.mask_y) * k.mask_sin) / k.mask_rx",
+        mv="((nx - k.mask_x) * k.mask_sin + (ny - k.mask_y) * k.mask_cos) / k.mask_ry",
+    )
+    px = _with(px, mt=_clamp01("(sqrt(mu * mu + mv * mv) - 1D) / k.mask_span"))
+    return _with(px, mask_w=f"1D - {_smooth('mt')}").drop("mu", "mv", "mt")
 
 
 def vignette_scale(px: DataFrame) -> DataFrame:
     """Edge brightness and vignette as one factor."""
-    d = F.least(F.lit(1.0), length2(F.col("nx") - 0.5, F.col("ny") - 0.5) / 0.707)
-    px = px.withColumn("edge_d", d)
-    d = F.col("edge_d")
-    scale = F.lit(1.0) + F.col("k_lens") * d * d * 0.65 - F.col("k_vignette") * d * d * 0.78
-    return px.withColumn(
-        "edge_scale",
-        F.when((F.col("k_lens") == 0.0) & (F.col("k_vignette") == 0.0), 1.0).otherwise(scale),
-    ).drop("edge_d")
+    px = _with(
+        px, ed="least(1D, sqrt((nx - 0.5D) * (nx - 0.5D) + (ny - 0.5D) * (ny - 0.5D)) / 0.707D)"
+    )
+    return _with(
+        px, edge="1D + k.lens * ed * ed * 0.65D - k.vignette * ed * ed * 0.78D"
+    ).drop("ed", "nx", "ny")
 
 
 def linearize(px: DataFrame) -> DataFrame:
-    return px.withColumns({l: byte_to_linear(F.col(c)) for l, c in zip(LINEAR, CHANNELS)})
+    return _with(px, **{l: byte_to_linear_sql(c) for l, c in zip(LINEAR, CHANNELS)})
 
 
 def gains(px: DataFrame) -> DataFrame:
     """Exposure, local exposure, edge factor and white balance."""
-    local = F.when(F.col("k_mask_gain") == 1.0, 1.0).otherwise(
-        (F.col("k_mask_gain") - 1.0) * F.col("mask_w") + 1.0
-    )
-    px = px.withColumn("gain", F.col("k_gain") * local * F.col("edge_scale"))
-    return px.withColumns(
-        {l: F.col(l) * (F.col("gain") * F.col(f"k_wb_{c}")) for l, c in zip(LINEAR, CHANNELS)}
-    ).drop("gain", "mask_w", "edge_scale", "nx", "ny")
+    px = _with(px, gain="k.gain * (1D + k.mask_gain * mask_w) * edge")
+    return _each(px, "{v} * (gain * k.wb_{c})").drop("gain", "mask_w", "edge")
 
 
 def tone_regions(px: DataFrame) -> DataFrame:
     """Shadows, highlights, whites, blacks, weighted by the luminance before all four."""
-    px = px.withColumn("lum", luma_2020(*map(F.col, LINEAR)))
-    lum = F.col("lum")
-    px = px.withColumn("lum1", clamp01(lum))
-    one = F.col("lum1")
-    px = px.withColumns(
-        {
-            "w_shadows": (1.0 - one) * (1.0 - one),
-            "w_highlights": one * one,
-            "w_whites": smoothstep(F.lit(0.55), F.lit(1.0), lum),
-            "w_blacks": 1.0 - smoothstep(F.lit(0.0), F.lit(0.42), lum),
-        }
+    px = _with(px, lum="0.2627D * lr + 0.678D * lg + 0.0593D * lb")
+    px = _with(
+        px,
+        lum1=_clamp01("lum"),
+        t_white=_clamp01("(lum - 0.55D) / (1D - 0.55D)"),
+        t_black=_clamp01("lum / 0.42D"),
+    )
+    px = _with(
+        px,
+        w_shadows="(1D - lum1) * (1D - lum1)",
+        w_highlights="lum1 * lum1",
+        w_whites=_smooth("t_white"),
+        w_blacks=f"1D - {_smooth('t_black')}",
     )
     for region, strength in (
-        ("shadows", 0.72), ("highlights", 0.72), ("whites", 0.62), ("blacks", 0.62),
+        ("shadows", "0.72D"), ("highlights", "0.72D"), ("whites", "0.62D"), ("blacks", "0.62D"),
     ):
-        amount, weight = F.col(f"k_{region}"), F.col(f"w_{region}")
-        px = px.withColumns(
-            {
-                l: F.when(
-                    amount >= 0.0,
-                    F.col(l) + (1.0 - F.col(l)) * amount * weight * strength,
-                ).otherwise(F.col(l) * (amount * weight * strength + 1.0))
-                for l in LINEAR
-            }
+        px = _each(
+            px,
+            f"CASE WHEN k.{region} >= 0D THEN {{v}} + (1D - {{v}}) * k.{region} * w_{region} * {strength} "
+            f"ELSE {{v}} * (1D + k.{region} * w_{region} * {strength}) END",
         )
-    return px.drop("lum", "w_shadows", "w_highlights", "w_whites", "w_blacks")
+    return px.drop(
+        "lum", "t_white", "t_black", "w_shadows", "w_highlights", "w_whites", "w_blacks"
+    )
 
 
 def contrast_clarity(px: DataFrame) -> DataFrame:
     """Contrast about middle grey, with extra contrast in the midtones for clarity."""
-    mid = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("lum1") - 0.5) * 2.0)
-    px = px.withColumn("slope", F.col("k_contrast") * (F.col("k_clarity") * mid * 0.65 + 1.0))
-    return px.withColumns(
-        {l: (F.col(l) - 0.18) * F.col("slope") + 0.18 for l in LINEAR}
-    ).drop("slope", "lum1")
+    px = _with(
+        px,
+        slope="k.contrast * (1D + k.clarity * greatest(0D, 1D - abs(lum1 - 0.5D) * 2D) * 0.65D)",
+    )
+    return _each(px, "0.18D + ({v} - 0.18D) * slope").drop("slope", "lum1")
 
 
 def encode(px: DataFrame) -> DataFrame:
-    return px.withColumns({l: linear_to_srgb(F.col(l)) for l in LINEAR})
+    px = _each(px, _clamp01("{v}"))
+    return _each(
+        px,
+        "CASE WHEN {v} <= 0.0031308D THEN {v} * 12.92D "
+        f"ELSE 1.055D * pow({{v}}, {1 / 2.4!r}D) - 0.055D END",
+    )
 
 
 def tone_curve(px: DataFrame) -> DataFrame:
-    """Piecewise-linear curve on encoded values, the same for all channels."""
+    """Piecewise-linear curve on encoded values, the same for all channels.
 
-    def lookup(v):
-        seg = F.get(F.filter(F.col("k_segments"), lambda s: v <= s["x1"]), F.lit(0))
-        return (
-            F.when(F.col("k_segments").isNull(), v)
-            .when(v <= F.col("k_curve_x0"), F.col("k_curve_y0"))
-            .otherwise(
-                F.coalesce(
-                    seg["y0"] + seg["dy"] * ((v - seg["x0"]) / seg["dx"]), F.col("k_curve_end")
-                )
-            )
-        )
-
-    return px.withColumns({l: lookup(F.col(l)) for l in LINEAR})
+    The segment is the number of right ends below the value: counted inline for short curves,
+    by position in the sorted list of ends for long ones. Both stay in generated code.
+    """
+    count = " + ".join(
+        f"CASE WHEN {{v}} > k.knot{i} THEN 1 ELSE 0 END" for i in range(1, INLINE_KNOTS)
+    )
+    search = "cast(array_position(sort_array(array_append(k.knots, {v})), {v}) as int) - 1"
+    px = _with(
+        px,
+        **{
+            f"seg_{c}": (
+                f"CASE WHEN k.curve = 0 THEN 0 WHEN k.curve = 1 THEN {count} ELSE {search} END"
+            ).format(v=l)
+            for l, c in zip(LINEAR, CHANNELS)
+        },
+    )
+    return _each(
+        px,
+        "CASE WHEN k.curve = 0 THEN {v} WHEN {v} <= k.curve_x THEN k.curve_y "
+        "WHEN {v} > k.curve_end_x THEN k.curve_end_y "
+        "ELSE k.seg_y0[seg_{c}] + k.seg_dy[seg_{c}] * (({v} - k.seg_x0[seg_{c}]) / k.seg_dx[seg_{c}]) END",
+    ).drop("seg_r", "seg_g", "seg_b")
 
 
 def vibrance_saturation(px: DataFrame) -> DataFrame:
-    cols = [F.col(l) for l in LINEAR]
-    px = px.withColumns(
-        {"luma": luma_709(*cols), "range": F.greatest(*cols) - F.least(*cols)}
+    px = _with(px, luma="0.2126D * lr + 0.7152D * lg + 0.0722D * lb")
+    px = _with(
+        px,
+        sat="greatest(0D, k.saturation * (1D + k.vibrance * "
+        "(1D - (greatest(lr, lg, lb) - least(lr, lg, lb))) * 0.8D))",
     )
-    scale = F.col("k_saturation") * (F.col("k_vibrance") * (1.0 - F.col("range")) * 0.8 + 1.0)
-    px = px.withColumn("color_scale", F.greatest(F.lit(0.0), scale))
-    return px.withColumns(
-        {l: F.col("luma") + (F.col(l) - F.col("luma")) * F.col("color_scale") for l in LINEAR}
-    ).drop("luma", "range", "color_scale")
+    return _each(px, "luma + ({v} - luma) * sat").drop("luma", "sat")
 
 
 def quantize(px: DataFrame) -> DataFrame:
     """Back to bytes; photos with a neutral recipe keep their input bytes untouched."""
-    return px.withColumns(
-        {
-            c: F.when(F.col("k_neutral"), F.col(c)).otherwise(
-                half_up(clamp01(F.col(l)) * 255.0)
-            )
+    return _with(
+        px,
+        **{
+            c: f"CASE WHEN k.neutral THEN {c} ELSE cast({_clamp01(l)} * 255D + 0.5D as int) END"
             for c, l in zip(CHANNELS, LINEAR)
-        }
+        },
     ).drop(*LINEAR)
 
 
@@ -210,6 +224,9 @@ ROW_STAGES = (
 
 
 def tone(px: DataFrame, stages=ROW_STAGES) -> DataFrame:
+    """Run the row stages on pixels joined with ``width``, ``height`` and the struct ``k``."""
+    # non-null inputs keep null checks out of the pixel loop; a missing byte counts as 0
+    px = _with(px, **{c: f"coalesce({c}, 0)" for c in ("x", "y", *CHANNELS)})
     for stage in stages:
         px = stage(px)
     return px
@@ -221,13 +238,13 @@ def tone(px: DataFrame, stages=ROW_STAGES) -> DataFrame:
 def detail(px: DataFrame, tile_size: int = TILE) -> DataFrame:
     """Noise reduction and sharpening against the 3x3 box mean; the outermost ring stays.
 
-    One exchange by (image, tile); the horizontal and the vertical pass only re-sort inside it.
-    Range frames keep the sums right even where a pixel is missing, and a neighbourhood that is
-    not complete raises instead of being blurred with too few values.
+    Reads ``width``, ``height``, ``denoise`` and ``sharpen`` (fractions) next to the bytes. One
+    exchange by (image, tile); the horizontal and the vertical pass only re-sort inside it.
+    Range frames keep the sums right even where a pixel is missing, and a neighbourhood that
+    is not complete raises instead of being blurred with too few values.
     """
-    keep = px.columns
-    tiled = tile_with_halo(px, tile_size, 1).repartition("image_id", "tile_x", "tile_y")
     tile = ["image_id", "tile_x", "tile_y"]
+    tiled = tile_with_halo(px, tile_size, 1).repartition(*tile)
     across = Window.partitionBy(*tile, "y").orderBy("x").rangeBetween(-1, 1)
     down = Window.partitionBy(*tile, "x").orderBy("y").rangeBetween(-1, 1)
     tiled = tiled.withColumns(
@@ -236,29 +253,32 @@ def detail(px: DataFrame, tile_size: int = TILE) -> DataFrame:
     tiled = tiled.withColumns(
         {f"s{c}": F.sum(f"h{c}").over(down) for c in CHANNELS} | {"sn": F.sum("hn").over(down)}
     ).filter("is_interior")
-
-    n, s = F.col("k_denoise"), F.col("k_sharpen")
+    tiled = _with(
+        tiled,
+        inner="x BETWEEN 1 AND width - 2 AND y BETWEEN 1 AND height - 2",
+        **{f"m{c}": f"s{c} / 9D" for c in CHANNELS},
+    )
+    tiled = _with(
+        tiled,
+        **{
+            f"d{c}": f"CASE WHEN denoise >= 0D THEN {c} * (1D - denoise * 0.9D) + m{c} * denoise * 0.9D "
+            f"ELSE {c} + ({c} - m{c}) * -denoise * 0.9D END"
+            for c in CHANNELS
+        },
+    )
+    hole = "raise_error('incomplete 3x3 neighbourhood: the pixel grid has holes')"
 
     def sharpened(c):
-        o, m = F.col(c), F.col(f"s{c}") / 9.0
-        d = F.when(n >= 0.0, o * (1.0 - n * 0.9) + m * n * 0.9).otherwise(
-            o + (o - m) * -n * 0.9
+        e = (
+            f"CASE WHEN sharpen >= 0D THEN d{c} + (d{c} - m{c}) * sharpen * 3.2D "
+            f"ELSE d{c} * (1D + sharpen) + m{c} * -sharpen END"
+        )
+        return (
+            f"CASE WHEN NOT inner THEN {c} WHEN sn < 9 THEN cast({hole} as int) "
+            f"ELSE cast(floor(least(255D, greatest(0D, {e})) + 0.5D) as int) END"
         )
-        e = F.when(s >= 0.0, d + (d - m) * s * 3.2).otherwise(d * (s + 1.0) + m * -s)
-        return half_up(clamp(e, 0.0, 255.0))
 
-    inner = F.col("x").between(1, F.col("width") - 2) & F.col("y").between(
-        1, F.col("height") - 2
-    )
-    gap = F.raise_error(F.lit("incomplete 3x3 neighbourhood: the pixel grid has holes"))
-    return tiled.withColumns(
-        {
-            c: F.when(~inner, F.col(c))
-            .when(F.col("sn") < 9, gap.cast("int"))
-            .otherwise(sharpened(c))
-            for c in CHANNELS
-        }
-    ).select(*keep)
+    return _with(tiled, **{c: sharpened(c) for c in CHANNELS}).select(*px.columns)
 
 
 def grid_gaps(pixels: DataFrame, images: DataFrame) -> DataFrame:
@@ -283,8 +303,8 @@ def grade(
 ) -> DataFrame:
     """Render every photo with its recipe.
 
-    Order: optional preview size, rotation and flips, tone stages, detail. Only photos with
-    detail edits are shuffled for the 3x3 stage. ``extra_stages`` are DataFrame -> DataFrame
+    Order: optional preview size, rotation and flips, tone stages, detail. Photos that need
+    neither detail nor a free angle take a branch without any shuffle. ``extra_stages`` are DataFrame -> DataFrame
     functions run on the graded bytes.
     """
     if max_edge is not None:
@@ -292,16 +312,21 @@ def grade(
         images = preview_size(images, max_edge).select(
             "image_id", F.col("out_width").alias("width"), F.col("out_height").alias("height")
         )
-    dims = frame_geometry(render_table(images, recipes))
+    dims, small = render_table(images, recipes), has_few_rows(images)
     # a recipe with either value set is never neutral, so no further test is needed
-    needs_detail = (F.col("k_denoise") != 0.0) | (F.col("k_sharpen") != 0.0)
-
-    def rendered(dims):
-        return tone(rotate_flip(pixels.join(dims, "image_id"), dims))
-
-    plain = rendered(dims.filter(~needs_detail))
-    fine = detail(rendered(dims.filter(needs_detail)), tile_size)
-    out = plain.select(*S.PIXELS.fieldNames()).unionByName(fine.select(*S.PIXELS.fieldNames()))
+    right, free = dims.filter("geo.quarter >= 0"), dims.filter("geo.quarter < 0")
+    untouched = right.filter("k.denoise = 0D AND k.sharpen = 0D")
+    touched = right.filter("k.denoise <> 0D OR k.sharpen <> 0D")
+    plain = tone(turn_quarters(join_per_image(pixels, untouched, small)))
+    turned = turn_quarters(join_per_image(pixels, touched, small)).unionByName(
+        turn_freely(join_per_image(pixels, free, small), free)
+    )
+    fine = tone(turned).selectExpr(
+        *S.PIXELS.fieldNames(), "width", "height", "k.denoise", "k.sharpen"
+    )
+    out = plain.select(*S.PIXELS.fieldNames()).unionByName(
+        detail(fine, tile_size).select(*S.PIXELS.fieldNames())
+    )
     for stage in extra_stages:
         out = stage(out)
     return out

@@ -22,12 +22,6 @@ def _graded(keys):
     return run
 
 
-def curve_sql(v, curve="curve"):
-    """Linear interpolation over the sorted points, written with list functions."""
-    pts = f"list_sort({curve}_pts)"
-    return v, pts
-
-
 def tone_ctes(keys, source="framed"):
     """CTEs from ``source`` (image_id,x,y,r,g,b,a,w,h) to ``toned``; absent keys are neutral."""
     val = lambda k: f"q.{k}" if k in keys else f"{S.ADJUSTMENT_DEFAULTS[k]}e0"
@@ -200,13 +194,8 @@ ORACLE["detail_filter"] = I.with_ctes(
 
 
 def rotate_flip(spark, sf):
-    images = I.photos(spark, sf)
-    dims = geometry.frame_geometry(
-        G.render_table(images, I.recipes(spark, sf, GEOMETRY_KEYS)).select(
-            "image_id", "width", "height", "k_rotation", "k_flip_h", "k_flip_v"
-        )
-    )
-    turned = geometry.rotate_flip(I.pixels(spark, sf).join(dims, "image_id"), dims)
+    dims = G.render_table(I.photos(spark, sf), I.recipes(spark, sf, GEOMETRY_KEYS))
+    turned = geometry.rotate_flip(I.pixels(spark, sf), dims)
     return turned.select(*BYTES, F.col("width").alias("w"), F.col("height").alias("h"))
 
 
@@ -225,7 +214,7 @@ def attach_recipe(spark, sf):
     even = I.recipes(spark, sf).filter("image_id % 2 = 0")
     joined = G.attach_recipe(I.pixels(spark, sf), I.photos(spark, sf), even)
     return joined.select(
-        "image_id", "x", "y", F.round("k_gain", 9).alias("gain"), "k_neutral"
+        "image_id", "x", "y", F.round("k.gain", 9).alias("gain"), F.col("k.neutral").alias("k_neutral")
     )
 
 
@@ -242,7 +231,7 @@ def neutral_short_circuit(spark, sf):
     """Per photo: is the recipe neutral, and how many pixels did rendering change?"""
     px, images, rec = I.pixels(spark, sf), I.photos(spark, sf), I.recipes(spark, sf, ["exposure", "curve"])
     diff = G.compare_renditions(px, G.grade(px, images, rec))
-    flags = G.render_table(images, rec).select("image_id", "k_neutral")
+    flags = G.render_table(images, rec).select("image_id", F.col("k.neutral").alias("k_neutral"))
     return diff.join(flags, "image_id").select("image_id", "k_neutral", "changed")
 
 
@@ -258,7 +247,7 @@ ORACLE["neutral_short_circuit"] = I.with_ctes(
 
 def transfer_curves(spark, sf):
     px = I.pixels(spark, sf)
-    lin = byte_to_linear(F.col("r"))
+    lin = byte_to_linear("r")
     return px.select(
         "image_id", "x", "y",
         F.round(lin, 9).alias("linear"),
