@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lumatable.functions.color import luma_level
 from lumatable.operators.grade import grade
 
-from . import grading, inputs
+from . import catalog, edits, grading, inputs
 
-AREAS = [grading]
+AREAS = [grading, catalog, edits]
 
 
 def flagship(spark, sf):
