@@ -87,10 +87,20 @@ _SEGMENT_ARRAYS = {
 }
 
 
+# fields read by the first stages, then by the tone stages; the curve fields follow, ``k`` is last
+_GAIN_FIELDS = [
+    "gain", "wb_r", "wb_g", "wb_b", "vignette", "lens", "mask_gain", "mask_span", "mask_x",
+    "mask_y", "mask_cos", "mask_sin", "mask_rx", "mask_ry",
+]
+_TONE_FIELDS = ["shadows", "highlights", "whites", "blacks", "contrast", "clarity"]
+CONSTANTS = ("kg", "kt", "kc", "k")
+
+
 def render_constants(recipes):
-    """Everything that is constant per photo, computed once per recipe row, as one struct ``k``.
+    """Everything that is constant per photo, computed once per recipe row.
 
-    The per-pixel stages only read fields of ``k``, so trigonometry, powers and curve sorting
+    Four structs in order of use, so that each can be dropped from the rows early: ``kg`` gains
+    and mask, ``kt`` tone, ``kc`` curve, ``k`` the rest. The per-pixel stages only read these, so trigonometry, powers and curve sorting
     cost one evaluation per photo instead of one per pixel. All fields used in arithmetic are
     non-null, which keeps the generated code of the pixel loop small enough to be compiled.
     """
@@ -150,5 +160,13 @@ def render_constants(recipes):
         "flip_h": "flipHorizontal <> 0D",
         "flip_v": "flipVertical <> 0D",
     }
-    k = "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ") AS k"
-    return recipes.selectExpr("image_id", "width", "height", k)
+    def packed(name, wanted):
+        body = ", ".join(f"'{n}', {fields[n]}" for n in wanted)
+        return f"named_struct({body}) AS {name}"
+
+    groups = {"kg": _GAIN_FIELDS, "kt": _TONE_FIELDS}
+    groups["kc"] = [n for n in fields if n.startswith(("curve", "knot", "seg_"))]
+    groups["k"] = [n for n in fields if not any(n in g for g in groups.values())]
+    return recipes.selectExpr(
+        "image_id", "width", "height", *[packed(n, wanted) for n, wanted in groups.items()]
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_up
 from ..plans.joins import has_few_rows, join_per_image
+from ..plans.session import spread
 from .. import schema as S
 
 
@@ -110,7 +111,7 @@ def rotate_flip(pixels: DataFrame, dims: DataFrame) -> DataFrame:
 def full_grid(dims: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
     """All (x, y) of each frame; rows are spread before columns so no frame sits in one task."""
     rows = dims.withColumn("y", F.explode(F.sequence(F.lit(0), F.col(height) - 1)))
-    return rows.repartition("image_id", "y").withColumn(
+    return spread(rows, "image_id", "y").withColumn(
         "x", F.explode(F.sequence(F.lit(0), F.col(width) - 1))
     )
 

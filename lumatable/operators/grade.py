@@ -50,7 +50,7 @@ def render_table(images: DataFrame, recipes: DataFrame) -> DataFrame:
     # The one-element explode hides how the fields were computed. Without it the optimizer
     # rewrites every filter on ``k`` or ``geo`` into the full recipe expressions of all branches,
     # and planning takes minutes.
-    return dims.selectExpr("image_id", "inline(array(struct(width, height, k, geo)))")
+    return dims.selectExpr("image_id", "inline(array(struct(width, height, kg, kt, kc, k, geo)))")
 
 
 def attach_recipe(pixels: DataFrame, images: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -82,35 +82,32 @@ def normalized_coordinates(px: DataFrame) -> DataFrame:
     return _with(px, nx="x / greatest(1, width - 1)", ny="y / greatest(1, height - 1)")
 
 
-def radial_mask_weight(px: DataFrame) -> DataFrame:
-    """Weight of the elliptic mask, 1 inside and 0 past the feather."""
-    px = _with(
+def mask_and_edge_distance(px: DataFrame) -> DataFrame:
+    """Position across the feather of the elliptic mask (0..1) and distance to the centre."""
+    u = "((nx - kg.mask_x) * kg.mask_cos - (ny - kg.mask_y) * kg.mask_sin) / kg.mask_rx"
+    v = "((nx - kg.mask_x) * kg.mask_sin + (ny - kg.mask_y) * kg.mask_cos) / kg.mask_ry"
+    return _with(
         px,
-        mu="((nx - k.mask_x) * k.mask_cos - (ny - k.mask_y) * k.mask_sin) / k.mask_rx",
-        mv="((nx - k.mask_x) * k.mask_sin + (ny - k.mask_y) * k.mask_cos) / k.mask_ry",
-    )
-    px = _with(px, mt=_clamp01("(sqrt(mu * mu + mv * mv) - 1D) / k.mask_span"))
-    return _with(px, mask_w=f"1D - {_smooth('mt')}").drop("mu", "mv", "mt")
+        feather=f"CASE WHEN kg.mask_gain = 0D THEN 0D ELSE {_clamp01(f'(hypot({u}, {v}) - 1D) / kg.mask_span')} END",
+        edge="least(1D, sqrt((nx - 0.5D) * (nx - 0.5D) + (ny - 0.5D) * (ny - 0.5D)) / 0.707D)",
+    ).drop("nx", "ny")
 
 
-def vignette_scale(px: DataFrame) -> DataFrame:
-    """Edge brightness and vignette as one factor."""
-    px = _with(
-        px, ed="least(1D, sqrt((nx - 0.5D) * (nx - 0.5D) + (ny - 0.5D) * (ny - 0.5D)) / 0.707D)"
-    )
+def local_gain(px: DataFrame) -> DataFrame:
+    """Exposure, exposure inside the mask, edge brightness and vignette as one factor."""
     return _with(
-        px, edge="1D + k.lens * ed * ed * 0.65D - k.vignette * ed * ed * 0.78D"
-    ).drop("ed", "nx", "ny")
-
-
-def linearize(px: DataFrame) -> DataFrame:
-    return _with(px, **{l: byte_to_linear_sql(c) for l, c in zip(LINEAR, CHANNELS)})
+        px,
+        gain=f"kg.gain * (1D + kg.mask_gain * (1D - {_smooth('feather')})) "
+        "* (1D + kg.lens * edge * edge * 0.65D - kg.vignette * edge * edge * 0.78D)",
+    ).drop("feather", "edge")
 
 
-def gains(px: DataFrame) -> DataFrame:
-    """Exposure, local exposure, edge factor and white balance."""
-    px = _with(px, gain="k.gain * (1D + k.mask_gain * mask_w) * edge")
-    return _each(px, "{v} * (gain * k.wb_{c})").drop("gain", "mask_w", "edge")
+def linear_light(px: DataFrame) -> DataFrame:
+    """Linear RGB times gain and white balance."""
+    return _with(
+        px,
+        **{l: f"{byte_to_linear_sql(c)} * (gain * kg.wb_{c})" for l, c in zip(LINEAR, CHANNELS)},
+    ).drop("gain", "kg")
 
 
 def tone_regions(px: DataFrame) -> DataFrame:
@@ -134,8 +131,8 @@ def tone_regions(px: DataFrame) -> DataFrame:
     ):
         px = _each(
             px,
-            f"CASE WHEN k.{region} >= 0D THEN {{v}} + (1D - {{v}}) * k.{region} * w_{region} * {strength} "
-            f"ELSE {{v}} * (1D + k.{region} * w_{region} * {strength}) END",
+            f"CASE WHEN kt.{region} >= 0D THEN {{v}} + (1D - {{v}}) * kt.{region} * w_{region} * {strength} "
+            f"ELSE {{v}} * (1D + kt.{region} * w_{region} * {strength}) END",
         )
     return px.drop(
         "lum", "t_white", "t_black", "w_shadows", "w_highlights", "w_whites", "w_blacks"
@@ -143,16 +140,12 @@ def tone_regions(px: DataFrame) -> DataFrame:
 
 
 def contrast_clarity(px: DataFrame) -> DataFrame:
-    """Contrast about middle grey, with extra contrast in the midtones for clarity."""
-    px = _with(
-        px,
-        slope="k.contrast * (1D + k.clarity * greatest(0D, 1D - abs(lum1 - 0.5D) * 2D) * 0.65D)",
-    )
-    return _each(px, "0.18D + ({v} - 0.18D) * slope").drop("slope", "lum1")
+    """Contrast about middle grey, more of it in the midtones for clarity; clamped to 0..1."""
+    slope = "(kt.contrast * (1D + kt.clarity * greatest(0D, 1D - abs(lum1 - 0.5D) * 2D) * 0.65D))"
+    return _each(px, _clamp01(f"0.18D + ({{v}} - 0.18D) * {slope}")).drop("lum1", "kt")
 
 
 def encode(px: DataFrame) -> DataFrame:
-    px = _each(px, _clamp01("{v}"))
     return _each(
         px,
         "CASE WHEN {v} <= 0.0031308D THEN {v} * 12.92D "
@@ -167,30 +160,30 @@ def tone_curve(px: DataFrame) -> DataFrame:
     by position in the sorted list of ends for long ones. Both stay in generated code.
     """
     count = " + ".join(
-        f"CASE WHEN {{v}} > k.knot{i} THEN 1 ELSE 0 END" for i in range(1, INLINE_KNOTS)
+        f"CASE WHEN {{v}} > kc.knot{i} THEN 1 ELSE 0 END" for i in range(1, INLINE_KNOTS)
     )
-    search = "cast(array_position(sort_array(array_append(k.knots, {v})), {v}) as int) - 1"
+    search = "cast(array_position(sort_array(array_append(kc.knots, {v})), {v}) as int) - 1"
     px = _with(
         px,
         **{
             f"seg_{c}": (
-                f"CASE WHEN k.curve = 0 THEN 0 WHEN k.curve = 1 THEN {count} ELSE {search} END"
+                f"CASE WHEN kc.curve = 0 THEN 0 WHEN kc.curve = 1 THEN {count} ELSE {search} END"
             ).format(v=l)
             for l, c in zip(LINEAR, CHANNELS)
         },
     )
     return _each(
         px,
-        "CASE WHEN k.curve = 0 THEN {v} WHEN {v} <= k.curve_x THEN k.curve_y "
-        "WHEN {v} > k.curve_end_x THEN k.curve_end_y "
-        "ELSE k.seg_y0[seg_{c}] + k.seg_dy[seg_{c}] * (({v} - k.seg_x0[seg_{c}]) / k.seg_dx[seg_{c}]) END",
-    ).drop("seg_r", "seg_g", "seg_b")
+        "CASE WHEN kc.curve = 0 THEN {v} WHEN {v} <= kc.curve_x THEN kc.curve_y "
+        "WHEN {v} > kc.curve_end_x THEN kc.curve_end_y "
+        "ELSE kc.seg_y0[seg_{c}] + kc.seg_dy[seg_{c}] * (({v} - kc.seg_x0[seg_{c}]) / kc.seg_dx[seg_{c}]) END",
+    ).drop("seg_r", "seg_g", "seg_b", "kc")
 
 
 def vibrance_saturation(px: DataFrame) -> DataFrame:
-    px = _with(px, luma="0.2126D * lr + 0.7152D * lg + 0.0722D * lb")
     px = _with(
         px,
+        luma="0.2126D * lr + 0.7152D * lg + 0.0722D * lb",
         sat="greatest(0D, k.saturation * (1D + k.vibrance * "
         "(1D - (greatest(lr, lg, lb) - least(lr, lg, lb))) * 0.8D))",
     )
@@ -210,10 +203,9 @@ def quantize(px: DataFrame) -> DataFrame:
 
 ROW_STAGES = (
     normalized_coordinates,
-    radial_mask_weight,
-    vignette_scale,
-    linearize,
-    gains,
+    mask_and_edge_distance,
+    local_gain,
+    linear_light,
     tone_regions,
     contrast_clarity,
     encode,

@@ -52,3 +52,12 @@ def cut_lineage(df):
     """Reliable checkpoint, so that iterative jobs survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, *keys):
+    """Repartition few rows that are about to be exploded into many.
+
+    The count is explicit, since AQE judges the small input and would merge it into one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)

@@ -214,7 +214,7 @@ def attach_recipe(spark, sf):
     even = I.recipes(spark, sf).filter("image_id % 2 = 0")
     joined = G.attach_recipe(I.pixels(spark, sf), I.photos(spark, sf), even)
     return joined.select(
-        "image_id", "x", "y", F.round("k.gain", 9).alias("gain"), F.col("k.neutral").alias("k_neutral")
+        "image_id", "x", "y", F.round("kg.gain", 9).alias("gain"), F.col("k.neutral").alias("k_neutral")
     )
 
 

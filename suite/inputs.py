@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumatable import schema as S
-from lumatable.plans.session import tune
+from lumatable.plans.session import spread, tune
 
 NEUTRAL = "p_partkey % 5 = 0"
 
@@ -145,7 +145,7 @@ def pixels(spark, sf) -> DataFrame:
     """One row per pixel. A small file is a single split, so photos are spread out first."""
     base = photos(spark, sf).select("image_id", "width", "height", "rating")
     return (
-        base.repartition("image_id")
+        spread(base, "image_id")
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
         .selectExpr("image_id", "x", "y", *BYTE_COLUMNS)
