@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lumatable.functions.color import luma_level
 from lumatable.operators.grade import grade
 
-from . import catalog, edits, grading, inputs
+from . import catalog, edits, grading, inputs, stats
 
-AREAS = [grading, catalog, edits]
+AREAS = [grading, catalog, edits, stats]
 
 
 def flagship(spark, sf):
