@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from lumatable.functions.color import luma_level
 from lumatable.operators.grade import grade
 
-from . import catalog, edits, grading, inputs, masks, stats
+from . import catalog, edits, grading, inputs, looks, masks, stats
 
-AREAS = [grading, catalog, edits, stats, masks]
+AREAS = [grading, catalog, edits, stats, masks, looks]
 
 
 def flagship(spark, sf):
