@@ -8,6 +8,7 @@ from lumatable import schema as S
 from lumatable.functions.numeric import normalize_angle as wrap
 from lumatable.operators import catalog as C
 from lumatable.sources.renditions import rendition_name
+from lumatable.sources.sidecars import conformance_report as report
 
 from . import inputs as I
 
@@ -214,3 +215,26 @@ def normalize_angle(spark, sf):
 ))
 def rendition_names(spark, sf):
     return I.table(spark, sf, "pages").select("page_id", rendition_name(F.col("url")).alias("name"))
+
+
+# project documents of the library; some lack a key, some break a rule, some are cut off
+_DOC = [
+    "'{\"schemaVersion\": '", "CASE WHEN p_partkey % 5 = 0 THEN '0' WHEN p_partkey % 5 = 1 THEN '\"1\"' ELSE '1' END",
+    "', \"engineVersion\": \"0.1.0\", \"source\": {\"path\": \"'", "p_name", "'\"'",
+    "CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ', \"contentHash\": \"abc\"' END",
+    "'}, \"globalAdjustments\": {}'", "CASE WHEN p_partkey % 4 = 1 THEN '' ELSE ', \"masks\": []' END",
+    "CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '}' END",
+]
+
+
+@register("conformance_report", (
+    """WITH v AS (SELECT p_partkey AS image_id, 'json' AS field, 'syntax' AS rule FROM part WHERE p_partkey % 11 = 0
+      UNION ALL SELECT p_partkey, 'schemaVersion', 'minimum' FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 5 = 0
+      UNION ALL SELECT p_partkey, 'schemaVersion', 'type' FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 5 = 1
+      UNION ALL SELECT p_partkey, 'source.contentHash', 'required' FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 3 = 0
+      UNION ALL SELECT p_partkey, 'masks', 'required' FROM part WHERE p_partkey % 11 <> 0 AND p_partkey % 4 = 1)
+    SELECT image_id, field, rule FROM v"""
+))
+def conformance_report(spark, sf):
+    docs = I.table(spark, sf, "part").selectExpr("p_partkey AS image_id", f"concat({', '.join(_DOC)}) AS text")
+    return report(docs, "project")
