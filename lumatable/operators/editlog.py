@@ -71,17 +71,19 @@ def _fold(log: DataFrame, event: str, state: str, initial: str, step: str, chunk
         folded = F.expr(f"aggregate(es, s0, (s, e) -> cast({step} as {state}))")
         return grouped.select("photo_id", folded.alias("s"))
 
-    # a cheap upper bound first: if no photo can need a second chunk, skip the numbering
+    # only photos with long logs need rounds; there are at most (events / chunk) of them
     counts = log.groupBy("photo_id").agg(F.count("*").alias("n"))
-    longest = counts.agg(F.max("n")).first()[0] or 0
-    if longest <= chunk:
+    long = counts.filter(F.col("n") > chunk).select("photo_id")
+    if not long.limit(1).count():
         return one_round(log, None)
-    chunked = with_chunks(log, chunk)
+    long = cut_lineage(long)
+    short_states = one_round(log.join(long, "photo_id", "left_anti"), None)
+    chunked = cut_lineage(with_chunks(log.join(long, "photo_id", "left_semi"), chunk))
     last = chunked.agg(F.max("chunk")).first()[0]
     states = None
     for i in range(last + 1):
         states = cut_lineage(one_round(chunked.filter(F.col("chunk") == i), states))
-    return states
+    return short_states.unionByName(states)
 
 
 # --- adjustments with undo, redo, reset -------------------------------------

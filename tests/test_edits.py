@@ -60,7 +60,7 @@ def test_history_limit(spark):
 
 
 def test_chunks_give_the_same_state(spark):
-    rows = mixed(240)
+    rows = mixed(240) + [(9, "commit", "exposure", 2.0), (9, "undo", None, None)]
     df = log(spark, rows)
     assert folded(E.fold_edit_log(df, chunk=20)) == witness(rows)
     sizes = E.with_chunks(df, 20).groupBy("photo_id", "chunk").count()
