@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -35,15 +35,17 @@ def build_session(app: str = "lumatable", master: str | None = None, **extra) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only where none is set (tests)."""
+    """Shared folder named by the cluster; a private one only in local mode, where none is needed."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not named:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
-        named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        named = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(named)
     return named
 
