@@ -82,3 +82,24 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     before = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - before, lengths)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now.
+
+    It drops them when the driver collects its garbage, which can be long after the disk is needed.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """XXH64 of every word; each different word is hashed once."""
+    import xxhash
+
+    known = dict.fromkeys(words)
+    for w in known:
+        known[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))

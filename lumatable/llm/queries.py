@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import langid, line_dedup, mixing, quality, urls
+from lumatable.plans.session import checkpoint_dir
+
+from . import langid, line_dedup, mixing, pieces, quality, simhash, substrings, token_files, urls, vector_search
 from .common import read_table
 
 
@@ -96,6 +98,23 @@ SELECT page_id, host, path, rule, CASE rule {verdicts} ELSE CASE WHEN {globs} TH
 """
 
 
+def op5_sentencepiece(spark, sf_dir):
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    return pieces.encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_tokens", "ids", "round_trip"
+    )
+
+
+def op6_token_files(spark, sf_dir):
+    """Place, number and checksum of every document's ids, read back from the written files."""
+    return token_files.encoded(read_table(spark, sf_dir, "documents"), checkpoint_dir(spark))
+
+
+def op7_substring_dedup(spark, sf_dir):
+    """Words of every document, those removed, and the hash of the rest."""
+    return substrings.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark, sf_dir):
     """How often the mix takes every document."""
     return mixing.mix_report(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -134,6 +153,31 @@ FROM ordered
 """
 
 
+def op9_simhash(spark, sf_dir):
+    """Fingerprint and group of every document."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op10_vector_search(spark, sf_dir):
+    """The 20 best other vectors for every 20th vector."""
+    return vector_search.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+OP10_SQL = f"""
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor({vector_search.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  WHERE q.vec_id % {vector_search.EVERY} = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {vector_search.K}
+"""
+
+
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline, one after the other."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -144,7 +188,17 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_token_files": op6_token_files,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_source_mixing": op8_source_mixing,
+    "op9_simhash": op9_simhash,
+    "op10_vector_search": op10_vector_search,
     "pipeline": pipeline,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op4_url_filters": _op4_sql(), "op8_source_mixing": OP8_SQL}
+ORACLE = {
+    "op1_line_dedup": OP1_SQL,
+    "op4_url_filters": _op4_sql(),
+    "op8_source_mixing": OP8_SQL,
+    "op10_vector_search": OP10_SQL,
+}
