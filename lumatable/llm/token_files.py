@@ -15,10 +15,11 @@ Shards are ranges of ids, so no task orders more than its range; texts are encod
 through. A file gets its name when it is complete, and a repeated task writes the same again. Only
 one row per shard (its counts) passes the driver.
 
-Texts are encoded by the tokenizers library. It splits before a space between two visible
-characters and around a line feed between two visible characters anyway, so texts are cut there and
-each different piece is encoded once per task (up to ``KEEP`` pieces); texts with other white space
-are cut at those spaces only.
+Texts are encoded by the tokenizers library. Byte-level tokenizers split before a space between two
+visible characters and around a line feed between two visible characters anyway, so texts are cut
+there and each different piece is encoded once per Python worker (as long as it is among the ``KEEP``
+pieces remembered), words of letters by the library's model directly; texts with other white space are cut at those spaces only. Texts for
+other tokenizers are encoded as they are.
 
 Defined results: null text is the empty text and gives the end id alone; null ids come first; rows
 with equal ids are ordered by text; an empty table gives no file and an empty result; other columns
@@ -27,6 +28,7 @@ are ignored; texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -44,8 +46,18 @@ from .quality import batches
 LENGTH = 2048
 BATCH = 256
 END_ID = 2
-KEEP = 300_000
-ODD = re.compile(r"\s(?:\s|\Z)|\A\s|[^\S \n]")
+KEEP = 400_000
+WHITE = re.compile(r"\s")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+BYTE_CHARS = _byte_chars()
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 STEP = 4_000_000
 
@@ -67,47 +79,101 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
+        self.model = self.tok.model
+        self.feed = self.tok.encode("\n", add_special_tokens=False).ids
+        steps = json.loads(self.tok.to_str())
+        kind = steps["pre_tokenizer"] or {}
+        self.byte_level = (
+            steps["normalizer"] is None and kind.get("type") == "ByteLevel"
+            and not kind["add_prefix_space"] and kind.get("use_regex", True)
+        )
         self.clear()
 
     def clear(self):
         self.known: dict = {}
         self.flat = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.start, self.count, self.hits = (np.zeros(0, np.int64) for _ in range(3))
+
+    def forget(self):
+        """Keep the pieces met more than once since the last time, at most half of ``KEEP``."""
+        units = [u for u, i in self.known.items() if i >= 0]
+        at = np.array([self.known[u] for u in units], np.int64)
+        best = np.argsort(-self.hits[at], kind="stable")[: KEEP // 2]
+        best = best[self.hits[at[best]] > 1]
+        at = at[best]
+        self.known = {units[k]: n for n, k in enumerate(best.tolist())}
+        self.flat, self.count = self.flat[ranges(self.start[at], self.count[at])], self.count[at]
+        self.start = np.cumsum(self.count) - self.count
+        self.hits = np.zeros(len(at), np.int64)
 
     def _learn(self, units):
         new = [u for u in dict.fromkeys(units) if u not in self.known]
-        if not new:
-            return
-        # " word" unless the unit begins a line or is kept literally
-        texts = [u[0] if isinstance(u, tuple) else u if u[:1] == "\n" else " " + u for u in new]
-        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        names, ids, other = [], [], []
+        cores: dict = {}
+        for u in new:
+            line = u[:1] == "\n"
+            if isinstance(u, tuple):
+                other.append((u[0], u))
+                continue
+            word = u[1:] if line else u
+            if not word or WHITE.search(word):
+                self.known[u] = -1  # its text has other white space
+                continue
+            # letters, and letters with one mark after them, are one and two pieces of the model
+            core, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
+            if not core.isalpha() or mark.isalnum() or not mark.isprintable():
+                other.append((u if line else " " + u, u))
+                continue
+            core = core if line else " " + core
+            if core not in cores:
+                cores[core] = self._model(core)
+            names.append(u)
+            ids.append((self.feed if line else []) + cores[core] + (self._model(mark) if mark else []))
+        if other:
+            names += [u for _, u in other]
+            ids += [e.ids for e in self.tok.encode_batch_fast([t for t, _ in other], add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.flat) + np.cumsum(count) - count
-        self.known.update(zip(new, range(len(self.start), len(self.start) + len(new))))
+        self.known.update(zip(names, range(len(self.start), len(self.start) + len(names))))
         self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
         self.start, self.count = np.concatenate([self.start, at]), np.concatenate([self.count, count])
+        self.hits = np.concatenate([self.hits, np.zeros(len(names), np.int64)])
+
+    def _model(self, piece: str) -> list[int]:
+        """Ids of one piece of the pre-tokenizer."""
+        if piece.isascii():  # of printable ones only the space has a character of its own
+            piece = piece.replace(" ", BYTE_CHARS[32])
+        else:
+            piece = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _look_up(self, own):
+        units = [u for us in own for u in us]
+        self._learn(units)
+        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
+        if not self.byte_level:
+            ids = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+            total = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((i for x in ids for i in x), np.int32, int(total.sum())), total
         if len(self.known) > KEEP:
-            self.clear()
-        units, size, skip = [], [], []
-        for t in texts:
-            t = t or ""
-            if ODD.search(t):
-                own = [(u,) for u in SAFE.split(t)]
-                skip.append(0)
-            else:
-                # the first piece is looked up as the start of a line; the line feed's id is dropped
-                own = ("\n" + t.replace("\n", " \n")).split(" ")
-                skip.append(1)
-            units += own
-            size.append(len(own))
-        self._learn(units)
-        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        size, skip = np.array(size, np.int64), np.array(skip, np.int64)
+            self.forget()
+        # the first piece is looked up as the start of a line; the line feed's id is dropped below
+        own = [("\n" + t.replace("\n", " \n")).split(" ") if t else ["\n"] for t in texts]
+        skip = np.ones(len(texts), np.int64)
+        which = self._look_up(own)
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        odd = np.unique(np.repeat(np.arange(len(own)), size)[which < 0])
+        if len(odd):
+            for i in odd.tolist():
+                own[i] = [(u,) for u in SAFE.split(texts[i] or "")]
+            skip[odd] = 0
+            which = self._look_up(own)
+            size = np.fromiter(map(len, own), np.int64, len(own))
         first = np.cumsum(size) - size
+        self.hits += np.bincount(which, minlength=len(self.hits))
         start, count = self.start[which], self.count[which]
         start[first] += skip
         count[first] -= skip
@@ -115,6 +181,16 @@ class Encoder:
         return self.flat[ranges(start, count)], total
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """The encoder of this Python worker, with what it learned in earlier tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def open_folder(uri: str):
     """The file system and path of a folder named as Spark names it."""
     uri = re.sub(r"^file:/+", "file:///", uri)
@@ -172,7 +248,7 @@ def _write_shards(folder, tokenizer, end_id, length, batch):
             if not part.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_for(tokenizer)
                 kind = pa.uint16() if max(encoder.size, end_id + 1) <= 1 << 16 else pa.uint32()
                 sinks = [fs.open_output_stream(f"{n}.{trial}") for n in names]
                 writer = SequenceWriter(sinks[0], kind, length, batch)
