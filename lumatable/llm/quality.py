@@ -170,10 +170,12 @@ def train(features: list[np.ndarray], good: list[bool], rounds: int = 150, rate:
 
 
 def _features(texts: pd.Series) -> pd.Series:
-    texts = [t.encode("utf-8", "replace") for t in texts.fillna("")]
-    x, owner, _ = line_features(texts)
-    edge = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return pd.Series([x[a:b].tolist() for a, b in zip(edge, edge[1:])])
+    out = []
+    for some in batches(texts.fillna("").tolist()):
+        x, owner, _ = line_features([t.encode("utf-8", "replace") for t in some])
+        edge = np.searchsorted(owner, np.arange(len(some) + 1))
+        out += [x[a:b].tolist() for a, b in zip(edge, edge[1:])]
+    return pd.Series(out, dtype=object)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col="text"):
@@ -186,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col="text
     chosen = parts[0].unionByName(parts[1])  # 2 * sample rows at most, hence the broadcast
     found = docs.select(F.col("doc_id").alias("_id"), F.col(text_col).alias("_text"))
     rows = found.join(F.broadcast(chosen), "_id").select("_good", F.pandas_udf(_features, "array<array<double>>")("_text").alias("x"))
-    rows = rows.filter(F.size("x") > 0).limit(2 * sample).collect()
+    # not filtered by x in Spark, which would move that below the join and label every document
+    rows = [r for r in rows.collect() if r["x"]]
     rows.sort(key=lambda r: (r["_good"], r["x"]))
     return train([np.array(r["x"]) for r in rows], [r["_good"] for r in rows])
 
@@ -262,7 +265,7 @@ def quality_verdict(model, min_content: float = MIN_CONTENT):
     return verdict
 
 
-def batches(values: list, limit: int = 4_000_000):
+def batches(values: list, limit: int = 2_000_000):
     """Cut a list of texts where ``limit`` characters are reached."""
     part, size = [], 0
     for v in values:
