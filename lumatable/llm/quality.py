@@ -187,7 +187,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col="text
         parts.append(own.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(sample))
     chosen = parts[0].unionByName(parts[1])  # 2 * sample rows at most, hence the broadcast
     found = docs.select(F.col("doc_id").alias("_id"), F.col(text_col).alias("_text"))
-    rows = found.join(F.broadcast(chosen), "_id").select("_good", F.pandas_udf(_features, "array<array<double>>")("_text").alias("x"))
+    # an id that occurs more than once gives one text, which keeps the sample bounded
+    rows = found.join(F.broadcast(chosen), "_id").groupBy("_id", "_good").agg(F.max("_text").alias("_text"))
+    rows = rows.select("_good", F.pandas_udf(_features, "array<array<double>>")("_text").alias("x"))
     # not filtered by x in Spark, which would move that below the join and label every document
     rows = [r for r in rows.collect() if r["x"]]
     rows.sort(key=lambda r: (r["_good"], r["x"]))
