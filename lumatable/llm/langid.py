@@ -48,32 +48,33 @@ class ContextTrees:
         hidden = 256 - len(seen)  # byte values that share place 0
         weight = np.ones(a)
         weight[0] = hidden
-        coded = {l: self.alphabet[joined[l]] for l in self.languages}
-
-        # contexts of each order kept by any language; node 0 is the empty context
-        grams = {}
-        for l, c in coded.items():
-            for k in range(order + 1):
-                g = np.zeros(len(c) - order, np.int64)
-                for j in range(order - k, order):
-                    g = g * a + c[j : j + len(g)]
-                grams[l, k] = g
+        coded = {l: self.alphabet[joined.pop(l)] for l in self.languages}
+
+        def contexts(l, k):
+            """The ``k`` bytes before each byte of a language's sample, as one number."""
+            c = coded[l]
+            g = np.zeros(len(c) - order, np.int64)
+            for j in range(order - k, order):
+                g = g * a + c[j : j + len(g)]
+            return g
+
         after = {l: c[order:] for l, c in coded.items()}
         uniform = weight / weight.sum()
         shape = (len(self.languages), 1, a)
         lower_keys, lower = np.zeros(1, np.int64), np.broadcast_to(uniform, shape).copy()
         self.keys, self.costs = [], []
         for k in range(order + 1):
-            parts = [np.unique(grams[l, k], return_counts=True) for l in self.languages]
+            grams = {l: contexts(l, k) for l in self.languages}
+            parts = [np.unique(grams[l], return_counts=True) for l in self.languages]
             keys = np.unique(np.concatenate([u[n >= least] if k else u for u, n in parts]))
             if k == 0:
                 keys = np.zeros(1, np.int64)
             parent = np.searchsorted(lower_keys, keys % a ** max(k - 1, 0)) if k else np.zeros(1, np.int64)
             table = lower[:, parent].copy()
             for n, l in enumerate(self.languages):
-                at = np.searchsorted(keys, grams[l, k])
+                at = np.searchsorted(keys, grams[l])
                 at[at == len(keys)] = 0
-                own = keys[at] == grams[l, k]
+                own = keys[at] == grams[l]
                 counts = np.bincount(at[own] * a + after[l][own], minlength=len(keys) * a).reshape(len(keys), a).astype(float)
                 total, kinds = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
                 rest = np.where(counts > 0, 0, table[n])
