@@ -21,7 +21,10 @@ def half_up(v: Column) -> Column:
 
 
 def smoothstep(lo, hi, v: Column) -> Column:
-    t = clamp01((v - lo) / (hi - lo))
+    """Smooth rise from 0 at ``lo`` to 1 at ``hi``; a step where the two coincide."""
+    span = hi - lo
+    step = (v >= hi).cast("double")
+    t = F.when(span == 0, step).otherwise(clamp01(F.try_divide(v - lo, span)))
     return t * t * (3.0 - 2.0 * t)
 
 

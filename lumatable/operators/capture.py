@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 # Order in which a camera profile is trusted.
 PROFILE_PRIORITY = ("embedded", "camera_db", "decoder")
 RENDERED_PRIORITY = ("icc", "srgb_tag", "metadata_rule")
+# What a rendered file (JPEG, PNG, ...) without any profile is taken for, with a warning.
+RENDERED_FALLBACK = "srgb"
 
 # Render stages in order with the parameters they depend on.
 STAGES = {
@@ -25,7 +27,9 @@ def normalize_mosaic(raw: DataFrame, levels: DataFrame) -> DataFrame:
     """(raw - black) / (white - black) with levels per camera and channel; not clamped.
 
     ``raw``: image_id, camera, channel, x, y, v; ``levels``: camera, channel, black, white, and
-    optionally row_from / row_to for row-dependent black, as an inclusive band.
+    optionally row_from / row_to for row-dependent black (an inclusive band), or tile_size, tile_x,
+    tile_y for black per sensor tile. A photosite without a level keeps its row, with a null value and
+    ``level_status`` ``no-level``; where white equals black it is ``flat-level``.
     """
     keys = ["camera", "channel"]
     if "row_from" in levels.columns:
@@ -34,40 +38,67 @@ def normalize_mosaic(raw: DataFrame, levels: DataFrame) -> DataFrame:
             *keys, "black", "white", F.explode(F.sequence("row_from", "row_to")).alias("y")
         )
         keys = [*keys, "y"]
-    return raw.join(levels, keys).withColumn(
-        "value", F.try_divide(F.col("v") - F.col("black"), F.col("white") - F.col("black"))
-    ).drop("black", "white")
+    if "tile_size" in levels.columns:
+        # a camera has one tile size, which turns a position into the tile's key
+        sizes = levels.groupBy("camera").agg(F.max("tile_size").alias("_size"))
+        raw = raw.join(sizes, "camera", "left").withColumns(
+            {f"tile_{a}": F.floor(F.col(a) / F.col("_size")).cast("int") for a in ("x", "y")}
+        ).drop("_size")
+        levels = levels.select(*keys, "black", "white", F.col("tile_x").cast("int"), F.col("tile_y").cast("int"))
+        keys = [*keys, "tile_x", "tile_y"]
+    j = raw.join(levels.withColumn("_level", F.lit(True)), keys, "left")
+    status = (
+        F.when(F.col("_level").isNull(), "no-level").when(F.col("white") == F.col("black"), "flat-level").otherwise("ok")
+    )
+    return j.withColumns(
+        {
+            "value": F.try_divide(F.col("v") - F.col("black"), F.col("white") - F.col("black")),
+            "level_status": status,
+        }
+    ).drop("black", "white", "_level", "tile_x", "tile_y")
 
 
 def cfa_label(raw: DataFrame, patterns: DataFrame) -> DataFrame:
     """Colour of each photosite from the periodic pattern of its camera.
 
     ``patterns``: camera, period_x, period_y, cells (row by row). Periods differ per camera, so
-    the pattern row is joined by camera and the cell is looked up in its array.
+    the pattern row is joined by camera and the cell is looked up in its array. Photosites of an
+    unknown camera keep their row, with a null channel and ``cfa_status`` ``unknown-camera``.
     """
-    j = raw.join(patterns, "camera")
+    j = raw.join(patterns, "camera", "left")
     at = (F.col("y") % F.col("period_y")) * F.col("period_x") + F.col("x") % F.col("period_x")
-    return j.withColumn("channel", F.get("cells", at.cast("int"))).drop("period_x", "period_y", "cells")
+    status = F.when(F.col("cells").isNull(), "unknown-camera").otherwise("ok")
+    return j.withColumns({"channel": F.get("cells", at.cast("int")), "cfa_status": status}).drop(
+        "period_x", "period_y", "cells"
+    )
 
 
 def resolve_profile(photos: DataFrame, candidates: DataFrame, priority=PROFILE_PRIORITY) -> DataFrame:
     """Best valid profile per photo, or an explicit status where there is none.
 
     ``candidates``: image_id, source, profile_id, valid. The choice is an aggregate, so it needs
-    no ordering window.
+    no ordering window. Photos with a true ``rendered`` column (JPEG, PNG, ...) follow
+    ``RENDERED_PRIORITY`` and fall back to ``RENDERED_FALLBACK`` with the status ``assumed`` and a
+    warning; raw photos without a profile are ``profile-required``.
     """
+    order = {s: i for i, s in enumerate([*priority, *RENDERED_PRIORITY])}
     rank = F.when(F.lit(False), 0)
-    for i, source in enumerate(priority):
+    for source, i in order.items():
         rank = rank.when(F.col("source") == source, i)
-    usable = candidates.withColumn("_rank", rank).filter(F.col("valid") & F.col("_rank").isNotNull())
+    rendered = F.coalesce("rendered", F.lit(False)) if "rendered" in photos.columns else F.lit(False)
+    asked = photos.select("image_id", rendered.alias("_rendered"))
+    fits = F.when(F.col("_rendered"), F.col("source").isin(*RENDERED_PRIORITY)).otherwise(F.col("source").isin(*priority))
+    usable = candidates.filter("valid").join(asked, "image_id").filter(fits).withColumn("_rank", rank)
     best = usable.groupBy("image_id").agg(
         F.min_by(F.struct("source", "profile_id"), F.struct("_rank", "profile_id")).alias("p")
     )
-    return photos.select("image_id").join(best, "image_id", "left").select(
+    assumed = F.col("p").isNull() & F.col("_rendered")
+    return asked.join(best, "image_id", "left").select(
         "image_id",
-        F.col("p.source").alias("source"),
-        F.col("p.profile_id").alias("profile_id"),
-        F.when(F.col("p").isNull(), "profile-required").otherwise("resolved").alias("status"),
+        F.when(assumed, "fallback").otherwise(F.col("p.source")).alias("source"),
+        F.when(assumed, RENDERED_FALLBACK).otherwise(F.col("p.profile_id")).alias("profile_id"),
+        F.when(assumed, "assumed").when(F.col("p").isNull(), "profile-required").otherwise("resolved").alias("status"),
+        F.when(assumed, f"no embedded profile, taken for {RENDERED_FALLBACK}").alias("warning"),
     )
 
 

@@ -86,17 +86,18 @@ def remove_photos(photos: DataFrame, ids: DataFrame, library="library_id") -> Da
     """Drop the listed photos, but leave a library as it is when that would empty it.
 
     ``ids`` holds ``image_id``. The guard compares per-library counts, which are aggregated
-    before they are joined back.
+    before they are joined back. Photos without a library form one of their own.
     """
     marked = photos.join(
         ids.select("image_id").distinct().withColumn("_gone", F.lit(True)), "image_id", "left"
     ).withColumn("_gone", F.coalesce("_gone", F.lit(False)))
-    safe = marked.groupBy(library).agg(F.count_if(~F.col("_gone")).alias("_left"))
-    return (
-        marked.join(safe, library)
-        .filter(~F.col("_gone") | (F.col("_left") == 0))
-        .select(*photos.columns)
+    left = marked.groupBy(library).agg(F.count_if(~F.col("_gone")).alias("_left"))
+    emptied = left.filter("_left = 0").select(F.col(library).alias("_library"))
+    restored = F.col(library).eqNullSafe(F.col("_library"))
+    stay = marked.filter(~F.col("_gone")).unionByName(
+        marked.filter("_gone").join(emptied, restored, "left_semi")
     )
+    return stay.select(*photos.columns)
 
 
 def verify_unchanged(manifest: DataFrame, rescan: DataFrame) -> DataFrame:
@@ -122,9 +123,15 @@ def sanitize_recipe(proposed: DataFrame, current: DataFrame) -> DataFrame:
     """Accept typed-in values: ignore non-finite ones, clamp the others into their range.
 
     ``current`` supplies the value that stays when the input is ignored (neutral where the
-    photo has no recipe yet). Reports which keys were clamped and which ignored.
+    photo has no recipe yet). A curve with a coordinate that is not finite is ignored as a whole, a
+    mask field by itself. Reports which keys were clamped and which ignored, mask fields as
+    ``mask.<field>``.
     """
-    old = current.select("image_id", *[F.col(k).alias(f"_old_{k}") for k in S.KEYS])
+    kept = [c for c in ("mask", "curve") if c in proposed.columns]
+    held = {c: F.col(c) if c in current.columns else F.lit(None) for c in kept}
+    old = current.select(
+        "image_id", *[F.col(k).alias(f"_old_{k}") for k in S.KEYS], *[v.alias(f"_old_{c}") for c, v in held.items()]
+    )
     j = proposed.join(old, "image_id", "left")
     values, clamped, ignored = {}, [], []
     for k, (lo, hi) in S.ADJUSTMENT_RANGES.items():
@@ -134,29 +141,34 @@ def sanitize_recipe(proposed: DataFrame, current: DataFrame) -> DataFrame:
         ignored.append(F.when(~is_finite(F.col(k)), F.lit(k)))
     out = [F.col("image_id"), *values.values()]
     if "mask" in proposed.columns:
-        out.append(
-            F.struct(
-                *[
-                    _kept(F.col("mask")[f], F.lit(S.MASK_DEFAULTS[f]), lo, hi).alias(f)
-                    for f, (lo, hi) in S.MASK_RANGES.items()
-                ]
-            ).alias("mask")
-        )
+        fields = []
+        for f, (lo, hi) in S.MASK_RANGES.items():
+            v, before = F.col("mask")[f], F.lit(S.MASK_DEFAULTS[f])
+            if "mask" in current.columns:
+                before = F.coalesce(F.col("_old_mask")[f], before)
+            fields.append(_kept(v, before, lo, hi).alias(f))
+            clamped.append(F.when(is_finite(v) & ~v.between(lo, hi), F.lit(f"mask.{f}")))
+            ignored.append(F.when(~is_finite(v), F.lit(f"mask.{f}")))
+        out.append(F.struct(*fields).alias("mask"))
     if "curve" in proposed.columns:
         unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
-        out.append(
-            F.transform(
-                "curve",
-                lambda p: F.struct(
-                    p["id"].alias("id"),
-                    F.when(p["id"] == "black", 0.0)
-                    .when(p["id"] == "white", 1.0)
-                    .otherwise(unit(p["x"]))
-                    .alias("x"),
-                    unit(p["y"]).alias("y"),
-                ),
-            ).alias("curve")
+        sound = F.coalesce(F.forall("curve", lambda p: is_finite(p["x"]) & is_finite(p["y"])), F.lit(False))
+        before = default_curve()
+        if "curve" in current.columns:
+            before = F.coalesce(F.col("_old_curve"), before)
+        taken = F.transform(
+            "curve",
+            lambda p: F.struct(
+                p["id"].alias("id"),
+                F.when(p["id"] == "black", 0.0)
+                .when(p["id"] == "white", 1.0)
+                .otherwise(unit(p["x"]))
+                .alias("x"),
+                unit(p["y"]).alias("y"),
+            ),
         )
+        out.append(F.when(sound, taken).otherwise(before).alias("curve"))
+        ignored.append(F.when(~sound, F.lit("curve")))
     return j.select(
         *out,
         F.array_compact(F.array(*clamped)).alias("clamped_keys"),

@@ -1,19 +1,25 @@
 """Folding edit logs with undo and redo into the current state of each photo.
 
-The log is a table ``photo_id, seq, action, key, value``; ``seq`` is a distinct integer per
-photo and gives the order. Folding is order dependent, so a photo's events must meet; but the
-state between events is small. A photo whose log is long is therefore folded in bounded
-chunks: each round folds one chunk of every photo and hands the state on. No task ever holds
-more than one chunk of one photo, and ordinary logs finish in a single round.
+The log is a table ``photo_id, seq, action, key, value`` and optionally ``ts``; ``seq`` is an integer
+that is distinct per photo, and gives the order after ``ts`` where there is one. A redelivered event
+(same photo and ``seq``) counts once, and events with an unknown action or key, or without a value they
+need, are left out; ``quarantined_events`` returns them. Folding is order dependent, so a photo's
+events must meet; but the state between events is small. A photo whose log is long is therefore
+folded in bounded chunks: each round folds one chunk of every photo and hands the state on. No task
+ever holds more than one chunk of one photo, and ordinary logs finish in a single round.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
-from ..plans.ordered import DEFAULT_SPAN, with_next, with_previous
-from ..plans.session import cut_lineage
+from ..functions.numeric import is_finite
+from ..functions.recipe import has_curve_edits, has_mask_edits
+from ..plans.ordered import with_next, with_previous
+from ..plans.session import checkpoint_dir, cut_lineage
 
 CHUNK = 50_000
 
@@ -28,28 +34,58 @@ _KEY_INDEX = (
 )
 
 
+EDIT_ACTIONS = ("commit", "drag", "reset", "undo", "redo")
+APP_ACTIONS = ("adjust", "reset", "curve", "mask", "begin", "reset_all", "undo", "redo", "rate")
+
+
+def _sound(actions, columns) -> "F.Column":
+    """Is an event complete: known action, known key and a value where the action needs them."""
+    keyed, valued = [a for a in actions if a in ("commit", "drag", "adjust", "reset")], [a for a in actions if a in ("commit", "drag", "adjust")]
+    ok = F.col("photo_id").isNotNull() & F.col("seq").isNotNull() & F.col("action").isin(*actions)
+    ok &= ~F.col("action").isin(*keyed) | F.col("key").isin(*S.KEYS)
+    ok &= ~F.col("action").isin(*valued) | is_finite(F.col("value"))
+    for extra in ("curve", "mask"):
+        if extra in actions and extra in columns:
+            ok &= (F.col("action") != extra) | F.col(extra).isNotNull()
+    return F.coalesce(ok, F.lit(False))
+
+
+def valid_events(log: DataFrame, actions=EDIT_ACTIONS) -> DataFrame:
+    """Complete events, each (photo, seq) once: the earliest delivery by ``ts`` and content."""
+    once = log.filter(_sound(actions, log.columns))
+    rest = [c for c in log.columns if c not in ("photo_id", "seq")]
+    order = F.struct(*[F.col(c) for c in ("ts", *[c for c in rest if c != "ts"]) if c in rest])
+    first = once.groupBy("photo_id", "seq").agg(F.min(order).alias("_e"))
+    return first.select(*[F.col(c) if c in ("photo_id", "seq") else F.col(f"_e.{c}").alias(c) for c in log.columns])
+
+
+def quarantined_events(log: DataFrame, actions=EDIT_ACTIONS) -> DataFrame:
+    """The events that folding leaves out, with the reason."""
+    reason = (
+        F.when(F.col("photo_id").isNull() | F.col("seq").isNull(), "no photo or sequence")
+        .when(~F.coalesce(F.col("action").isin(*actions), F.lit(False)), "unknown action")
+        .when(~F.coalesce(F.col("key").isin(*S.KEYS), F.lit(False)) & ~F.col("action").isin("curve", "mask"), "unknown key")
+        .otherwise("no usable value")
+    )
+    return log.filter(~_sound(actions, log.columns)).withColumn("reason", reason)
+
+
 def with_chunks(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Number the chunks of each photo in order; a chunk holds at most ``2 * chunk`` events.
+    """Number the chunks of each photo in order; every chunk but the last holds ``chunk`` events.
 
-    ``seq`` values are distinct, so a range of ``chunk`` values has at most that many events;
-    thin ranges are merged from pre-aggregated counts. Short logs all get chunk 0.
+    Chunks are cut by rank, so it doesn't matter how sequence numbers are spaced. Ranks come from a
+    range-partitioned sort: a photo of any length is many ranges, and only the counts of (range,
+    photo) pairs travel between them.
     """
-    spans = log.groupBy("photo_id", F.floor(F.col("seq") / chunk).alias("_span")).agg(
-        F.count("*").alias("_n")
-    )
-    before = Window.partitionBy("photo_id").orderBy("_span").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    spans = spans.select(
-        "photo_id",
-        "_span",
-        F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk).cast("int").alias("chunk"),
-    )
-    return (
-        log.withColumn("_span", F.floor(F.col("seq") / chunk))
-        .join(spans, ["photo_id", "_span"])
-        .drop("_span")
-    )
+    order = [F.col(c) for c in ("photo_id", "ts", "seq") if c in log.columns]
+    placed = cut_lineage(log.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy("photo_id", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("photo_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("photo_id", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range", "photo_id").orderBy(*order[1:])
+    rank = F.col("_before") + F.row_number().over(inside) - 1
+    ranked = placed.join(counts, ["photo_id", "_range"]).withColumn("chunk", F.floor(rank / chunk).cast("int"))
+    return ranked.drop("_range", "_before")
 
 
 def _fold(log: DataFrame, event: str, state: str, initial: str, step: str, chunk: int) -> DataFrame:
@@ -72,17 +108,21 @@ def _fold(log: DataFrame, event: str, state: str, initial: str, step: str, chunk
         return grouped.select("photo_id", folded.alias("s"))
 
     # only photos with long logs need rounds; there are at most (events / chunk) of them
+    log = cut_lineage(log)
     counts = log.groupBy("photo_id").agg(F.count("*").alias("n"))
     long = counts.filter(F.col("n") > chunk).select("photo_id")
     if not long.limit(1).count():
         return one_round(log, None)
     long = cut_lineage(long)
     short_states = one_round(log.join(long, "photo_id", "left_anti"), None)
-    chunked = cut_lineage(with_chunks(log.join(long, "photo_id", "left_semi"), chunk))
+    # written by chunk, so that a round reads its own chunk only
+    place = f"{checkpoint_dir(log.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    with_chunks(log.join(long, "photo_id", "left_semi"), chunk).write.partitionBy("chunk").parquet(place)
+    chunked = log.sparkSession.read.parquet(place)
     last = chunked.agg(F.max("chunk")).first()[0]
     states = None
     for i in range(last + 1):
-        states = cut_lineage(one_round(chunked.filter(F.col("chunk") == i), states))
+        states = cut_lineage(one_round(chunked.filter(F.col("chunk") == i).drop("chunk"), states))
     return short_states.unionByName(states)
 
 
@@ -124,6 +164,10 @@ def _value_of_event() -> str:
     return f"CASE WHEN action = 'reset' THEN {_NEUTRAL}[{_KEY_INDEX}[key]] ELSE value END"
 
 
+def _when(log: DataFrame) -> str:
+    return "'ts', ts, " if "ts" in log.columns else ""
+
+
 def fold_edit_log(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Current adjustments and both stacks per photo.
 
@@ -132,10 +176,10 @@ def fold_edit_log(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     snapshots as arrays in the order of ``schema.KEYS``.
     """
     event = (
-        "named_struct('seq', seq, 'action', action, "
+        f"named_struct({_when(log)}'seq', seq, 'action', action, "
         f"'k', {_KEY_INDEX}[key], 'value', {_value_of_event()})"
     )
-    folded = _fold(log, event, _EDIT_STATE, _EDIT_INITIAL, _EDIT_STEP, chunk)
+    folded = _fold(valid_events(log), event, _EDIT_STATE, _EDIT_INITIAL, _EDIT_STEP, chunk)
     return folded.select("photo_id", "s.current", "s.history", "s.future")
 
 
@@ -210,21 +254,29 @@ def fold_app_log(log: DataFrame, chunk: int = CHUNK) -> DataFrame:
     do not, the ``begin`` before them does. A reset of everything enters it without the limit.
     """
     event = (
-        "named_struct('seq', seq, 'action', action, "
+        f"named_struct({_when(log)}'seq', seq, 'action', action, "
         f"'k', {_KEY_INDEX}[key], 'value', {_value_of_event()}, 'curve', curve, 'mask', mask)"
     )
     initial = _state(current=_app_initial(), rating="0", history="array()", future="array()")
-    folded = _fold(log, event, _APP_STATE, initial, _app_step(), chunk)
+    folded = _fold(valid_events(log, APP_ACTIONS), event, _APP_STATE, initial, _app_step(), chunk)
     return folded.select("photo_id", "s.current", "s.rating", "s.history", "s.future")
 
 
 def edit_status(state: DataFrame) -> DataFrame:
-    """Can the photo be undone or redone, and how many keys differ from neutral."""
+    """Can the photo be undone or redone, and how many edits differ from neutral.
+
+    Takes the states of both folds; with whole snapshots the curve and the mask count as one edit
+    each.
+    """
+    whole = state.schema["current"].dataType.simpleString().startswith("struct")
+    values = F.col("current.adjustments") if whole else F.col("current")
     changed = F.aggregate(
-        F.zip_with("current", F.expr(_NEUTRAL), lambda v, d: (v != d).cast("int")),
+        F.zip_with(values, F.expr(_NEUTRAL), lambda v, d: (v != d).cast("int")),
         F.lit(0),
         lambda n, c: n + c,
     )
+    if whole:
+        changed += has_curve_edits(F.col("current.curve")).cast("int") + has_mask_edits(F.col("current.mask")).cast("int")
     return state.select(
         "photo_id",
         (F.size("history") > 0).alias("can_undo"),
@@ -236,23 +288,27 @@ def edit_status(state: DataFrame) -> DataFrame:
 # --- neighbours in the log --------------------------------------------------
 
 
-def suppress_noop(log: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+def _order(log: DataFrame) -> list[str]:
+    return [c for c in ("ts", "seq") if c in log.columns]
+
+
+def suppress_noop(log: DataFrame) -> DataFrame:
     """Adjust events of a log without undo that really change their key."""
     adjusts = log.filter(F.col("action").isin("commit", "drag", "reset")).withColumn(
         "value", F.expr(_value_of_event())
     )
-    seen = with_previous(adjusts, ["photo_id", "key"], "seq", ["value"], span)
+    seen = with_previous(adjusts, ["photo_id", "key"], _order(log), ["value"])
     neutral = F.expr(f"{_NEUTRAL}[{_KEY_INDEX}[key]]")
     before = F.when(F.col("prev_exists"), F.col("prev_value")).otherwise(neutral)
     return seen.filter(~F.col("value").eqNullSafe(before)).select(*log.columns)
 
 
-def param_history(log: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
+def param_history(log: DataFrame) -> DataFrame:
     """History as parameter differences: one row per change with old and new value."""
     adjusts = log.filter(F.col("action").isin("commit", "drag", "reset")).withColumn(
         "value", F.expr(_value_of_event())
     )
-    seen = with_previous(adjusts, ["photo_id", "key"], "seq", ["value"], span)
+    seen = with_previous(adjusts, ["photo_id", "key"], _order(log), ["value"])
     neutral = F.expr(f"{_NEUTRAL}[{_KEY_INDEX}[key]]")
     before = F.when(F.col("prev_exists"), F.col("prev_value")).otherwise(neutral)
     return seen.select(
@@ -260,9 +316,9 @@ def param_history(log: DataFrame, span: int = DEFAULT_SPAN) -> DataFrame:
     ).filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
-def settled_edits(log: DataFrame, gap_ms: int = S.SETTLE_GAP_MS, span: int = DEFAULT_SPAN) -> DataFrame:
-    """Edits not followed by another one of the same photo within the gap."""
-    ordered = with_next(log, ["photo_id"], "seq", ["ts"], span)
+def settled_edits(log: DataFrame, gap_ms: int = S.SETTLE_GAP_MS) -> DataFrame:
+    """Edits not followed by another one of the same photo within the gap, in order of (ts, seq)."""
+    ordered = with_next(log, ["photo_id"], _order(log), ["ts"])
     wait = F.unix_micros("next_ts") - F.unix_micros("ts")
     return ordered.filter(~F.col("next_exists") | (wait >= gap_ms * 1000)).select(*log.columns)
 
@@ -270,7 +326,7 @@ def settled_edits(log: DataFrame, gap_ms: int = S.SETTLE_GAP_MS, span: int = DEF
 def throttle_latest(log: DataFrame, window: str = "100 milliseconds") -> DataFrame:
     """Latest edit of each photo per time slot (partial aggregation, no ordering needed)."""
     row = F.struct(*[c for c in log.columns if c != "photo_id"])
-    latest = F.max_by(row, F.col("seq")).alias("e")
+    latest = F.max_by(row, F.struct(*_order(log))).alias("e")
     return (
         log.groupBy("photo_id", F.window("ts", window).alias("w")).agg(latest).select("photo_id", "e.*")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import half_up
-from ..plans.joins import has_few_rows, join_per_image
+from ..plans.joins import BROADCAST_ROWS, has_few_rows, join_per_image
 from ..plans.session import spread
 from .. import schema as S
 
@@ -74,22 +74,33 @@ def turn_quarters(pixels: DataFrame) -> DataFrame:
     return _with(pixels, x=_PLACE_X, y=_PLACE_Y, width="geo.ow", height="geo.oh").drop("qx", "qy", "geo")
 
 
-def turn_freely(pixels: DataFrame, dims: DataFrame) -> DataFrame:
-    """Any angle, nearest source pixel, without a join.
+def turn_any(pixels: DataFrame, free: DataFrame) -> DataFrame:
+    """Quarter turns and other angles in one pass over the pixels, without a join.
 
-    A source pixel can be the nearest source of at most four output pixels, so it proposes
-    those four and keeps the ones whose own inverse position falls inside it. Output pixels
-    with no source are generated from ``dims`` as transparent black.
+    A quarter turn moves a pixel to one place. For other angles (nearest source pixel) a source can
+    be the nearest of at most four output pixels, so it proposes those four and keeps the ones whose
+    own inverse position falls inside it. Output pixels with no source are generated from ``free``
+    (``frame_geometry`` of the photos with such angles) as transparent black.
     """
     keep = [c for c in pixels.columns if c not in ("x", "y")]
-    moved = _with(pixels, sx="x", sy="y", qx=_FIRST_X, qy=_FIRST_Y).select(
-        *keep, "sx", "sy", "qx", "qy", F.expr("explode(array(0, 1, 2, 3)) AS n")
+    whole = "geo.quarter >= 0"
+    moved = _with(
+        pixels, sx="x", sy="y",
+        qx=f"CASE WHEN {whole} THEN {_TURN_X} ELSE {_FIRST_X} END",
+        qy=f"CASE WHEN {whole} THEN {_TURN_Y} ELSE {_FIRST_Y} END",
+    ).select(
+        *keep, "sx", "sy", "qx", "qy",
+        F.expr(f"explode(CASE WHEN {whole} THEN array(0) ELSE array(0, 1, 2, 3) END) AS n"),
     )
-    covered = _with(moved, x="qx + n % 2", y="qy + shiftright(n, 1)").filter(
-        "x BETWEEN 0 AND geo.ow - 1 AND y BETWEEN 0 AND geo.oh - 1 "
-        f"AND floor({_BACK_X}) = sx AND floor({_BACK_Y}) = sy"
+    covered = _with(
+        moved,
+        x=f"CASE WHEN {whole} THEN {_PLACE_X} ELSE qx + n % 2 END",
+        y=f"CASE WHEN {whole} THEN {_PLACE_Y} ELSE qy + shiftright(n, 1) END",
+    ).filter(
+        f"{whole} OR (x BETWEEN 0 AND geo.ow - 1 AND y BETWEEN 0 AND geo.oh - 1 "
+        f"AND floor({_BACK_X}) = sx AND floor({_BACK_Y}) = sy)"
     )
-    blank = full_grid(_with(dims, ow="geo.ow", oh="geo.oh"), "ow", "oh").filter(
+    blank = full_grid(_with(free, ow="geo.ow", oh="geo.oh"), "ow", "oh").filter(
         f"floor({_BACK_X}) NOT BETWEEN 0 AND geo.w - 1 "
         f"OR floor({_BACK_Y}) NOT BETWEEN 0 AND geo.h - 1"
     )
@@ -101,11 +112,7 @@ def turn_freely(pixels: DataFrame, dims: DataFrame) -> DataFrame:
 
 def rotate_flip(pixels: DataFrame, dims: DataFrame) -> DataFrame:
     """Turn and flip every photo by its recipe; ``dims`` holds ``frame_geometry`` per image."""
-    right, free = dims.filter("geo.quarter >= 0"), dims.filter("geo.quarter < 0")
-    small = has_few_rows(dims)
-    return turn_quarters(join_per_image(pixels, right, small)).unionByName(
-        turn_freely(join_per_image(pixels, free, small), free)
-    )
+    return turn_any(join_per_image(pixels, dims, has_few_rows(dims)), dims.filter("geo.quarter < 0"))
 
 
 def full_grid(dims: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
@@ -129,24 +136,38 @@ def preview_size(images: DataFrame, max_edge: int = S.PREVIEW_EDGE) -> DataFrame
 
 
 def preview(pixels: DataFrame, images: DataFrame, max_edge: int = S.PREVIEW_EDGE) -> DataFrame:
-    """Box-filtered preview; averages are exact integer sums rounded half up."""
+    """Box-filtered preview; averages are exact integer sums rounded half up.
+
+    Photos that already fit pass through; only the others are summed, map-side first.
+    """
     dims = preview_size(images, max_edge).select(
         "image_id", "width", "height", "out_width", "out_height"
     )
+    shrink = "out_width <> width OR out_height <> height"
+    need = dims.agg(
+        F.count("*").alias("n"), F.max(F.expr(shrink)).alias("some"), F.max(F.expr(f"NOT ({shrink})")).alias("rest")
+    ).first()
+    small = need["n"] <= BROADCAST_ROWS
     cell = lambda pos, size, extent: F.expr(
         f"cast((cast({pos} as bigint) * {size}) div {extent} as int)"
     )
-    return (
-        pixels.join(dims, "image_id")
-        .select(
-            "image_id",
-            cell("x", "out_width", "width").alias("x"),
-            cell("y", "out_height", "height").alias("y"),
-            "r", "g", "b", "a",
+    out = []
+    if need["rest"] or not need["some"]:
+        fits = join_per_image(pixels, dims.filter(f"NOT ({shrink})").select("image_id"), small)
+        out.append(fits.select("image_id", "x", "y", "r", "g", "b", "a"))
+    if need["some"]:
+        large = join_per_image(pixels, dims.filter(shrink), small)
+        out.append(
+            large.select(
+                "image_id",
+                cell("x", "out_width", "width").alias("x"),
+                cell("y", "out_height", "height").alias("y"),
+                "r", "g", "b", "a",
+            )
+            .groupBy("image_id", "x", "y")
+            .agg(*[_mean_byte(c) for c in "rgba"])
         )
-        .groupBy("image_id", "x", "y")
-        .agg(*[_mean_byte(c) for c in "rgba"])
-    )
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 def _mean_byte(c):
@@ -154,14 +175,20 @@ def _mean_byte(c):
 
 
 def pyramid(pixels: DataFrame, levels: int = 3) -> DataFrame:
-    """Full size, 1/2, 1/4, ... in one pass: each pixel is counted once per level."""
-    return (
-        pixels.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .groupBy(
-            "image_id",
-            "level",
-            F.expr("shiftright(x, level)").alias("x"),
-            F.expr("shiftright(y, level)").alias("y"),
-        )
-        .agg(*[_mean_byte(c) for c in "rgba"])
+    """Full size, 1/2, 1/4, ...: exact means of the full-size pixels at every level.
+
+    Level 0 passes through. Each further level adds up the sums and counts of the one below, a
+    quarter of its rows, so the pixels themselves are shuffled once.
+    """
+    out = pixels.select("image_id", F.lit(0).alias("level"), "x", "y", *"rgba")
+    sums = pixels.select(
+        "image_id", "x", "y", *[F.col(c).cast("long").alias(c) for c in "rgba"],
+        *[F.expr(f"cast({c} IS NOT NULL as long)").alias(f"n{c}") for c in "rgba"],
     )
+    for level in range(1, levels + 1):
+        sums = sums.groupBy("image_id", F.expr("shiftright(x, 1)").alias("x"), F.expr("shiftright(y, 1)").alias("y")).agg(
+            *[F.sum(c).alias(c) for c in ("r", "g", "b", "a", "nr", "ng", "nb", "na")]
+        )
+        means = [F.expr(f"cast(floor({c} / nullif(n{c}, 0) + 0.5D) as int)").alias(c) for c in "rgba"]
+        out = out.unionByName(sums.select("image_id", F.lit(level).alias("level"), "x", "y", *means))
+    return out

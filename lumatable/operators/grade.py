@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions.color import byte_to_linear_sql
 from ..functions.recipe import INLINE_KNOTS, default_curve, default_mask, render_constants
-from .geometry import frame_geometry, preview, preview_size, turn_freely, turn_quarters
-from ..plans.joins import has_few_rows, join_per_image
+from .geometry import frame_geometry, preview, preview_size, turn_any, turn_quarters
+from ..plans.joins import BROADCAST_ROWS, has_few_rows, join_per_image
 from .tiles import TILE, tile_with_halo
 
 CHANNELS = ("r", "g", "b")
@@ -191,14 +191,17 @@ def vibrance_saturation(px: DataFrame) -> DataFrame:
 
 
 def quantize(px: DataFrame) -> DataFrame:
-    """Back to bytes; photos with a neutral recipe keep their input bytes untouched."""
+    """Back to bytes; photos with a neutral recipe keep their input bytes untouched.
+
+    A pixel with a missing byte has no colour: all three of its channels come out null.
+    """
     return _with(
         px,
         **{
-            c: f"CASE WHEN k.neutral THEN {c} ELSE cast({_clamp01(l)} * 255D + 0.5D as int) END"
+            c: f"CASE WHEN hole THEN NULL WHEN k.neutral THEN {c} ELSE cast({_clamp01(l)} * 255D + 0.5D as int) END"
             for c, l in zip(CHANNELS, LINEAR)
         },
-    ).drop(*LINEAR)
+    ).drop(*LINEAR, "hole")
 
 
 ROW_STAGES = (
@@ -217,7 +220,8 @@ ROW_STAGES = (
 
 def tone(px: DataFrame, stages=ROW_STAGES) -> DataFrame:
     """Run the row stages on pixels joined with ``width``, ``height`` and the struct ``k``."""
-    # non-null inputs keep null checks out of the pixel loop; a missing byte counts as 0
+    # non-null inputs keep null checks out of the pixel loop
+    px = _with(px, hole="r IS NULL OR g IS NULL OR b IS NULL")
     px = _with(px, **{c: f"coalesce({c}, 0)" for c in ("x", "y", *CHANNELS)})
     for stage in stages:
         px = stage(px)
@@ -232,8 +236,8 @@ def detail(px: DataFrame, tile_size: int = TILE) -> DataFrame:
 
     Reads ``width``, ``height``, ``denoise`` and ``sharpen`` (fractions) next to the bytes. One
     exchange by (image, tile); the horizontal and the vertical pass only re-sort inside it.
-    Range frames keep the sums right even where a pixel is missing, and a neighbourhood that
-    is not complete raises instead of being blurred with too few values.
+    Range frames keep the sums right even where a pixel is missing. A pixel whose neighbourhood
+    is not complete keeps its value, and ``grid_gaps`` names its photo.
     """
     tile = ["image_id", "tile_x", "tile_y"]
     tiled = tile_with_halo(px, tile_size, 1).repartition(*tile)
@@ -258,15 +262,13 @@ def detail(px: DataFrame, tile_size: int = TILE) -> DataFrame:
             for c in CHANNELS
         },
     )
-    hole = "raise_error('incomplete 3x3 neighbourhood: the pixel grid has holes')"
-
     def sharpened(c):
         e = (
             f"CASE WHEN sharpen >= 0D THEN d{c} + (d{c} - m{c}) * sharpen * 3.2D "
             f"ELSE d{c} * (1D + sharpen) + m{c} * -sharpen END"
         )
         return (
-            f"CASE WHEN NOT inner THEN {c} WHEN sn < 9 THEN cast({hole} as int) "
+            f"CASE WHEN NOT inner OR sn < 9 THEN {c} "
             f"ELSE cast(floor(least(255D, greatest(0D, {e})) + 0.5D) as int) END"
         )
 
@@ -274,15 +276,23 @@ def detail(px: DataFrame, tile_size: int = TILE) -> DataFrame:
 
 
 def grid_gaps(pixels: DataFrame, images: DataFrame) -> DataFrame:
-    """Images whose pixel count is not width x height."""
-    counts = pixels.groupBy("image_id").agg(F.count("*").alias("n_pixels"))
+    """Photos whose pixels and image row do not agree, with the reason.
+
+    ``status``: ``no-image-row`` (grading leaves these pixels out), ``no-pixels``, ``incomplete``
+    (missing pixels or bytes), ``surplus``. A pixel counts if it has all of its bytes.
+    """
+    whole = F.col("r").isNotNull() & F.col("g").isNotNull() & F.col("b").isNotNull()
+    counts = pixels.groupBy("image_id").agg(F.count_if(whole).alias("n_pixels"))
     expected = (F.col("width").cast("long") * F.col("height")).alias("n_expected")
-    return (
-        images.select("image_id", expected)
-        .join(counts, "image_id", "left")
-        .select("image_id", "n_expected", F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"))
-        .filter(F.col("n_pixels") != F.col("n_expected"))
+    rows = images.select("image_id", expected, F.lit(True).alias("_row"))
+    joined = rows.join(counts, "image_id", "full")
+    status = F.expr(
+        "CASE WHEN _row IS NULL THEN 'no-image-row' WHEN n_pixels IS NULL AND coalesce(n_expected, 1) > 0 THEN 'no-pixels' "
+        "WHEN coalesce(n_pixels, 0) < n_expected THEN 'incomplete' WHEN n_pixels > n_expected THEN 'surplus' END"
     )
+    return joined.select(
+        "image_id", "n_expected", F.coalesce("n_pixels", F.lit(0)).alias("n_pixels"), status.alias("status")
+    ).filter("status IS NOT NULL")
 
 
 def grade(
@@ -295,37 +305,48 @@ def grade(
 ) -> DataFrame:
     """Render every photo with its recipe.
 
-    Order: optional preview size, rotation and flips, tone stages, detail. Photos that need
-    neither detail nor a free angle take a branch without any shuffle. ``extra_stages`` are DataFrame -> DataFrame
-    functions run on the graded bytes.
+    Order: optional preview size, rotation and flips, tone stages, detail. One look at the recipes
+    tells which steps any photo needs; the others are not planned. Pixels are read once, and a
+    second time only if some photos need the 3x3 stage, so that all others pass without a shuffle.
+    ``extra_stages`` are DataFrame -> DataFrame functions run on the graded bytes.
     """
     if max_edge is not None:
         pixels = preview(pixels, images, max_edge)
         images = preview_size(images, max_edge).select(
             "image_id", F.col("out_width").alias("width"), F.col("out_height").alias("height")
         )
-    dims, small = render_table(images, recipes), has_few_rows(images)
-    # a recipe with either value set is never neutral, so no further test is needed
-    right, free = dims.filter("geo.quarter >= 0"), dims.filter("geo.quarter < 0")
-    untouched = right.filter("k.denoise = 0D AND k.sharpen = 0D")
-    touched = right.filter("k.denoise <> 0D OR k.sharpen <> 0D")
-    plain = tone(turn_quarters(join_per_image(pixels, untouched, small)))
-    turned = turn_quarters(join_per_image(pixels, touched, small)).unionByName(
-        turn_freely(join_per_image(pixels, free, small), free)
-    )
-    fine = tone(turned).selectExpr(
-        *S.PIXELS.fieldNames(), "width", "height", "k.denoise", "k.sharpen"
-    )
-    out = plain.select(*S.PIXELS.fieldNames()).unionByName(
-        detail(fine, tile_size).select(*S.PIXELS.fieldNames())
-    )
+    dims = render_table(images, recipes)
+    fine = "k.denoise <> 0D OR k.sharpen <> 0D"
+    need = dims.agg(
+        F.count("*").alias("n"), F.max(F.expr(fine)).alias("fine"), F.max(F.expr("geo.quarter < 0")).alias("free"),
+        F.max(F.expr("geo.quarter <> 0 OR geo.sx < 0D OR geo.sy < 0D")).alias("turned"),
+    ).first()
+    small, bytes_ = need["n"] <= BROADCAST_ROWS, S.PIXELS.fieldNames()
+
+    def rendered(some):
+        px = join_per_image(pixels, some, small)
+        if need["free"]:
+            px = turn_any(px, some.filter("geo.quarter < 0"))
+        elif need["turned"]:
+            px = turn_quarters(px)
+        return tone(px)
+
+    if need["fine"]:
+        out = rendered(dims.filter(f"NOT ({fine})")).select(*bytes_)
+        touched = rendered(dims.filter(fine)).selectExpr(*bytes_, "width", "height", "k.denoise", "k.sharpen")
+        out = out.unionByName(detail(touched, tile_size).select(*bytes_))
+    else:
+        out = rendered(dims).select(*bytes_)
     for stage in extra_stages:
         out = stage(out)
     return out
 
 
 def compare_renditions(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Per-image difference of two renditions; frames may differ in size."""
+    """Per-image difference of two renditions; frames may differ in size.
+
+    ``mean_abs_diff`` is taken over the three channels of the pixels that both sides have.
+    """
     side = lambda df, p: df.select(
         "image_id", "x", "y", *[F.col(c).alias(f"{p}{c}") for c in CHANNELS]
     )
@@ -337,6 +358,7 @@ def compare_renditions(before: DataFrame, after: DataFrame) -> DataFrame:
         F.count_if(both).alias("compared"),
         F.count_if(both & (diff > 0)).alias("changed"),
         F.coalesce(F.sum(F.when(both, diff)), F.lit(0)).alias("sum_abs_diff"),
+        (F.sum(F.when(both, diff)) / (F.count_if(both) * 3)).alias("mean_abs_diff"),
         F.max(F.when(both, F.greatest(*diffs))).alias("max_abs_diff"),
         F.count_if(~both).alias("unmatched"),
     )

@@ -11,6 +11,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
+from ..functions.numeric import total
+from ..functions.recipe import sort_curve
+from .stats import HUE_BANDS
 
 # How a parameter is interpolated; everything not listed is additive.
 PARAM_KINDS = {
@@ -71,25 +74,82 @@ def mix_styles(styles: DataFrame, protected=PROTECTED) -> DataFrame:
     """Weighted mix of recipes per photo, each parameter by its kind.
 
     ``styles``: image_id, style, weight, param, value. Additive values mix linearly, gains in the
-    log domain, hues (degrees) on the circle, and categories follow the heaviest style.
+    log domain, hues (degrees) on the circle, and categories follow the heaviest style. Styles
+    without a value (for gains, a positive one) don't weigh in; where no weight is left the value is
+    null. Curves are mixed by ``mix_curves``.
     """
     w, v = F.col("weight"), F.col("value")
     rad = v * (math.pi / 180.0)
     rows = styles.filter(~F.col("param").isin(list(protected))).withColumn("kind", _kind())
-    total = F.sum(w)
+    over = lambda e, ok: F.try_divide(F.sum(F.when(ok, e)), F.sum(F.when(ok, w)))
+    log = F.when(v > 0, F.ln(v))
     return rows.groupBy("image_id", "param").agg(
-        F.when(F.first("kind") == "gain", F.exp(F.sum(F.when(F.col("kind") == "gain", w * F.ln(v))) / total))
+        F.when(F.first("kind") == "gain", F.exp(over(w * log, v > 0)))
         .when(
             F.first("kind") == "hue",
             F.atan2(F.sum(w * F.sin(rad)), F.sum(w * F.cos(rad))) * (180.0 / math.pi),
         )
         # on equal weight the first style by name wins
         .when(F.first("kind") == "category", F.min_by(v, F.struct(-w, F.col("style"))))
-        .otherwise(F.sum(w * v) / total)
+        .otherwise(over(w * v, v.isNotNull()))
         .alias("value")
     )
 
 
+# --- curves -----------------------------------------------------------------
+
+CURVE_SAMPLES = 64
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, not once per mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sample_curve(curve: Column, n: int = CURVE_SAMPLES) -> Column:
+    """Values of a piecewise-linear curve at ``n`` even places; an empty or null one is the diagonal."""
+
+    def between(lo, hi, x):
+        run = F.greatest(F.lit(1e-4), hi["x"] - lo["x"])
+        inside = lo["y"] + (hi["y"] - lo["y"]) * ((x - lo["x"]) / run)
+        return F.coalesce(inside, hi["y"], lo["y"], x)
+
+    def at(points, x):
+        first_right = lambda left: between(F.get(points, left - 1), F.get(points, left), x)
+        return _let(F.size(F.filter(points, lambda p: p["x"] < x)), first_right)
+
+    places = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
+    return _let(F.coalesce(sort_curve(curve), F.array()), lambda points: F.transform(places, lambda x: at(points, x)))
+
+
+def monotone(values: Column) -> Column:
+    """Running maximum of a short array."""
+    rise = lambda acc, v: F.concat(acc, F.array(F.greatest(v, F.try_element_at(acc, F.lit(-1)))))
+    return F.aggregate(values, F.array().cast("array<double>"), rise)
+
+
+def curve_of_samples(values: Column) -> Column:
+    """Curve points from values at even places; the ends keep their names."""
+
+    def point(v, i, last):
+        name = F.when(i == 0, "black").when(i == last, "white").otherwise(F.concat(F.lit("s"), i.cast("string")))
+        return F.struct(name.alias("id"), (i.cast("double") / last).alias("x"), v.alias("y"))
+
+    return _let(values, lambda ys: F.transform(ys, lambda v, i: point(v, i, F.size(ys) - 1)))
+
+
+def mix_curves(styles: DataFrame, n: int = CURVE_SAMPLES) -> DataFrame:
+    """Weighted mix of curves per photo, sampled and made monotone.
+
+    ``styles``: image_id, weight, curve. Gives image_id, curve; photos whose weights add up to 0 get
+    the diagonal.
+    """
+    rows = styles.select("image_id", "weight", F.posexplode(sample_curve(F.col("curve"), n)).alias("pos", "y"))
+    mixed = monotone_curve(rows).withColumn("y", F.coalesce("y", F.col("pos") / float(n - 1)))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("pos", "y"))), lambda p: p["y"])
+    return mixed.groupBy("image_id").agg(curve_of_samples(values).alias("curve"))
+
+
 def monotone_curve(samples: DataFrame) -> DataFrame:
     """Blend sampled curves and make the result monotone.
 
@@ -97,7 +157,7 @@ def monotone_curve(samples: DataFrame) -> DataFrame:
     the running maximum.
     """
     blended = samples.groupBy("image_id", "pos").agg(
-        (F.sum(F.col("weight") * F.col("y")) / F.sum("weight")).alias("y")
+        F.try_divide(F.sum(F.col("weight") * F.col("y")), F.sum("weight")).alias("y")
     )
     up = Window.partitionBy("image_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return blended.select("image_id", "pos", F.max("y").over(up).alias("y"))
@@ -122,8 +182,27 @@ def sync_recipes(recipes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def explain_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changed parameters with their difference, largest share of the range first."""
+# The part of the renderer that a parameter belongs to, for reports.
+SUBSYSTEMS = {
+    "white_balance": ["temperature", "tint"],
+    "color": ["vibrance", "saturation"],
+    "detail": ["sharpness", "noiseReduction"],
+    "geometry": ["rotation", "flipHorizontal", "flipVertical"],
+    "local": ["maskExposure", "maskFeather", "vignette", "lensBrightness"],
+}
+
+
+def subsystem(param: Column) -> Column:
+    pairs = [F.lit(v) for name, keys in SUBSYSTEMS.items() for k in keys for v in (k, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), param), F.lit("tone"))
+
+
+def explain_changes(before: DataFrame, after: DataFrame, confidence: DataFrame | None = None) -> DataFrame:
+    """Changed parameters with their difference, its share of the range and their subsystem.
+
+    ``confidence`` (image_id, subsystem, confidence), where given, says how sure the step was that
+    proposed the change; parameters of other subsystems have none.
+    """
     b = long_recipes(before).withColumnRenamed("value", "old_value")
     a = long_recipes(after).withColumnRenamed("value", "new_value")
     j = b.join(a, ["image_id", "param"]).withColumn("delta", F.col("new_value") - F.col("old_value"))
@@ -131,7 +210,10 @@ def explain_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         *[F.lit(v) for k, (lo, hi) in S.ADJUSTMENT_RANGES.items() for v in (k, hi - lo)]
     )
     share = F.abs(F.col("delta")) / F.element_at(ranges, F.col("param"))
-    return j.filter(F.col("delta") != 0).withColumn("share", share)
+    out = j.filter(F.col("delta") != 0).withColumns({"share": share, "subsystem": subsystem(F.col("param"))})
+    if confidence is None:
+        return out.withColumn("confidence", F.lit(None).cast("double"))
+    return out.join(confidence.select("image_id", "subsystem", "confidence"), ["image_id", "subsystem"], "left")
 
 
 # --- reference match --------------------------------------------------------
@@ -141,6 +223,11 @@ MATCH_MODES = ("tone", "color", "full")
 CURVE_KNOTS = (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95))
 SLOPE_LIMITS = (0.25, 4.0)
 MIN_CONFIDENCE = 0.05
+# Share of all band mass that both photos need in a hue band before it is matched, and the limits
+# of what a band may change.
+BAND_SUPPORT, BAND_TURN, BAND_GAIN = 0.04, 30.0, 0.5
+ZONES = ("shadow", "mid", "high")
+GRADE_LIMIT = 0.08
 
 
 def match_reference(pairs: DataFrame, features: DataFrame, mode: str = "full") -> DataFrame:
@@ -148,7 +235,10 @@ def match_reference(pairs: DataFrame, features: DataFrame, mode: str = "full") -
 
     ``pairs``: target_id, ref_id. Steps: exposure from the middle quantiles, white balance from
     the neutral centres (only if both are confident), a monotone curve through sparse quantiles
-    with slope limits, chroma from the density slopes. Geometry, lens and masks are never touched.
+    with slope limits, hue bands (``bands``: turn in degrees and chroma gain, only where both photos
+    have enough mass), grading (``grading``: a/b offset of shadows, midtones and highlights) and
+    chroma from the density slopes. Geometry, lens and masks are never touched. Bands and grading
+    are null where the features lack those columns.
     """
     if mode not in MATCH_MODES:
         raise ValueError(f"unknown mode {mode!r}; choose one of {', '.join(MATCH_MODES)}")
@@ -200,10 +290,33 @@ def match_reference(pairs: DataFrame, features: DataFrame, mode: str = "full") -
     saturation = (
         bounded(F.coalesce(sat, F.lit(0.0)) * 25.0, -50.0, 50.0) if mode == "full" else F.lit(0.0)
     )
+    bands, grading = F.lit(None), F.lit(None)
+    if color and f"{next(iter(HUE_BANDS))}_mass" in features.columns:
+        whole = {p: total([F.coalesce(f"{p}_{n}_mass", F.lit(0.0)) for n in HUE_BANDS]) for p in "tr"}
+        share = lambda p, n: F.coalesce(F.try_divide(F.col(f"{p}_{n}_mass"), whole[p]), F.lit(0.0))
+        rows = []
+        for n in HUE_BANDS:
+            held = F.least(share("t", n), share("r", n))
+            turn = F.pmod(F.col(f"r_{n}_hue") - F.col(f"t_{n}_hue") + 180.0, F.lit(360.0)) - 180.0
+            gain = F.try_divide(F.col(f"r_{n}_chroma"), F.col(f"t_{n}_chroma")) - 1.0
+            rows.append(F.when(held >= BAND_SUPPORT, F.struct(
+                F.lit(n).alias("band"), bounded(turn, -BAND_TURN, BAND_TURN).alias("turn"),
+                bounded(gain, -BAND_GAIN, BAND_GAIN).alias("gain"), held.alias("support"),
+            )))
+        bands = F.array_compact(F.array(*rows))
+    if mode == "full" and "shadow_a" in features.columns:
+        offset = lambda z, axis: bounded(
+            F.coalesce(F.col(f"r_{z}_{axis}") - F.col(f"t_{z}_{axis}"), F.lit(0.0)), -GRADE_LIMIT, GRADE_LIMIT
+        )
+        grading = F.array(*[
+            F.struct(F.lit(z).alias("zone"), offset(z, "a").alias("a"), offset(z, "b").alias("b")) for z in ZONES
+        ])
     confidence = F.least(F.col("t_neutral_confidence"), F.col("r_neutral_confidence"))
     return j.select(
         "target_id", "ref_id", "exposure", "temperature", "tint",
         saturation.alias("saturation"), curve.alias("curve"), confidence.alias("wb_confidence"),
+        bands.cast("array<struct<band:string,turn:double,gain:double,support:double>>").alias("bands"),
+        grading.cast("array<struct<zone:string,a:double,b:double>>").alias("grading"),
     )
 
 
@@ -237,20 +350,27 @@ def refine_exposure(matches: DataFrame, features: DataFrame, steps: int = 5, wid
 def match_strength(original: DataFrame, matched: DataFrame, strength: float) -> DataFrame:
     """Move from the original to the matched recipe by 0..100 %, each parameter by its kind.
 
-    Strength 0 returns the original values exactly.
+    The columns are the photo's id and the original's keys, curve and mask, at any strength. Curves
+    are sampled, mixed and made monotone; the mask stays. Strength 0 and photos without a match
+    return the original values exactly.
     """
-    if strength == 0:
-        return original
     t = strength / 100.0
-    keys = [k for k in S.KEYS if k in matched.columns]
-    m = matched.select("image_id", *[F.col(k).alias(f"_m_{k}") for k in keys])
+    named = [k for k in S.KEYS if k in original.columns]
+    extra = [c for c in ("curve", "mask") if c in original.columns]
+    if t == 0:
+        return original.select("image_id", *named, *extra)
+    keys = [k for k in named if k in matched.columns]
+    curved = "curve" in extra and "curve" in matched.columns
+    m = matched.select(
+        "image_id", *[F.col(k).alias(f"_m_{k}") for k in keys], *([F.col("curve").alias("_m_curve")] if curved else [])
+    )
     j = original.join(m, "image_id", "left")
 
     def moved(k):
         a, b = F.col(k), F.col(f"_m_{k}")
         kind = PARAM_KINDS.get(k, "additive")
         if kind == "gain":
-            v = F.exp(F.ln(a) * (1 - t) + F.ln(b) * t)
+            v = F.when((a > 0) & (b > 0), F.exp(F.ln(a) * (1 - t) + F.ln(b) * t))
         elif kind == "hue":
             v = a + (F.pmod(b - a + 180.0, F.lit(360.0)) - 180.0) * t
         elif kind == "category":
@@ -259,28 +379,44 @@ def match_strength(original: DataFrame, matched: DataFrame, strength: float) ->
             v = a * (1 - t) + b * t
         return F.coalesce(v, a).alias(k)
 
-    return j.select("image_id", *[moved(k) if k in keys else F.col(k) for k in S.KEYS if k in original.columns])
+    out = {c: F.col(c) for c in extra}
+    if curved:
+        mixed = F.zip_with(
+            sample_curve(F.col("curve")), sample_curve(F.col("_m_curve")), lambda a, b: a * (1 - t) + b * t
+        )
+        out["curve"] = F.when(F.col("_m_curve").isNull(), F.col("curve")).otherwise(curve_of_samples(monotone(mixed)))
+    return j.select(
+        "image_id", *[moved(k) if k in keys else F.col(k) for k in named], *[v.alias(c) for c, v in out.items()]
+    )
 
 
-def closed_loop_report(pixels: DataFrame, images: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Grade photos with known edits, match them back and report the recovery error."""
-    from ..plans.session import cut_lineage
+def closed_loop_report(
+    pixels: DataFrame, images: DataFrame, recipes: DataFrame, keys=("exposure", "temperature", "tint", "saturation")
+) -> DataFrame:
+    """Grade photos with known edits, match them back and report the recovery error per key.
+
+    Both sides are brought to the size of the analysis preview first.
+    """
+    from .geometry import preview, preview_size
     from .grade import grade
     from .stats import look_features
 
-    cut = look_features(pixels)
-    # the features read their input several times, so the render is written out once
-    shifted = cut_lineage(grade(pixels, images, recipes, max_edge=FEATURE_EDGE))
-    ref = look_features(shifted).withColumn("image_id", -F.col("image_id") - 1)
-    pairs = images.select(F.col("image_id").alias("target_id"), (-F.col("image_id") - 1).alias("ref_id"))
-    matched = match_reference(pairs, cut.unionByName(ref), "full")
-    j = matched.join(
-        recipes.select(F.col("image_id").alias("target_id"), F.col("exposure").alias("true_exposure")), "target_id"
+    small = preview(pixels, images, FEATURE_EDGE)
+    sizes = preview_size(images, FEATURE_EDGE).select(
+        "image_id", F.col("out_width").alias("width"), F.col("out_height").alias("height")
     )
-    err = F.abs(F.col("exposure") - F.col("true_exposure"))
-    return j.agg(
+    ref = look_features(grade(small, sizes, recipes)).withColumn("image_id", -F.col("image_id") - 1)
+    pairs = images.select(F.col("image_id").alias("target_id"), (-F.col("image_id") - 1).alias("ref_id"))
+    matched = match_reference(pairs, look_features(small).unionByName(ref), "full")
+    known = [k for k in keys if k in recipes.columns]
+    truth = recipes.select(F.col("image_id").alias("target_id"), *[F.col(k).alias(f"_true_{k}") for k in known])
+    errors = F.array(*[
+        F.struct(F.lit(k).alias("param"), F.abs(F.col(k) - F.col(f"_true_{k}")).alias("error")) for k in known
+    ])
+    rows = matched.join(truth, "target_id").select(F.explode(errors).alias("e")).select("e.param", "e.error")
+    return rows.groupBy("param").agg(
         F.count("*").alias("pairs"),
-        F.avg(err).alias("mean_error"),
-        F.percentile_approx(err, F.lit(0.5), F.lit(1000)).alias("median_error"),
-        F.percentile_approx(err, F.lit(0.95), F.lit(1000)).alias("p95_error"),
+        F.avg("error").alias("mean_error"),
+        F.percentile_approx("error", F.lit(0.5), F.lit(10_000)).alias("median_error"),
+        F.percentile_approx("error", F.lit(0.95), F.lit(10_000)).alias("p95_error"),
     )

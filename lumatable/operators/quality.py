@@ -14,49 +14,70 @@ C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
 def image_quality(a: DataFrame, b: DataFrame, value: str = "v", tolerance: int = 2) -> DataFrame:
     """PSNR, mean SSIM over 8x8 blocks and the share of pixels within tolerance, per image.
 
-    One join on (image, x, y); block sums are aggregated first, so the per-image step sees one
-    row per block.
+    One full join on (image, x, y); block sums are aggregated first, so the per-image step sees one
+    row per block. The figures are taken over pixels that both sides have; ``unmatched`` counts the
+    others, and an image with none in common has null figures.
     """
-    j = a.select(*KEY, F.col(value).alias("u")).join(b.select(*KEY, F.col(value).alias("t")), KEY)
+    j = a.select(*KEY, F.col(value).alias("u")).join(b.select(*KEY, F.col(value).alias("t")), KEY, "full")
+    both = F.col("u").isNotNull() & F.col("t").isNotNull()
+    j = j.withColumns({"u": F.when(both, F.col("u")), "t": F.when(both, F.col("t"))})
     u, t = F.col("u").cast("double"), F.col("t").cast("double")
     blocks = j.groupBy("image_id", F.floor(F.col("x") / 8).alias("bx"), F.floor(F.col("y") / 8).alias("by")).agg(
-        F.count("*").alias("n"),
+        F.count("u").alias("n"),
+        F.count_if(F.col("u").isNull()).alias("lost"),
         F.sum(u).alias("su"), F.sum(t).alias("st"),
         F.sum(u * u).alias("suu"), F.sum(t * t).alias("stt"), F.sum(u * t).alias("sut"),
         F.sum((u - t) * (u - t)).alias("se"),
         F.count_if(F.abs(u - t) <= tolerance).alias("within"),
     )
-    n = F.col("n")
+    n = F.nullif(F.col("n"), F.lit(0))
     mu, mt = F.col("su") / n, F.col("st") / n
     vu, vt = F.col("suu") / n - mu * mu, F.col("stt") / n - mt * mt
     cov = F.col("sut") / n - mu * mt
     ssim = ((mu * mt * 2.0 + C1) * (cov * 2.0 + C2)) / ((mu * mu + mt * mt + C1) * (vu + vt + C2))
     out = blocks.withColumn("ssim", ssim).groupBy("image_id").agg(
-        (F.sum("se") / F.sum("n")).alias("mse"),
+        F.try_divide(F.sum("se"), F.sum("n")).alias("mse"),
         F.avg("ssim").alias("ssim"),
-        (F.sum("within") / F.sum("n")).alias("within_tolerance"),
+        F.try_divide(F.sum("within"), F.sum("n")).alias("within_tolerance"),
+        F.sum("lost").alias("unmatched"),
     )
     psnr = F.when(F.col("mse") > 0, F.log10(F.lit(255.0 * 255.0) / F.col("mse")) * 10.0)
-    return out.select("image_id", "mse", psnr.alias("psnr"), "ssim", "within_tolerance")
+    return out.select("image_id", "mse", psnr.alias("psnr"), "ssim", "within_tolerance", "unmatched")
 
 
-def _boundary(mask: DataFrame, threshold: float) -> DataFrame:
+def _boundary(mask: DataFrame, frames: DataFrame, threshold: float) -> DataFrame:
     """Set pixels with an unset 4-neighbour inside the frame.
 
-    Windows run inside one row or one column of a frame, which bounds them by its width or height.
+    Only set pixels are ordered, so an absent pixel and one below the threshold are the same. Windows
+    run inside one row or one column of a frame, which bounds them by its width or height.
     """
-    on = (F.col("w") >= threshold).cast("int")
-    m = mask.select(*KEY, on.alias("on"))
+    m = mask.filter(F.col("w") >= threshold).select(*KEY)
     row = Window.partitionBy("image_id", "y").orderBy("x")
     col = Window.partitionBy("image_id", "x").orderBy("y")
-    m = m.withColumns({"l": F.lag("on").over(row), "r": F.lead("on").over(row)})
-    m = m.withColumns({"t": F.lag("on").over(col), "d": F.lead("on").over(col)})
-    edge = (F.col("on") == 1) & any_of(F.coalesce(c, F.lit(1)) == 0 for c in ("l", "r", "t", "d"))
+    near = {"l": F.lag("x").over(row) == F.col("x") - 1, "r": F.lead("x").over(row) == F.col("x") + 1}
+    m = m.withColumns(near)
+    m = m.withColumns({"t": F.lag("y").over(col) == F.col("y") - 1, "d": F.lead("y").over(col) == F.col("y") + 1})
+    m = m.join(frames, "image_id")
+    inside = {"l": F.col("x") > F.col("x0"), "r": F.col("x") < F.col("x1"), "t": F.col("y") > F.col("y0"), "d": F.col("y") < F.col("y1")}
+    edge = any_of(ok & ~F.coalesce(F.col(c), F.lit(False)) for c, ok in inside.items())
     return m.filter(edge).select(*KEY)
 
 
-def mask_quality(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Soft IoU and the F-score of the mask boundaries, per image."""
+def mask_quality(pred: DataFrame, truth: DataFrame, threshold: float = 0.5, images: DataFrame | None = None) -> DataFrame:
+    """Soft IoU and the F-score of the mask boundaries, per image.
+
+    Masks may leave out unset pixels. ``images`` (image_id, width, height) gives the frames; without
+    it a frame is the smallest rectangle that holds both masks.
+    """
+    if images is not None:
+        zero = F.lit(0)
+        frames = images.select(
+            "image_id", zero.alias("x0"), (F.col("width") - 1).alias("x1"), zero.alias("y0"), (F.col("height") - 1).alias("y1")
+        )
+    else:
+        frames = pred.select(*KEY).unionByName(truth.select(*KEY)).groupBy("image_id").agg(
+            F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
+        )
     p, t = pred.select(*KEY, F.col("w").alias("p")), truth.select(*KEY, F.col("w").alias("t"))
     both = p.join(t, KEY, "full").select(
         "image_id", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("t", F.lit(0.0)).alias("t")
@@ -64,8 +85,8 @@ def mask_quality(pred: DataFrame, truth: DataFrame, threshold: float = 0.5) -> D
     iou = both.groupBy("image_id").agg(
         F.try_divide(F.sum(F.least("p", "t")), F.sum(F.greatest("p", "t"))).alias("iou")
     )
-    bp = _boundary(pred, threshold).withColumn("p", F.lit(1))
-    bt = _boundary(truth, threshold).withColumn("t", F.lit(1))
+    bp = _boundary(pred, frames, threshold).withColumn("p", F.lit(1))
+    bt = _boundary(truth, frames, threshold).withColumn("t", F.lit(1))
     b = bp.join(bt, KEY, "full").groupBy("image_id").agg(
         F.sum(F.coalesce("p", F.lit(0)) * F.coalesce("t", F.lit(0))).alias("hit"),
         F.sum(F.coalesce("p", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("both"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions.color import luma_709, luma_level, with_linear, with_oklab, with_oklch
 from ..functions.numeric import clamp01, smoothstep, total
+from ..plans.joins import has_few_rows, join_per_image
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -31,20 +32,23 @@ BAND_REACH = 45.0
 
 
 def luma_histogram(
-    pixels: DataFrame, images: DataFrame, bins: int = S.HISTOGRAM_BINS, exact: bool = False
+    pixels: DataFrame, images: DataFrame, bins: int = S.HISTOGRAM_BINS, sample_target: int | None = None
 ) -> DataFrame:
     """Histogram of BT.709 luma with heights scaled to the fullest bin.
 
-    Large photos are sampled at every k-th pixel in row order, k from the frame size; ``exact``
-    counts all. Empty bins come from zero rows in the same aggregation, not from a join.
+    Every pixel counts. ``sample_target`` asks for a live view's shortcut instead: every k-th pixel in
+    row order, k from the frame size. Empty bins come from zero rows in the same aggregation, not
+    from a join.
     """
-    dims = images.select("image_id", "width", "height")
     luma = luma_709(F.col("r"), F.col("g"), F.col("b"))
-    sampled = pixels.join(dims, "image_id")
-    if not exact:
+    sampled = pixels
+    if sample_target is not None:
+        dims = images.select("image_id", "width", "height")
         area = F.col("width").cast("long") * F.col("height")
-        step = F.greatest(F.lit(1), F.floor(area / S.HISTOGRAM_SAMPLE_TARGET))
-        sampled = sampled.filter((F.col("y").cast("long") * F.col("width") + F.col("x")) % step == 0)
+        step = F.greatest(F.lit(1), F.floor(area / sample_target))
+        sampled = join_per_image(pixels, dims, has_few_rows(dims)).filter(
+            (F.col("y").cast("long") * F.col("width") + F.col("x")) % step == 0
+        )
     hits = sampled.select(
         "image_id",
         F.least(F.lit(bins - 1), F.floor(luma / 256.0 * bins)).cast("int").alias("bin"),
@@ -119,11 +123,16 @@ def band_weight(hue: Column, centre) -> Column:
 
 
 def hue_band_stats(pixels: DataFrame) -> DataFrame:
-    """Mass, circular mean hue, mean chroma and lightness in eight overlapping hue bands."""
+    """Mass, circular mean hue, mean chroma and lightness in eight overlapping hue bands.
+
+    The tents overlap with their neighbours only, so a pixel becomes two rows, not eight.
+    """
     bands = F.array(
         *[F.struct(F.lit(n).alias("band"), F.lit(c).alias("centre")) for n, c in HUE_BANDS.items()]
     )
-    px = perceptual(pixels).select("image_id", "lab_l", "chroma", "hue", F.explode(bands).alias("b"))
+    k = F.floor(F.col("hue") / BAND_REACH).cast("int") % len(HUE_BANDS)
+    near = F.array(F.get(bands, k), F.get(bands, (k + 1) % len(HUE_BANDS)))
+    px = perceptual(pixels).select("image_id", "lab_l", "chroma", "hue", F.explode(near).alias("b"))
     px = px.withColumn("w", band_weight(F.col("hue"), F.col("b.centre")) * F.col("chroma"))
     px = px.filter("w > 0")
     rad = F.col("hue") * (math.pi / 180.0)
@@ -250,22 +259,76 @@ def wb_eyedropper(pixels: DataFrame, samples: DataFrame, reach: int = 4) -> Data
 
 
 def look_features(pixels: DataFrame) -> DataFrame:
-    """One wide row per photo from all feature aggregates."""
-    bands = hue_band_stats(pixels).groupBy("image_id").pivot("band", list(HUE_BANDS)).agg(
-        F.first("mass").alias("mass"), F.first("mean_hue").alias("hue"),
-        F.first("mean_chroma").alias("chroma"), F.first("mean_lightness").alias("lightness"),
+    """One wide row per photo: quantiles, bands, zones, neutral centre and density slope.
+
+    Give it previews (``geometry.preview``) of a library. The pixels are read once: each becomes at
+    most four rows (one of sums, one luma level, two steps of near-neutral colour) of a single
+    aggregate by (photo, kind, value), whose map-side sums are bounded by the distinct values of a
+    photo. Sums, medians and quantiles are then formed from those.
+    """
+    px = perceptual(pixels).withColumn("level", luma_level(F.col("r"), F.col("g"), F.col("b")))
+    l, chroma, rad = clamp01(F.col("lab_l")), F.col("chroma"), F.col("hue") * (math.pi / 180.0)
+    near = (chroma < 0.04) & F.col("lab_l").between(0.2, 0.9)
+    sums = {"n": F.lit(1.0), "near": near.cast("double"), "c": chroma, "l": F.col("lab_l")}
+    sums |= {"cl": chroma * F.col("lab_l"), "ll": F.col("lab_l") * F.col("lab_l")}
+    zones = {
+        "shadow": (1.0 - l) * (1.0 - l), "mid": F.greatest(F.lit(0.0), 1.0 - F.abs(l - 0.5) * 2.0), "high": l * l,
+    }
+    for z, w in zones.items():
+        sums |= {f"{z}_w": w, f"{z}_wa": w * F.col("lab_a"), f"{z}_wb": w * F.col("lab_b")}
+    for n, centre in HUE_BANDS.items():
+        w = band_weight(F.col("hue"), F.lit(centre)) * chroma
+        sums |= {f"{n}_w": w, f"{n}_ws": w * F.sin(rad), f"{n}_wc": w * F.cos(rad), f"{n}_wch": w * chroma, f"{n}_wl": w * F.col("lab_l")}
+    step = lambda c: F.floor(F.col(c) * 10000.0 + 0.5).cast("long")
+    px = px.select("image_id", "level", near.alias("near"), step("lab_a").alias("sa"), step("lab_b").alias("sb"), *[v.alias(f"s_{k}") for k, v in sums.items()])
+    kinds = F.expr(
+        "explode(CASE WHEN near THEN array(named_struct('kind', 0, 'v', 0L), named_struct('kind', 1, 'v', cast(level as bigint)), "
+        "named_struct('kind', 2, 'v', sa), named_struct('kind', 3, 'v', sb)) "
+        "ELSE array(named_struct('kind', 0, 'v', 0L), named_struct('kind', 1, 'v', cast(level as bigint))) END) AS e"
     )
-    zones = zone_centroids(pixels).groupBy("image_id").pivot("zone", ["shadow", "mid", "high"]).agg(
-        F.first("a").alias("a"), F.first("b").alias("b")
+    rows = px.select("*", kinds)
+    first = F.col("e.kind") == 0
+    merged = rows.groupBy("image_id", F.col("e.kind").alias("kind"), F.col("e.v").alias("v")).agg(
+        F.count("*").alias("m"), *[F.sum(F.when(first, F.col(f"s_{k}"))).alias(k) for k in sums]
     )
-    neutral = neutral_center(pixels).select(
-        "image_id", F.col("a").alias("neutral_a"), F.col("b").alias("neutral_b"),
-        F.col("confidence").alias("neutral_confidence"),
+    up_to, whole = Window.partitionBy("image_id", "kind").orderBy("v"), Window.partitionBy("image_id", "kind")
+    c = merged.withColumns({"_cum": F.sum("m").over(up_to), "_all": F.sum("m").over(whole)})
+
+    def quantile(kind, p):
+        pos = (F.col("_all") - 1) * F.lit(float(p))
+        here = F.col("kind") == kind
+        at = lambda position: F.min(F.when(here & (F.col("_cum") > position), F.col("v")))
+        lo, hi, part = at(F.floor(pos)), at(F.ceil(pos)), F.max(F.when(here, pos - F.floor(pos)))
+        return (lo + (hi - lo) * part) / 10000.0
+
+    names = {p: f"p{round(p * 100):02d}" for p in QUANTILES}
+    out = c.groupBy("image_id").agg(
+        *[quantile(1, p).alias(n) for p, n in names.items()],
+        quantile(2, 0.5).alias("neutral_a"), quantile(3, 0.5).alias("neutral_b"),
+        *[F.max(F.when(F.col("kind") == 0, F.col(k))).alias(f"s_{k}") for k in sums],
     )
-    out = luma_quantiles(pixels)
-    for part in (bands, zones, neutral, density_slope(pixels)):
-        out = out.join(part, "image_id", "left")
-    return out
+    s = {k: F.col(f"s_{k}") for k in sums}
+    over = lambda a, b: F.try_divide(a, F.when(b > 0, b))
+    columns = [F.col(n) for n in names.values()]
+    columns += [
+        (F.col("p90") - F.col("p10")).alias("robust_contrast"), (F.col("p05") - F.col("p01")).alias("toe"),
+        (F.col("p99") - F.col("p95")).alias("shoulder"),
+    ]
+    for n in HUE_BANDS:
+        w = s[f"{n}_w"]
+        angle = F.pmod(F.atan2(s[f"{n}_ws"], s[f"{n}_wc"]) * (180.0 / math.pi), F.lit(360.0))
+        columns += [
+            F.when(w > 0, w).alias(f"{n}_mass"), F.when(w > 0, angle).alias(f"{n}_hue"),
+            over(s[f"{n}_wch"], w).alias(f"{n}_chroma"), over(s[f"{n}_wl"], w).alias(f"{n}_lightness"),
+        ]
+    for z in zones:
+        columns += [over(s[f"{z}_wa"], s[f"{z}_w"]).alias(f"{z}_a"), over(s[f"{z}_wb"], s[f"{z}_w"]).alias(f"{z}_b")]
+    spread_l = s["ll"] * s["n"] - s["l"] * s["l"]
+    columns += [
+        F.col("neutral_a"), F.col("neutral_b"), (s["near"] / s["n"]).alias("neutral_confidence"),
+        over(s["cl"] * s["n"] - s["c"] * s["l"], spread_l).alias("density_slope"),
+    ]
+    return out.select("image_id", *columns)
 
 
 # --- colour stages built on the same space ----------------------------------

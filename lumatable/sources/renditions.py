@@ -10,12 +10,17 @@ def rendition_name(name: Column, suffix: str = "-graded.jpg") -> Column:
     return F.concat(F.regexp_replace(name, r"\.[^.]+$", ""), F.lit(suffix))
 
 
-def write_renditions(pixels: DataFrame, path: str, buckets: int = 64) -> None:
+def write_renditions(pixels: DataFrame, path: str, buckets: int = 64, photos: DataFrame | None = None) -> None:
     """Pixel table in buckets of images; fails if the target exists.
 
+    ``photos`` (image_id, name) adds the table ``<path>-names`` with each rendition's file name.
+
     Rows are spread by (image, band of rows), so a huge photo is written by many tasks, and
     each file stays clustered by image, y, x for later scans.
     """
+    if photos is not None:
+        names = photos.select("image_id", "name", rendition_name(F.col("name")).alias("rendition"))
+        names.write.mode("errorifexists").parquet(f"{path}-names")
     (
         pixels.withColumn("image_bucket", F.pmod(F.hash("image_id"), F.lit(buckets)))
         .repartition("image_bucket", "image_id", F.floor(F.col("y") / 1024))

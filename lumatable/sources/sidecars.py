@@ -9,23 +9,57 @@ from .. import schema as S
 _CORRUPT = "_corrupt"
 
 
-def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """One row per sidecar file; unreadable files keep their text in ``_corrupt``."""
+def read_sidecars(spark: SparkSession, path: str, per_file: bool = True) -> DataFrame:
+    """One row per sidecar: a document per file or, with ``per_file`` false, per line.
+
+    Unreadable ones keep their text in ``_corrupt``.
+    """
     schema = T.StructType([*S.SIDECAR.fields, T.StructField(_CORRUPT, T.StringType())])
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.text(path, wholetext=per_file)
         .select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema, options).alias("doc"))
         .select("file", "doc.*")
     )
 
 
-def write_sidecars(sidecars: DataFrame, path: str) -> None:
-    """Pretty JSON, one file per photo; never replaces existing files."""
-    doc = F.to_json(F.struct(*S.SIDECAR.fieldNames()), {"pretty": "true"})
-    sidecars.select(doc.alias("value")).write.mode("errorifexists").option(
-        "maxRecordsPerFile", 1
-    ).text(path)
+def write_sidecars(sidecars: DataFrame, path: str, per_file: bool = False) -> None:
+    """JSON, one line per photo; never replaces existing files.
+
+    ``per_file`` writes a pretty document per photo into a folder ``photo=<path>`` of its own, for
+    exports of a few; a large library would become as many tiny files.
+    """
+    fields = S.SIDECAR.fieldNames()
+    if per_file:
+        rows = sidecars.select(
+            F.to_json(F.struct(*fields), {"pretty": "true"}).alias("value"), F.col("source.path").alias("photo")
+        )
+        rows.write.mode("errorifexists").option("maxRecordsPerFile", 1).partitionBy("photo").text(path)
+    else:
+        sidecars.select(F.to_json(F.struct(*fields)).alias("value")).write.mode("errorifexists").text(path)
+
+
+def sidecar_recipes(sidecars: DataFrame, library: DataFrame) -> DataFrame:
+    """Full recipes from readable sidecars, matched to the library by content hash.
+
+    The ten stored keys replace the neutral ones. A stored temperature of 0 is the neutral 6500 K;
+    the files don't say what other values mean, so they are read as the distance from it, the way
+    ``sidecar_rows`` writes them, and ``temperature_assumed`` is true. Sidecars without a photo keep
+    a row with a null ``image_id``.
+    """
+    stored = sidecars.filter(F.col("globalAdjustments").isNotNull()).select(
+        F.col("source.contentHash").alias("content_hash"), F.col("source.path").alias("sidecar_path"), "globalAdjustments"
+    )
+    names = {("exposureEv" if k == "exposure" else k): k for k in S.KEYS}
+    value = {names[k]: F.col(f"globalAdjustments.{k}").cast("double") for k in S.SIDECAR_KEYS}
+    away = value["temperature"]
+    value["temperature"] = away + 6500.0
+    out = stored.join(library.select("image_id", "content_hash"), "content_hash", "left")
+    return out.select(
+        "image_id", "sidecar_path",
+        *[F.coalesce(value[k], F.lit(v)).alias(k) if k in value else F.lit(v).alias(k) for k, v in S.ADJUSTMENT_DEFAULTS.items()],
+        F.coalesce(away != 0, F.lit(False)).alias("temperature_assumed"),
+    )
 
 
 def sidecar_rows(recipes: DataFrame, identities: DataFrame, engine_version: str = "0.1.0") -> DataFrame:

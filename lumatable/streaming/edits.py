@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..sources.files import file_hash, file_id, import_rows
+
 
 def deduplicated(log: DataFrame, lateness: str = "1 minute") -> DataFrame:
     """Watermarked log without repeated deliveries of the same edit."""
@@ -11,9 +13,12 @@ def deduplicated(log: DataFrame, lateness: str = "1 minute") -> DataFrame:
 
 
 def stream_settled_edits(log: DataFrame, gap: str = "30 milliseconds", lateness: str = "1 minute") -> DataFrame:
-    """Last edit of every burst, emitted once the watermark has closed the burst."""
+    """Last edit of every burst, emitted once the watermark has closed the burst.
+
+    Repeated deliveries count once.
+    """
     return (
-        log.withWatermark("ts", lateness)
+        deduplicated(log, lateness)
         .groupBy("photo_id", F.session_window("ts", gap).alias("session"))
         .agg(F.max_by(F.struct("seq", "action", "key", "value"), F.struct("ts", "seq")).alias("e"))
         .select("photo_id", "session", "e.*")
@@ -21,9 +26,13 @@ def stream_settled_edits(log: DataFrame, gap: str = "30 milliseconds", lateness:
 
 
 def stream_throttled(log: DataFrame, slot: str = "100 milliseconds", lateness: str = "1 minute") -> DataFrame:
-    """Latest edit of each photo per time slot."""
+    """Latest edit of each photo per time slot; repeated deliveries count once.
+
+    The value a photo settles on is the output of ``stream_settled_edits``; run both queries and
+    unite their sinks for a live view that ends on it.
+    """
     return (
-        log.withWatermark("ts", lateness)
+        deduplicated(log, lateness)
         .groupBy("photo_id", F.window("ts", slot).alias("slot"))
         .agg(F.max_by(F.struct("seq", "action", "key", "value"), F.struct("ts", "seq")).alias("e"))
         .select("photo_id", "slot", "e.*")
@@ -31,19 +40,17 @@ def stream_throttled(log: DataFrame, slot: str = "100 milliseconds", lateness: s
 
 
 def refresh_catalogue(files: DataFrame, table_path: str, checkpoint: str):
-    """Append identities of newly arrived image files; each batch is written once.
+    """Append library rows of newly arrived image files, with their identities.
 
-    The batch id names the partition and replaces it, so a batch repeated after a failure does
-    not add its rows twice.
+    The rows are those of ``scan_photos`` plus ``content_hash``. Each batch is written once: the batch
+    id names the partition and replaces it, so a batch repeated after a failure does not add its rows
+    twice.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
+        hashes = batch.select(file_id(F.col("path")).alias("image_id"), file_hash("content").alias("content_hash"))
         (
-            batch.select(
-                F.xxhash64("path").alias("image_id"), "path", "name", "mime",
-                F.sha2("content", 256).alias("content_hash"), F.col("length").alias("byte_length"),
-                F.lit(batch_id).alias("import_batch"),
-            )
+            import_rows(batch, batch_id).join(hashes, "image_id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("import_batch")

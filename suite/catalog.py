@@ -132,14 +132,13 @@ def library_order(spark, sf):
 
 @register("remove_photos", I.with_ctes(
     ["photos"],
-    """, l AS (SELECT *, image_id % 40 AS library_id, (image_id % 3 = 0 OR image_id % 40 = 7) AS gone FROM photos)
-    SELECT image_id, library_id FROM l WHERE NOT gone
-      OR library_id IN (SELECT library_id FROM l GROUP BY library_id HAVING bool_and(gone))""",
+    """, l AS (SELECT *, nullif(image_id % 40, 11) AS library_id, (image_id % 3 = 0 OR image_id % 40 = 7) AS gone FROM photos)
+    SELECT image_id, coalesce(library_id, -1) AS library_id FROM l QUALIFY NOT gone OR bool_and(gone) OVER (PARTITION BY library_id)""",
 ))
 def remove_photos(spark, sf):
-    lib = I.photos(spark, sf).withColumn("library_id", F.col("image_id") % 40)
+    lib = I.photos(spark, sf).withColumn("library_id", F.expr("nullif(image_id % 40, 11)"))  # 11: no library
     ids = lib.filter("image_id % 3 = 0 OR library_id = 7").select("image_id")
-    return C.remove_photos(lib, ids).select("image_id", "library_id")
+    return C.remove_photos(lib, ids).select("image_id", F.coalesce("library_id", F.lit(-1).cast("long")).alias("library_id"))
 
 
 # typed-in values: some out of range, some not a number
@@ -150,30 +149,64 @@ def _typed(k, nan):
     )
 
 
+# a typed mask and curve: some fields out of range, some not a number
+def _typed_mask(nan):
+    return {
+        "x": f"CASE WHEN p_partkey % 8 = 1 THEN {nan} ELSE CAST(p_partkey % 7 - 2 AS DOUBLE) / 2e0 END",
+        "y": "CAST(p_size % 5 AS DOUBLE) / 4e0", "width": f"CASE WHEN p_size % 9 = 4 THEN {nan} ELSE 0.5e0 END",
+        "height": "0.25e0", "rotation": "CAST(p_partkey % 11 - 5 AS DOUBLE) * 50e0",
+    }
+
+
+def _typed_y(nan):
+    return f"CASE WHEN p_partkey % 9 = 2 THEN {nan} ELSE CAST(p_size % 7 - 1 AS DOUBLE) / 4e0 END"
+
+
 def _sanitized():
-    cols, clamped = [], []
+    cols, clamped, ignored = [], [], []
     for k, (lo, hi) in S.ADJUSTMENT_RANGES.items():
         v = f"t_{k}"
         cols.append(
             f"CASE WHEN isnan({v}) THEN c.{k} ELSE least({hi}e0, greatest({lo}e0, {v})) END AS {k}"
         )
         clamped.append(f"CASE WHEN NOT isnan({v}) AND ({v} < {lo}e0 OR {v} > {hi}e0) THEN '{k}' END")
+        ignored.append(f"CASE WHEN isnan({v}) THEN '{k}' END")
+    for f, (lo, hi) in S.MASK_RANGES.items():
+        v = f"m_{f}"
+        cols.append(f"CASE WHEN isnan({v}) THEN c.mask.{f} ELSE least({hi}e0, greatest({lo}e0, {v})) END AS mask_{f}")
+        clamped.append(f"CASE WHEN NOT isnan({v}) AND ({v} < {lo}e0 OR {v} > {hi}e0) THEN 'mask.{f}' END")
+        ignored.append(f"CASE WHEN isnan({v}) THEN 'mask.{f}' END")
+    cols.append("CASE WHEN isnan(y) THEN len(c.curve) ELSE 3 END::INTEGER AS n_points")
+    cols.append("CASE WHEN isnan(y) THEN c.curve[2].y ELSE least(1e0, greatest(0e0, y)) END AS second_y")
+    ignored.append("CASE WHEN isnan(y) THEN 'curve' END")
+    joined = lambda rows: f"array_to_string(list_filter([{', '.join(rows)}], lambda k: k IS NOT NULL), ',')"
+    nan = "CAST('nan' AS DOUBLE)"
+    more = ", ".join(f"{v} AS m_{f}" for f, v in _typed_mask(nan).items()) + f", {_typed_y(nan)} AS y"
     typed = ", ".join(_typed(k, "CAST('nan' AS DOUBLE)") + f" AS t_{k}" for k in S.KEYS)
     return I.with_ctes(
         ["recipes"],
-        f", typed AS (SELECT p_partkey AS image_id, {typed} FROM part) "
-        f"SELECT t.image_id, {', '.join(cols)}, array_to_string(list_filter([{', '.join(clamped)}], lambda k: k IS NOT NULL), ',') "
-        "AS clamped_keys FROM typed t JOIN recipes c ON t.image_id = c.image_id",
+        f", typed AS (SELECT p_partkey AS image_id, {typed}, {more} FROM part) "
+        f"SELECT t.image_id, {', '.join(cols)}, {joined(clamped)} AS clamped_keys, {joined(ignored)} AS ignored_keys "
+        "FROM typed t JOIN recipes c ON t.image_id = c.image_id",
     )
 
 
 @register("sanitize_recipe", _sanitized())
 def sanitize_recipe(spark, sf):
+    nan = "double('NaN')"
+    mask = ", ".join(f"'{f}', {v}" for f, v in _typed_mask(nan).items())
+    curve = ", ".join(
+        f"named_struct('id', '{i}', 'x', {x}, 'y', {y})"
+        for i, x, y in (("black", "0.2e0", "0e0"), ("mid", "0.5e0", _typed_y(nan)), ("white", "0.9e0", "1e0"))
+    )
     typed = I.table(spark, sf, "part").selectExpr(
-        "p_partkey AS image_id", *[_typed(k, "double('NaN')") + f" AS {k}" for k in S.KEYS]
+        "p_partkey AS image_id", *[_typed(k, nan) + f" AS {k}" for k in S.KEYS],
+        f"named_struct({mask}) AS mask", f"array({curve}) AS curve",
     )
     return C.sanitize_recipe(typed, I.recipes(spark, sf)).select(
-        "image_id", *S.KEYS, F.array_join("clamped_keys", ",").alias("clamped_keys")
+        "image_id", *S.KEYS, *[F.col(f"mask.{f}").alias(f"mask_{f}") for f in S.MASK_RANGES],
+        F.size("curve").alias("n_points"), F.col("curve")[1]["y"].alias("second_y"),
+        *[F.array_join(c, ",").alias(c) for c in ("clamped_keys", "ignored_keys")],
     )
 
 

@@ -26,7 +26,7 @@ _NEUTRAL = "[" + ", ".join(f"{v}e0" for v in S.ADJUSTMENT_DEFAULTS.values()) + "
 _IDX = "CASE key " + " ".join(f"WHEN '{k}' THEN {i + 1}" for i, k in enumerate(S.KEYS)) + " END"
 _SET = "list_concat(list_concat(cur[1:k-1], [value]), cur[k+1:20])"
 _NUMBERED = f"""
-, ev AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY seq) AS n, {_IDX} AS k FROM edit_log)
+, ev AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY ts, seq) AS n, {_IDX} AS k FROM edit_log)
 , ev2 AS (SELECT * REPLACE (CASE WHEN action = 'reset' THEN ({_NEUTRAL})[k] ELSE value END AS value) FROM ev)"""
 _FOLD = _NUMBERED + f"""
 , st AS (
@@ -45,30 +45,32 @@ _FOLD = _NUMBERED + f"""
          WHEN cur[k] = value THEN f ELSE CAST([] AS DOUBLE[][]) END
   FROM st s JOIN ev2 e ON s.photo_id = e.photo_id AND e.n = s.n + 1)
 , last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY n DESC) = 1)"""
-_SHOWN = ["exposure", "contrast", "temperature", "saturation"]
+# every value of a stack, weighted by its place
+_STACK = "coalesce(list_sum(list_transform({0}, lambda a, i: i * list_sum(list_transform(a, lambda v, j: j * v)))), 0e0)"
+
+
+def _stack(name):
+    inner = "aggregate(transform(a, (v, j) -> (j + 1) * v), 0D, (s, x) -> s + x)"
+    return F.expr(f"aggregate(transform({name}, (a, i) -> (i + 1) * {inner}), 0D, (s, x) -> s + x)")
 
 
 @register("fold_edit_log", I.with_ctes(
     ["edit_log"],
     _FOLD + " SELECT photo_id, "
-    + ", ".join(f"cur[{i + 1}] AS {k}" for i, k in enumerate(S.KEYS) if k in _SHOWN)
+    + ", ".join(f"cur[{i + 1}] AS {k}" for i, k in enumerate(S.KEYS))
     + ", CAST(len(h) AS INT) AS n_history, CAST(len(f) AS INT) AS n_future, "
-    "list_sum(list_transform(h, lambda a: a[1] + a[2])) AS history_sum, "
-    "list_sum(list_transform(f, lambda a: a[1] + a[2])) AS future_sum FROM last",
+    + f"{_STACK.format('h')} AS history_sum, {_STACK.format('f')} AS future_sum FROM last",
     recursive=True,
 ))
 def fold_edit_log(spark, sf):
     state = E.fold_edit_log(I.edit_log(spark, sf))
-    total = lambda c: F.when(
-        F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda s, a: s + (a[0] + a[1]))
-    )
     return E.explode_adjustments(
         state.select(
             "photo_id", "current",
             F.size("history").alias("n_history"), F.size("future").alias("n_future"),
-            total("history").alias("history_sum"), total("future").alias("future_sum"),
+            _stack("history").alias("history_sum"), _stack("future").alias("future_sum"),
         )
-    ).select("photo_id", *_SHOWN, "n_history", "n_future", "history_sum", "future_sum")
+    ).select("photo_id", *S.KEYS, "n_history", "n_future", "history_sum", "future_sum")
 
 
 @register("edit_status", I.with_ctes(
@@ -106,7 +108,7 @@ def app_log(spark, sf):
 _SNAP0 = _NEUTRAL[:-1] + ", 0.5e0, 0.5e0]"
 _APP_FOLD = f"""
 , al AS (SELECT {', '.join(_APP)} FROM edit_log)
-, ev AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY seq) AS n,
+, ev AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY ts, seq) AS n,
     CASE action WHEN 'curve' THEN 21 WHEN 'mask' THEN 22 ELSE {_IDX} END AS k FROM al)
 , ev2 AS (SELECT * REPLACE (CASE action WHEN 'reset' THEN ({_NEUTRAL})[k] WHEN 'curve' THEN value/100e0 WHEN 'mask' THEN value/100e0 ELSE value END AS value) FROM ev)
 , st AS (
@@ -134,12 +136,15 @@ _APP_FOLD = f"""
   FROM st s JOIN ev2 e ON s.photo_id = e.photo_id AND e.n = s.n + 1)
 , last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY photo_id ORDER BY n DESC) = 1)
 SELECT photo_id, cur[1] AS exposure, cur[2] AS contrast, cur[21] AS midtone, cur[22] AS mask_x, CAST(rating AS INT) AS rating,
-  CAST(len(h) AS INT) AS n_history, CAST(len(f) AS INT) AS n_future FROM last"""
+  CAST(len(h) AS INT) AS n_history, CAST(len(f) AS INT) AS n_future,
+  round({_STACK.format('h')}, 3) AS history_sum, round({_STACK.format('f')}, 3) AS future_sum FROM last"""
 
 
 @register("fold_app_log", I.with_ctes(["edit_log"], _APP_FOLD, recursive=True))
 def fold_app_log(spark, sf):
     s = E.fold_app_log(app_log(spark, sf))
+    flat = "transform({0}, p -> concat(p.adjustments, array(p.curve[2].y, p.mask.x)))"
+    s = s.withColumns({f"flat_{c}": F.expr(flat.format(c)) for c in ("history", "future")})
     return s.select(
         "photo_id",
         F.col("current.adjustments")[0].alias("exposure"),
@@ -149,12 +154,14 @@ def fold_app_log(spark, sf):
         "rating",
         F.size("history").alias("n_history"),
         F.size("future").alias("n_future"),
+        F.round(_stack("flat_history"), 3).alias("history_sum"),
+        F.round(_stack("flat_future"), 3).alias("future_sum"),
     )
 
 
 _ADJUSTS = f""", adj AS (SELECT * REPLACE (CASE WHEN action = 'reset' THEN ({_NEUTRAL})[{_IDX}] ELSE value END AS value)
   FROM edit_log WHERE action IN ('commit', 'drag', 'reset'))
-, seen AS (SELECT *, lag(value, 1, ({_NEUTRAL})[{_IDX}]) OVER (PARTITION BY photo_id, key ORDER BY seq) AS before FROM adj)"""
+, seen AS (SELECT *, lag(value, 1, ({_NEUTRAL})[{_IDX}]) OVER (PARTITION BY photo_id, key ORDER BY ts, seq) AS before FROM adj)"""
 
 
 @register("suppress_noop", I.with_ctes(
@@ -177,7 +184,7 @@ _GAP = 30 * 60 * 1000
 
 @register("settled_edits", I.with_ctes(
     ["edit_log"],
-    f""", n AS (SELECT *, lead(ts) OVER (PARTITION BY photo_id ORDER BY seq) AS nxt FROM edit_log)
+    f""", n AS (SELECT *, lead(ts) OVER (PARTITION BY photo_id ORDER BY ts, seq) AS nxt FROM edit_log)
     SELECT photo_id, seq, action, key, value FROM n WHERE nxt IS NULL OR epoch_us(nxt) - epoch_us(ts) >= {_GAP * 1000}""",
 ))
 def settled_edits(spark, sf):
@@ -186,8 +193,8 @@ def settled_edits(spark, sf):
 
 @register("throttle_latest", I.with_ctes(
     ["edit_log"],
-    " SELECT photo_id, max(seq) AS seq, arg_max(value, seq) AS value FROM edit_log "
-    "GROUP BY photo_id, epoch_us(ts) // 7200000000",
+    " SELECT DISTINCT ON (photo_id, epoch_us(ts) // 7200000000) photo_id, seq, value FROM edit_log "
+    "ORDER BY photo_id, epoch_us(ts) // 7200000000, ts DESC, seq DESC",
 ))
 def throttle_latest(spark, sf):
     return E.throttle_latest(I.edit_log(spark, sf), "2 hours").select("photo_id", "seq", "value")

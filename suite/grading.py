@@ -90,20 +90,20 @@ def tone_ctes(keys, source="framed"):
     ((nx-mx)*sin(ang) + (ny-my)*cos(ang))/greatest(0.02e0, mh/2e0) AS v,
     least(1e0, sqrt((nx-0.5e0)*(nx-0.5e0)+(ny-0.5e0)*(ny-0.5e0))/0.707e0) AS d FROM tone0)
 , tone2 AS (SELECT *, {clamp('(sqrt(u*u+v*v) - 1e0)/((1e0+feather*2.2e0) - 1e0)')} AS t FROM tone1)
-, tone3 AS (SELECT *, gain*(1e0+(mgain-1e0)*(1e0 - t*t*(3e0-2e0*t)))*(1e0+lens*d*d*0.65e0-vig*d*d*0.78e0) AS k FROM tone2)
+, tone3 AS MATERIALIZED (SELECT *, gain*(1e0+(mgain-1e0)*(1e0 - t*t*(3e0-2e0*t)))*(1e0+lens*d*d*0.65e0-vig*d*d*0.78e0) AS k FROM tone2)
 , tone4 AS (SELECT *, ({decode('r')})*(k*(1e0+warm*0.22e0+tint*0.08e0)) AS lr,
     ({decode('g')})*(k*(1e0-tint*0.1e0)) AS lg, ({decode('b')})*(k*(1e0-warm*0.22e0+tint*0.08e0)) AS lb FROM tone3)
 , tone5 AS (SELECT *, 0.2627e0*lr+0.678e0*lg+0.0593e0*lb AS lum FROM tone4)
-, tone6 AS (SELECT *, {clamp('lum')} AS c1, {clamp('(lum-0.55e0)/(1e0-0.55e0)')} AS tw, {clamp('(lum-0e0)/(0.42e0-0e0)')} AS tb FROM tone5)
+, tone6 AS MATERIALIZED (SELECT *, {clamp('lum')} AS c1, {clamp('(lum-0.55e0)/(1e0-0.55e0)')} AS tw, {clamp('(lum-0e0)/(0.42e0-0e0)')} AS tb FROM tone5)
 , tone7 AS (SELECT {rest(*lin)}, {region('sh', '((1e0-c1)*(1e0-c1))', '0.72e0')} FROM tone6)
 , tone8 AS (SELECT {rest(*lin)}, {region('hi', '(c1*c1)', '0.72e0')} FROM tone7)
 , tone9 AS (SELECT {rest(*lin)}, {region('wh', '(tw*tw*(3e0-2e0*tw))', '0.62e0')} FROM tone8)
 , tone10 AS (SELECT {rest(*lin)}, {region('bl', '(1e0-tb*tb*(3e0-2e0*tb))', '0.62e0')} FROM tone9)
-, tone11 AS (SELECT {rest(*lin)}, {', '.join(f"0.18e0+({c}-0.18e0)*(con*(1e0+cla*greatest(0e0, 1e0-abs(c1-0.5e0)*2e0)*0.65e0)) AS {c}" for c in lin)} FROM tone10)
+, tone11 AS MATERIALIZED (SELECT {rest(*lin)}, {', '.join(f"0.18e0+({c}-0.18e0)*(con*(1e0+cla*greatest(0e0, 1e0-abs(c1-0.5e0)*2e0)*0.65e0)) AS {c}" for c in lin)} FROM tone10)
 , tone12 AS (SELECT {rest(*lin)}, {', '.join(f"{encode(c)} AS {c}" for c in lin)} FROM tone11)
 , tone13 AS (SELECT {rest(*lin)}, {curved} FROM tone12)
-, tone14 AS (SELECT *, 0.2126e0*lr+0.7152e0*lg+0.0722e0*lb AS yy, greatest(lr,lg,lb)-least(lr,lg,lb) AS ch FROM tone13)
-, toned AS (SELECT image_id, x, y, w, h, neutral, nr, sharp, a,
+, tone14 AS MATERIALIZED (SELECT *, 0.2126e0*lr+0.7152e0*lg+0.0722e0*lb AS yy, greatest(lr,lg,lb)-least(lr,lg,lb) AS ch FROM tone13)
+, toned AS MATERIALIZED (SELECT image_id, x, y, w, h, neutral, nr, sharp, a,
     {', '.join(f"CASE WHEN neutral THEN {b} ELSE CAST(floor({clamp(f'yy+({c}-yy)*greatest(0e0, sat*(1e0+vib*(1e0-ch)*0.8e0))')}*255e0+0.5e0) AS INT) END AS {b}" for b, c in zip('rgb', lin))}
   FROM tone14)"""
 
@@ -132,16 +132,17 @@ ROTATED = """
     coalesce(p.a,0) AS a, s.ow AS w, s.oh AS h
   FROM src s LEFT JOIN pixels p ON s.image_id = p.image_id AND s.sx = p.x AND s.sy = p.y)"""
 
+# every touched pixel is added to its nine neighbours
 DETAIL = """
-, sums AS (SELECT c.image_id, c.x, c.y, {sums}, count(*) AS n
-  FROM toned c JOIN toned o ON c.image_id = o.image_id AND abs(c.x-o.x) <= 1 AND abs(c.y-o.y) <= 1
-  WHERE (c.nr <> 0 OR c.sharp <> 0) GROUP BY ALL)
+, near AS (SELECT o.image_id, o.x + dx AS x, o.y + dy AS y, o.r, o.g, o.b
+  FROM toned o, (VALUES (-1), (0), (1)) a(dx), (VALUES (-1), (0), (1)) b(dy) WHERE o.nr <> 0 OR o.sharp <> 0)
+, sums AS (SELECT image_id, x, y, {sums}, count(*) AS n FROM near GROUP BY ALL)
 , den AS (SELECT t.*, s.n, {means}, {den} FROM toned t LEFT JOIN sums s USING (image_id, x, y))
 SELECT image_id, x, y, a, {out} FROM den"""
 
 
 def detail_sql():
-    sums = ", ".join(f"sum(o.{c}) AS s{c}" for c in "rgb")
+    sums = ", ".join(f"sum({c}) AS s{c}" for c in "rgb")
     means = ", ".join(f"s{c}/9e0 AS m{c}" for c in "rgb")
     den = ", ".join(
         f"CASE WHEN nr >= 0 THEN {c}*(1e0-nr*0.9e0)+s{c}/9e0*nr*0.9e0 "
@@ -341,7 +342,8 @@ ORACLE["compare_renditions"] = I.with_ctes(
         abs(t.r-b.r) AS dr, abs(t.g-b.g) AS dg, abs(t.b-b.b) AS db
       FROM pixels b FULL JOIN toned t USING (image_id, x, y))
     SELECT image_id, count(*) FILTER (WHERE hit) AS compared, count(*) FILTER (WHERE hit AND dr+dg+db > 0) AS changed,
-      CAST(coalesce(sum(dr+dg+db), 0) AS BIGINT) AS sum_abs_diff, max(greatest(dr,dg,db)) AS max_abs_diff,
+      CAST(coalesce(sum(dr+dg+db), 0) AS BIGINT) AS sum_abs_diff,
+      sum(dr+dg+db)::DOUBLE / (3 * count(*) FILTER (WHERE hit)) AS mean_abs_diff, max(greatest(dr,dg,db)) AS max_abs_diff,
       count(*) FILTER (WHERE NOT hit) AS unmatched FROM j GROUP BY image_id""",
 )
 

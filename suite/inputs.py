@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumatable import schema as S
 from lumatable.plans.session import spread, tune
+from lumatable.sources.files import file_hash
 
 NEUTRAL = "p_partkey % 5 = 0"
 
@@ -183,10 +184,9 @@ def frames(spark, sf) -> DataFrame:
 
 def manifest(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").selectExpr(
-        "concat('doc/', doc_id) AS path",
-        "sha2(text, 256) AS content_hash",
+        "concat('doc/', doc_id) AS path", "cast(text as binary) AS content",
         "CAST(octet_length(text) AS BIGINT) AS byte_length",
-    )
+    ).select("path", file_hash("content").alias("content_hash"), "byte_length")
 
 
 # --- DuckDB -----------------------------------------------------------------

@@ -8,7 +8,7 @@ from lumatable import schema as S
 from lumatable.operators import capture as P, looks as L, stats as T
 
 from . import inputs as I
-from .stats import r6
+from .stats import FEATURES, ROUNDED, r6, rounded_features
 
 QUERIES, ORACLE = {}, {}
 
@@ -157,32 +157,109 @@ def match_reference_tone(spark, sf):
     )
 
 
-@register("match_reference_full")
+def _full_sql():
+    """Steps on rounded features, so that both engines start from the same numbers.
+
+    Differences are rounded to the digits of their features, which leaves no ties.
+    """
+    bounded = lambda v, lo, hi: f"least({hi}e0, greatest({lo}e0, {v}))"
+    lin = lambda c: f"pow(greatest({c}, 1e0)/255e0, 2.2e0)"
+    mid = lambda p: f"({lin(p + '.p25')}+{lin(p + '.p50')}+{lin(p + '.p75')})/3e0"
+    sure = f"t.neutral_confidence >= {L.MIN_CONFIDENCE}e0 AND r.neutral_confidence >= {L.MIN_CONFIDENCE}e0"
+    move = lambda a, g: f"CASE WHEN {sure} THEN coalesce((r.neutral_{a}-t.neutral_{a})*{g}, 0e0) ELSE 0e0 END"
+    whole = {p: "(" + " + ".join(f"coalesce({p}.{n}_mass, 0e0)" for n in T.HUE_BANDS) + ")" for p in "tr"}
+    held = lambda n: "least(" + ", ".join(f"coalesce({p}.{n}_mass/nullif({whole[p]}, 0e0), 0e0)" for p in "tr") + ")"
+    cols = [
+        f"round({bounded(f'log2({mid(chr(114))}/({mid(chr(116))}))', -5, 5)}, 4) AS exposure",
+        f"round({bounded(move('b', '30000e0') + ' + 6500e0', 2000, 12000)}, 3) AS temperature",
+        f"round({bounded(move('a', '1000e0'), -100, 100)}, 3) AS tint",
+        f"round({bounded('coalesce(r.density_slope/nullif(t.density_slope, 0e0) - 1e0, 0e0)*25e0', -50, 50)}, 3) AS saturation",
+    ]
+    for n in T.HUE_BANDS:
+        turn = f"fmod(fmod(r.{n}_hue-t.{n}_hue+180e0, 360e0)+360e0, 360e0)-180e0"
+        ok = f"{held(n)} >= {L.BAND_SUPPORT}e0"
+        cols.append(f"CASE WHEN {ok} THEN round({bounded(turn, -L.BAND_TURN, L.BAND_TURN)}, 4) END AS {n}_turn")
+        gain = f"r.{n}_chroma/nullif(t.{n}_chroma, 0e0)-1e0"
+        cols.append(f"CASE WHEN {ok} THEN round({bounded(gain, -L.BAND_GAIN, L.BAND_GAIN)}, 3) END AS {n}_gain")
+    for z in L.ZONES:
+        for a in "ab":
+            cols.append(f"round({bounded(f'coalesce(r.{z}_{a}-t.{z}_{a}, 0e0)', -L.GRADE_LIMIT, L.GRADE_LIMIT)}, 6) AS {z}_{a}")
+    return FEATURES + f""", f AS ({ROUNDED})
+    SELECT t.image_id AS target_id, r.image_id AS ref_id, {', '.join(cols)}
+    FROM f t JOIN f r ON r.image_id = CASE WHEN t.image_id % 2 = 0 THEN t.image_id + 1 ELSE t.image_id - 1 END"""
+
+
+@register("match_reference_full", _full_sql())
 def match_reference_full(spark, sf):
-    features = T.look_features(I.pixels(spark, sf))
-    matched = L.match_reference(_pairs(spark, sf), features, "full")
-    return L.refine_exposure(matched, features)
+    features = rounded_features(spark, sf)
+    m = L.match_reference(_pairs(spark, sf), features, "full")
+    band = lambda n, c: F.try_element_at(F.filter("bands", lambda b: b["band"] == n), F.lit(1))[c]
+    zone = lambda i, a: F.col("grading")[i][a]
+    return m.select(
+        "target_id", "ref_id", F.round("exposure", 4).alias("exposure"),
+        *[F.round(c, 3).alias(c) for c in ("temperature", "tint", "saturation")],
+        *[F.round(band(n, c), d).alias(f"{n}_{c}") for n in T.HUE_BANDS for c, d in (("turn", 4), ("gain", 3))],
+        *[F.round(zone(i, a), 6).alias(f"{z}_{a}") for i, z in enumerate(L.ZONES) for a in "ab"],
+    )
+
+
+@register("refine_exposure")
+def refine_exposure(spark, sf):
+    features = rounded_features(spark, sf)
+    return L.refine_exposure(L.match_reference(_pairs(spark, sf), features, "full"), features).select(
+        "target_id", "ref_id", "exposure", "refined_exposure", "loss"
+    )
 
 
 @register("match_strength", I.with_ctes(
     ["recipes"],
     " SELECT image_id, round(exposure*0.6e0 + (exposure*0.5e0+1e0)*0.4e0, 6) AS exposure, "
     "round(exp(ln(temperature)*0.6e0 + ln(temperature*1.1e0)*0.4e0), 4) AS temperature, "
-    "flipHorizontal, contrast FROM recipes",
+    "flipHorizontal, contrast, round(mask.x, 6) AS mask_x, "
+    "CASE WHEN image_id % 3 = 0 THEN len(curve) ELSE 64 END::INTEGER AS n_points FROM recipes",
 ))
 def match_strength(spark, sf):
     rec = I.recipes(spark, sf)
     matched = rec.select(
         "image_id", (F.col("exposure") * 0.5 + 1.0).alias("exposure"), (F.col("temperature") * 1.1).alias("temperature"),
-        (1.0 - F.col("flipHorizontal")).alias("flipHorizontal"),
+        (1.0 - F.col("flipHorizontal")).alias("flipHorizontal"), F.expr("CASE WHEN image_id % 3 <> 0 THEN curve END").alias("curve"),
     )
     out = L.match_strength(rec, matched, 40)
-    return out.select("image_id", *r6(exposure="exposure"), F.round("temperature", 4).alias("temperature"), "flipHorizontal", "contrast")
+    return out.select(
+        "image_id", *r6(exposure="exposure"), F.round("temperature", 4).alias("temperature"), "flipHorizontal", "contrast",
+        F.round("mask.x", 6).alias("mask_x"), F.size("curve").alias("n_points"),
+    )
+
+
+# a curve of the recipes at place x, by the definition of piecewise linear
+_at = lambda c, x: (
+    f"CASE WHEN {x} <= {c}[1].x THEN {c}[1].y WHEN {x} > {c}[len({c})].x THEN {c}[len({c})].y ELSE list_filter(list_transform(range(1, len({c})), "
+    f"lambda i: CASE WHEN {x} > {c}[i].x AND {x} <= {c}[i+1].x THEN {c}[i].y + ({c}[i+1].y-{c}[i].y)*(({x}-{c}[i].x)/greatest(1e-4, {c}[i+1].x-{c}[i].x)) END), "
+    "lambda y: y IS NOT NULL)[1] END"
+)
+
+
+@register("mix_curves", I.with_ctes(
+    ["recipes"],
+    f""", p AS (SELECT image_id, list_sort(list_transform(curve, lambda p: {{'x': p.x, 'y': p.y}})) AS c FROM recipes)
+    , s AS (SELECT image_id, CAST(n AS INT) AS pos, {_at('c', '(n/63e0)')} AS y FROM p, range(0, 64) t(n))
+    , m AS (SELECT image_id, pos, (3e0*y + (image_id % 4)*greatest(y, 0.5e0))/(3e0 + image_id % 4) AS y FROM s)
+    SELECT image_id, pos, round(max(y) OVER (PARTITION BY image_id ORDER BY pos), 6) AS y FROM m""",
+))
+def mix_curves(spark, sf):
+    """Each recipe's curve mixed with the upper half of it."""
+    rec = I.recipes(spark, sf, ["curve"])
+    lifted = L.curve_of_samples(F.transform(L.sample_curve(F.col("curve")), lambda y: F.greatest(y, F.lit(0.5))))
+    styles = rec.select("image_id", F.lit(3.0).alias("weight"), "curve").unionByName(
+        rec.select("image_id", (F.col("image_id") % 4).cast("double").alias("weight"), lifted.alias("curve"))
+    )
+    out = L.mix_curves(styles)
+    return out.select("image_id", F.posexplode("curve").alias("pos", "p")).select("image_id", "pos", F.round("p.y", 6).alias("y"))
 
 
 @register("closed_loop_report")
 def closed_loop_report(spark, sf):
-    return L.closed_loop_report(I.pixels(spark, sf), I.photos(spark, sf), I.recipes(spark, sf, ["exposure"]))
+    return L.closed_loop_report(I.pixels(spark, sf), I.photos(spark, sf), I.recipes(spark, sf, ["exposure", "tint"]))
 
 
 # --- capture ----------------------------------------------------------------
@@ -192,15 +269,21 @@ def closed_loop_report(spark, sf):
     ["photos"],
     """, c AS (SELECT image_id, unnest(['decoder','camera_db','embedded']) AS source, unnest([3, 2, 1]) AS pr, unnest([image_id % 2 = 0, image_id % 3 = 0, image_id % 5 = 0]) AS valid FROM photos)
     , b AS (SELECT DISTINCT ON (image_id) image_id, source FROM c WHERE valid ORDER BY image_id, pr)
-    SELECT p.image_id, b.source, CASE WHEN b.source IS NULL THEN 'profile-required' ELSE 'resolved' END AS status FROM photos p LEFT JOIN b ON p.image_id = b.image_id""",
+    , o AS (SELECT p.image_id, p.image_id % 7 = 0 AS rendered, CASE WHEN p.image_id % 7 <> 0 THEN b.source WHEN p.image_id % 2 = 0 THEN 'icc' END AS source
+      FROM photos p LEFT JOIN b ON p.image_id = b.image_id)
+    SELECT image_id, CASE WHEN source IS NULL AND rendered THEN 'fallback' ELSE source END AS source,
+      CASE WHEN source IS NOT NULL THEN 'resolved' WHEN rendered THEN 'assumed' ELSE 'profile-required' END AS status,
+      CASE WHEN source IS NULL AND rendered THEN 'no embedded profile, taken for srgb' END AS warning FROM o""",
 ))
 def resolve_profile(spark, sf):
-    photos = I.photos(spark, sf)
+    # every seventh file is a rendered one, half of them with an ICC profile
+    photos = I.photos(spark, sf).withColumn("rendered", F.col("image_id") % 7 == 0)
     cands = photos.selectExpr(
         "image_id",
-        "stack(3, 'decoder', image_id % 2 = 0, 'camera_db', image_id % 3 = 0, 'embedded', image_id % 5 = 0) AS (source, valid)",
+        "stack(4, 'decoder', image_id % 2 = 0, 'camera_db', image_id % 3 = 0, 'embedded', image_id % 5 = 0, "
+        "'icc', image_id % 2 = 0) AS (source, valid)",
     ).withColumn("profile_id", F.concat_ws("/", "source", "image_id"))
-    return P.resolve_profile(photos, cands).select("image_id", "source", "status")
+    return P.resolve_profile(photos, cands).select("image_id", "source", "status", "warning")
 
 
 @register("changed_since_render", I.with_ctes(
@@ -222,54 +305,75 @@ _CELLS = {0: (2, 2, "RGGB"), 1: (2, 2, "GBRG"), 2: (6, 6, "GBGGRGRGRBGBGBGGRGGRG
 
 @register("cfa_label", I.with_ctes(
     ["pixels"],
-    """, k AS (SELECT image_id, x, y, r, image_id % 3 AS cam FROM pixels)
+    """, k AS (SELECT image_id, x, y, r, image_id % 4 AS cam FROM pixels)
     SELECT image_id, x, y, CASE cam """
     + " ".join(f"WHEN {c} THEN substr('{s}', CAST((y % {py})*{px} + x % {px} + 1 AS INT), 1)" for c, (px, py, s) in _CELLS.items())
-    + " END AS channel FROM k",
+    + " END AS channel, CASE WHEN cam = 3 THEN 'unknown-camera' ELSE 'ok' END AS cfa_status FROM k",
 ))
 def cfa_label(spark, sf):
     patterns = spark.createDataFrame(
         [(c, px, py, list(s)) for c, (px, py, s) in _CELLS.items()],
         "camera long, period_x int, period_y int, cells array<string>",
     )
-    raw = I.pixels(spark, sf).select("image_id", "x", "y", (F.col("image_id") % 3).alias("camera"))
-    return P.cfa_label(raw, patterns).select("image_id", "x", "y", "channel")
+    # no pattern is known for camera 3
+    raw = I.pixels(spark, sf).select("image_id", "x", "y", (F.col("image_id") % 4).alias("camera"))
+    return P.cfa_label(raw, patterns).select("image_id", "x", "y", "channel", "cfa_status")
 
 
 @register("normalize_mosaic", I.with_ctes(
     ["pixels"],
-    """ SELECT image_id, x, y, round((r - (10e0 + 2e0*(image_id % 3) + CASE WHEN y < 8 THEN 0e0 ELSE 1e0 END))
-        / (250e0 - (10e0 + 2e0*(image_id % 3) + CASE WHEN y < 8 THEN 0e0 ELSE 1e0 END)), 6) AS value FROM pixels""",
+    """ SELECT image_id, x, y, CASE WHEN image_id % 4 < 3 THEN round((r - (10e0 + 2e0*(image_id % 4) + CASE WHEN y < 8 THEN 0e0 ELSE 1e0 END))
+        / (250e0 - (10e0 + 2e0*(image_id % 4) + CASE WHEN y < 8 THEN 0e0 ELSE 1e0 END)), 6) END AS value,
+        CASE WHEN image_id % 4 = 3 THEN 'no-level' ELSE 'ok' END AS level_status FROM pixels""",
 ))
 def normalize_mosaic(spark, sf):
     levels = spark.createDataFrame(
         [(c, "R", 10.0 + 2.0 * c + b, 250.0, lo, hi) for c in range(3) for b, lo, hi in ((0.0, 0, 7), (1.0, 8, 31))],
         "camera long, channel string, black double, white double, row_from int, row_to int",
     )
+    # there are no levels for camera 3
     raw = I.pixels(spark, sf).select(
-        "image_id", "x", "y", (F.col("image_id") % 3).alias("camera"), F.lit("R").alias("channel"), F.col("r").alias("v")
+        "image_id", "x", "y", (F.col("image_id") % 4).alias("camera"), F.lit("R").alias("channel"), F.col("r").alias("v")
     )
-    return P.normalize_mosaic(raw, levels).select("image_id", "x", "y", *r6(value="value"))
+    return P.normalize_mosaic(raw, levels).select("image_id", "x", "y", *r6(value="value"), "level_status")
+
+
+@register("normalize_mosaic_tiles", I.with_ctes(
+    ["pixels"],
+    """, t AS (SELECT *, x // (4 + image_id % 2) AS tx, y // (4 + image_id % 2) AS ty FROM pixels)
+    , b AS (SELECT *, 8e0 + tx + 2e0*ty AS black, CASE WHEN tx = 2 AND ty = 0 THEN 10e0 ELSE 250e0 END AS white FROM t)
+    SELECT image_id, x, y, CASE WHEN ty < 3 AND white <> black THEN round((r - black)/(white - black), 6) END AS value,
+      CASE WHEN ty >= 3 THEN 'no-level' WHEN white = black THEN 'flat-level' ELSE 'ok' END AS level_status FROM b""",
+))
+def normalize_mosaic_tiles(spark, sf):
+    """Black per sensor tile; cameras differ in tile size, one tile is flat, some have no level."""
+    levels = spark.createDataFrame(
+        [(c, "R", 8.0 + tx + 2 * ty, 10.0 if (tx, ty) == (2, 0) else 250.0, 4 + c, tx, ty) for c in (0, 1) for tx in range(5) for ty in range(3)],
+        "camera long, channel string, black double, white double, tile_size int, tile_x int, tile_y int",
+    )
+    raw = I.pixels(spark, sf).select(
+        "image_id", "x", "y", (F.col("image_id") % 2).alias("camera"), F.lit("R").alias("channel"), F.col("r").alias("v")
+    )
+    return P.normalize_mosaic(raw, levels).select("image_id", "x", "y", *r6(value="value"), "level_status")
 
 
 _MODELS = [
     "doc_id AS model_id", "CASE WHEN doc_id % 6 = 0 THEN 'unknown' ELSE {sha} END AS sha256",
-    "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS license_id",
+    "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE concat(source, '/', lang) END AS license_id",
 ]
 
 
 @register("license_audit", (
     f"WITH m AS (SELECT {', '.join(_MODELS).format(sha='sha256(text)')} FROM documents) "
-    ", c AS (SELECT DISTINCT source AS license_id, lang FROM documents WHERE n_chars > 6000) "
+    ", c AS (SELECT concat(source, '/', lang) AS license_id, max(n_chars) > 4000 AS code, max(n_chars) > 6000 AS weights FROM documents GROUP BY 1) "
     ", g AS (SELECT * FROM m WHERE sha256 <> 'unknown' AND license_id IS NOT NULL) "
     "SELECT model_id, 'incomplete manifest' AS reason FROM m WHERE sha256 = 'unknown' OR license_id IS NULL "
-    "UNION ALL SELECT model_id, 'code licence not cleared' FROM g WHERE license_id NOT IN (SELECT license_id FROM c WHERE lang = 'en') "
-    "UNION ALL SELECT model_id, 'weight licence not cleared' FROM g WHERE license_id NOT IN (SELECT license_id FROM c WHERE lang = 'de')"
+    "UNION ALL SELECT model_id, 'code licence not cleared' FROM g WHERE license_id NOT IN (SELECT license_id FROM c WHERE code) "
+    "UNION ALL SELECT model_id, 'weight licence not cleared' FROM g WHERE license_id NOT IN (SELECT license_id FROM c WHERE weights)"
 ))
 def license_audit(spark, sf):
     docs = I.table(spark, sf, "documents")
     models = docs.selectExpr(*[m.format(sha="sha2(text, 256)") for m in _MODELS])
-    clear = docs.filter("n_chars > 6000 AND lang IN ('en', 'de')").selectExpr(
-        "source AS license_id", "CASE WHEN lang = 'en' THEN 'code' ELSE 'weights' END AS scope"
-    )
-    return P.license_audit(models, clear)
+    longest = docs.groupBy(F.concat("source", F.lit("/"), "lang").alias("license_id")).agg(F.max("n_chars").alias("n"))
+    clear = longest.selectExpr("license_id", "stack(2, 'code', n > 4000, 'weights', n > 6000) AS (scope, cleared)")
+    return P.license_audit(models, clear.filter("cleared"))

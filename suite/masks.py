@@ -115,11 +115,12 @@ def mask_algebra(spark, sf):
     ["pixels"],
     " SELECT image_id, x, y, "
     + ", ".join(f"CAST(floor({c}*(1e0-w)+(255-{c})*w+0.5e0) AS INT) AS {c}" for c in "rgb")
-    + " FROM (SELECT *, CASE WHEN x % 5 = 4 THEN 0e0 ELSE (x % 5)/4e0 END AS w FROM pixels)",
+    + ", x % 7 <> 6 AS matched FROM (SELECT *, CASE WHEN x % 5 = 4 OR x % 7 = 6 THEN 0e0 ELSE (x % 5)/4e0 END AS w FROM pixels)",
 ))
 def local_composite(spark, sf):
     px = I.pixels(spark, sf)
-    inverted = px.select("image_id", "x", "y", *[(255 - F.col(c)).alias(c) for c in "rgb"])
+    # the adjusted version lacks some pixels, the mask others
+    inverted = px.filter("x % 7 <> 6").select("image_id", "x", "y", *[(255 - F.col(c)).alias(c) for c in "rgb"])
     mask = px.filter("x % 5 <> 4").select("image_id", "x", "y", ((F.col("x") % 5) / 4.0).alias("w"))
     return M.local_composite(px, inverted, mask)
 
@@ -127,12 +128,12 @@ def local_composite(spark, sf):
 @register("strength_blend", I.with_ctes(
     ["pixels"],
     " SELECT image_id, x, y, "
-    + ", ".join(f"CASE WHEN t = 0 THEN {c} ELSE CAST(floor({c}+((255-{c})-{c})*t+0.5e0) AS INT) END AS {c}" for c in "rgb")
-    + " FROM (SELECT *, (image_id % 5)/4e0 AS t FROM pixels)",
+    + ", ".join(f"CASE WHEN t = 0 OR y % 6 = 5 THEN {c} ELSE CAST(floor({c}+((255-{c})-{c})*t+0.5e0) AS INT) END AS {c}" for c in "rgb")
+    + ", y % 6 <> 5 AS matched FROM (SELECT *, (image_id % 5)/4e0 AS t FROM pixels)",
 ))
 def strength_blend(spark, sf):
     px = I.pixels(spark, sf)
-    inverted = px.select("image_id", "x", "y", *[(255 - F.col(c)).alias(c) for c in "rgb"])
+    inverted = px.filter("y % 6 <> 5").select("image_id", "x", "y", *[(255 - F.col(c)).alias(c) for c in "rgb"])
     return M.strength_blend(px, inverted, (F.col("image_id") % 5) / 4.0)
 
 
@@ -164,13 +165,88 @@ def mask_overlay(spark, sf):
         avg(u*t)-avg(u)*avg(t) AS cov, avg((u-t)*(u-t)) AS mse, count(*) FILTER (WHERE abs(u-t) <= 2)/count(*) AS wt FROM j GROUP BY image_id)
     SELECT image_id, round(mse, 6) AS mse, round(10e0*log10(65025e0/mse), 6) AS psnr,
       round((2e0*mu*mt+6.5025e0)*(2e0*cov+58.5225e0)/((mu*mu+mt*mt+6.5025e0)*(vu+vt+58.5225e0)), 6) AS ssim,
-      round(wt, 6) AS within_tolerance FROM s""",
+      round(wt, 6) AS within_tolerance, CAST(0 AS BIGINT) AS unmatched FROM s""",
 ))
 def image_quality(spark, sf):
     a = I.frames(spark, sf)
     b = a.withColumn("v", F.expr("least(255, v + (x * 3 + y * 5 + image_id) % 7)"))
     q = Q.image_quality(a, b)
-    return q.select("image_id", *r6(**{c: c for c in q.columns if c != "image_id"}))
+    return q.select("image_id", *r6(**{c: c for c in q.columns if c not in ("image_id", "unmatched")}), "unmatched")
+
+
+@register("image_quality_blocks", I.with_ctes(
+    ["pixels"],
+    """, j AS (SELECT image_id, x // 8 AS bx, y // 8 AS bu, CAST(r AS DOUBLE) AS u,
+        CASE WHEN (x + y + image_id) % 13 <> 0 THEN CAST(least(255, r + (x*3+y*5+image_id) % 7) AS DOUBLE) END AS t FROM pixels)
+    , s AS (SELECT image_id, bx, bu, count(t) AS n, count(*) FILTER (WHERE t IS NULL) AS lost, avg(u) FILTER (WHERE t IS NOT NULL) AS mu, avg(t) AS mt,
+        avg(u*u) FILTER (WHERE t IS NOT NULL) AS muu, avg(t*t) AS mtt, avg(u*t) AS mut, sum((u-t)*(u-t)) AS se, count(*) FILTER (WHERE abs(u-t) <= 2) AS wi FROM j GROUP BY ALL)
+    , b AS (SELECT *, (2e0*mu*mt+6.5025e0)*(2e0*(mut-mu*mt)+58.5225e0)/((mu*mu+mt*mt+6.5025e0)*(muu-mu*mu+mtt-mt*mt+58.5225e0)) AS ssim FROM s)
+    SELECT image_id, round(sum(se)/sum(n), 6) AS mse, round(10e0*log10(65025e0/(sum(se)/sum(n))), 6) AS psnr, round(avg(ssim), 6) AS ssim,
+      round(sum(wi)/sum(n), 6) AS within_tolerance, CAST(sum(lost) AS BIGINT) AS unmatched FROM b GROUP BY image_id""",
+))
+def image_quality_blocks(spark, sf):
+    """Several blocks per photo; the second version lacks some pixels."""
+    a = I.pixels(spark, sf).select("image_id", "x", "y", F.col("r").alias("v"))
+    b = a.filter("(x + y + image_id) % 13 <> 0").withColumn("v", F.expr("least(255, v + (x * 3 + y * 5 + image_id) % 7)"))
+    q = Q.image_quality(a, b)
+    return q.select("image_id", *r6(**{c: c for c in q.columns if c not in ("image_id", "unmatched")}), "unmatched")
+
+
+@register("mask_quality_sparse", I.with_ctes(
+    ["pixels"],
+    """, m AS (SELECT image_id, x, y, CASE WHEN r >= 100 THEN r/255e0 ELSE 0e0 END AS p, CASE WHEN r >= 60 THEN least(255, r+40)/255e0 ELSE 0e0 END AS t FROM pixels)
+    , nb AS (SELECT a.image_id, a.x, a.y, a.p, a.t, min(b.p) AS mp, min(b.t) AS mt
+        FROM m a JOIN (SELECT image_id, x + dx AS x, y + dy AS y, p, t FROM m, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)) b
+          ON a.image_id = b.image_id AND a.x = b.x AND a.y = b.y GROUP BY ALL)
+    , e AS (SELECT *, CAST(p >= 0.5 AND mp < 0.5 AS INT) AS ep, CAST(t >= 0.5 AND mt < 0.5 AS INT) AS et FROM nb)
+    SELECT image_id, round(sum(least(p,t))/sum(greatest(p,t)), 6) AS iou,
+      CASE WHEN sum(ep+et) > 0 THEN round(2e0*sum(ep*et)/sum(ep+et), 6) END AS boundary_f FROM e GROUP BY image_id""",
+))
+def mask_quality_sparse(spark, sf):
+    """Both masks hold their set pixels only."""
+    px = I.pixels(spark, sf)
+    pred = px.filter("r >= 100").selectExpr("image_id", "x", "y", "r / 255D AS w")
+    truth = px.filter("r >= 60").selectExpr("image_id", "x", "y", "least(255, r + 40) / 255D AS w")
+    out = Q.mask_quality(pred, truth, images=I.photos(spark, sf))
+    return out.select("image_id", *r6(iou="iou", boundary_f="boundary_f"))
+
+
+_RADIAL = """, rm AS (SELECT p.image_id, p.x, p.y, q.maskFeather AS feather, p.image_id % 2 = 1 AS inv, q.mask AS m,
+    x/greatest(1,w0-1) - q.mask.x AS dx, y/greatest(1,h0-1) - q.mask.y AS dy, -q.mask.rotation*pi()/180e0 AS ang FROM fr p JOIN recipes q ON p.image_id = q.image_id)
+  , rd AS (SELECT *, (dx*cos(ang)-dy*sin(ang))/greatest(0.02e0, m.width/2e0) AS u, (dx*sin(ang)+dy*cos(ang))/greatest(0.02e0, m.height/2e0) AS v FROM rm)
+  , rt AS (SELECT *, least(1e0, greatest(0e0, (sqrt(u*u+v*v)-1e0)/(greatest(0.02e0, feather/100e0*0.7e0)*2.2e0))) AS t FROM rd)
+  , rw AS (SELECT image_id, x, y, CASE WHEN inv THEN t*t*(3e0-2e0*t) ELSE 1e0-t*t*(3e0-2e0*t) END AS w FROM rt)"""
+
+
+@register("radial_mask", I.with_ctes(
+    ["photos", "pixels", "recipes"], _FR + _RADIAL + " SELECT image_id, x, y, round(w, 6) AS w FROM rw"
+))
+def radial_mask(spark, sf):
+    px = G.normalized_coordinates(framed(spark, sf)).join(
+        I.recipes(spark, sf, ["maskFeather", "mask"]), "image_id"
+    )
+    out = M.radial_mask(px, F.col("mask"), F.col("maskFeather"), F.col("image_id") % 2 == 1)
+    return out.select("image_id", "x", "y", *r6(w="w"))
+
+
+_TREE = [  # node, parent, order, operation, inverted
+    (1, None, 0, "add", False), (2, None, 1, "subtract", True), (3, 1, 0, "add", False), (4, 1, 1, "intersect", False),
+    (5, 2, 0, "add", True), (6, 2, 1, "add", False),
+]
+
+
+@register("mask_tree", I.with_ctes(
+    ["pixels"],
+    """, w AS (SELECT image_id, x, y, r/255e0 AS n3, g/255e0 AS n4, 1e0 - b/255e0 AS n5, (x % 3)/3e0 AS n6 FROM pixels)
+    , l AS (SELECT *, n3*n4 AS n1, 1e0 - (n5+n6-n5*n6) AS n2 FROM w)
+    SELECT image_id, x, y, round(n1*(1e0-n2), 6) AS w FROM l""",
+))
+def mask_tree(spark, sf):
+    tree = spark.createDataFrame(_TREE, "node_id long, parent_id long, ord int, op string, invert boolean")
+    leaves = I.pixels(spark, sf).selectExpr(
+        "image_id", "x", "y", "stack(4, 3L, r / 255D, 4L, g / 255D, 5L, b / 255D, 6L, (x % 3) / 3D) AS (node_id, w)"
+    )
+    return M.mask_tree(tree, leaves).select("image_id", "x", "y", *r6(w="w"))
 
 
 @register("mask_quality", I.with_ctes(

@@ -176,9 +176,48 @@ def wb_eyedropper(spark, sf):
     return T.wb_eyedropper(I.pixels(spark, sf), samples).select("sample_id", "image_id", "n", *r6(r="r", g="g", b="b"))
 
 
-@register("look_features")
+def _features():
+    """All features as one SQL table ``ft`` (in WITH clauses)."""
+    near = "ch < 0.04 AND ll BETWEEN 0.2 AND 0.9"
+    med = lambda c: f"median(CASE WHEN {near} THEN floor({c}*10000e0+0.5e0) END)/10000e0"
+    cols = [f"quantile_cont(v, {p})/10000e0 AS p{round(p * 100):02d}" for p in T.QUANTILES]
+    for n, c in T.HUE_BANDS.items():
+        w = f"(ch*greatest(0e0, 1e0-least(abs(hue-{c}e0), 360e0-abs(hue-{c}e0))/45e0))"
+        cols += [
+            f"nullif(sum({w}), 0e0) AS {n}_mass",
+            f"CASE WHEN sum({w}) > 0 THEN fmod(degrees(atan2(sum({w}*sin(radians(hue))), sum({w}*cos(radians(hue)))))+360e0, 360e0) END AS {n}_hue",
+            f"sum({w}*ch)/nullif(sum({w}), 0e0) AS {n}_chroma", f"sum({w}*ll)/nullif(sum({w}), 0e0) AS {n}_lightness",
+        ]
+    l1 = "least(1e0, greatest(0e0, ll))"
+    zones = {"shadow": f"((1e0-{l1})*(1e0-{l1}))", "mid": f"greatest(0e0, 1e0-abs({l1}-0.5e0)*2e0)", "high": f"({l1}*{l1})"}
+    for z, w in zones.items():
+        cols += [f"sum({w}*la)/nullif(sum({w}), 0e0) AS {z}_a", f"sum({w}*lb_)/nullif(sum({w}), 0e0) AS {z}_b"]
+    cols += [f"{med('la')} AS neutral_a", f"{med('lb_')} AS neutral_b", f"count(*) FILTER (WHERE {near})/count(*) AS neutral_confidence",
+             "regr_slope(ch, ll) AS density_slope"]
+    return I.with_ctes(
+        ["pixels"],
+        LAB + f", lv AS (SELECT *, CAST(2126*r+7152*g+722*b AS DOUBLE) AS v FROM lch), f0 AS (SELECT image_id, {', '.join(cols)} FROM lv GROUP BY image_id)"
+        ", ft AS (SELECT *, p90-p10 AS robust_contrast, p05-p01 AS toe, p99-p95 AS shoulder FROM f0)",
+    )
+
+
+_NAMES = [
+    *[f"p{round(p * 100):02d}" for p in T.QUANTILES], "robust_contrast", "toe", "shoulder",
+    *[f"{n}_{k}" for n in T.HUE_BANDS for k in ("mass", "hue", "chroma", "lightness")],
+    *[f"{z}_{a}" for z in ("shadow", "mid", "high") for a in "ab"], "neutral_a", "neutral_b", "neutral_confidence", "density_slope",
+]
+FEATURES = _features()
+_DIGITS = {n: 4 if n.endswith("_hue") else 5 if n == "density_slope" else 6 for n in _NAMES}
+ROUNDED = f"SELECT image_id, {', '.join(f'round({n}, {d}) AS {n}' for n, d in _DIGITS.items())} FROM ft"
+
+
+def rounded_features(spark, sf):
+    return T.look_features(I.pixels(spark, sf)).select("image_id", *[F.round(n, d).alias(n) for n, d in _DIGITS.items()])
+
+
+@register("look_features", FEATURES + " " + ROUNDED)
 def look_features(spark, sf):
-    return T.look_features(I.pixels(spark, sf))
+    return rounded_features(spark, sf)
 
 
 _SHIFTS = {"red": (10.0, 0.2, 0.0), "blue": (-15.0, -0.5, 0.1), "green": (0.0, 0.3, -0.1)}
