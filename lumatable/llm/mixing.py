@@ -26,8 +26,6 @@ from .common import WORD, running_totals, stage_table
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
-#: Documents of a source that one task orders; larger sources are split by prefixes of the hash.
-SLICE = 20_000
 
 
 def _key(id_col: str, seed: str):
@@ -66,12 +64,14 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataF
 
 def mix_plan(
     docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
-    weights=WEIGHTS, cap: int = CAP, seed: str = SEED,
+    weights=WEIGHTS, cap: int = CAP, seed: str = SEED, digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``(sizes, plan)``: a slim row per document, and per source how it is taken.
 
     ``sizes``: doc_id, source, size, _key. ``plan``: source, source_size, target, whole, last (the
-    largest (key, size) of the seeded part, null if that part is empty).
+    largest (key, size) of the seeded part, null if that part is empty). A source is cut by the first
+    ``digits`` of the hash: by default so that the largest one has about as many slices as documents
+    in a slice, since one task orders the slices and one the documents of the slice it is cut in.
     """
     sizes = stage_table(
         docs.select(
@@ -83,7 +83,7 @@ def mix_plan(
     counted = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     counted = stage_table(counted, "counted")
     most = counted.agg(F.max("_n")).first()[0] or 1
-    digits = max(0, math.ceil(math.log(most / SLICE, 16))) if most > SLICE else 0
+    digits = math.ceil(math.log(most, 16) / 2) if digits is None else digits
 
     targets = source_targets(counted.select("source", "source_size"), weights, cap)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

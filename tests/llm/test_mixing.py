@@ -49,13 +49,13 @@ def test_awkward(spark):
     assert mixing.mix_report(one).count() == 3
 
 
-def test_caps_and_slices(spark, monkeypatch):
+def test_caps_and_slices(spark):
     data = [(i, " ".join(["w"] * (1 + i * 7 % 13)), s) for i, s in enumerate(["big"] * 900 + ["mid"] * 60 + ["tiny"] * 3 + [None] * 20 + ["z"])]
     df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(7)
     whole = rows(mixing.mix_report(df))
     check(df)
-    monkeypatch.setattr(mixing, "SLICE", 10)
-    assert rows(mixing.mix_report(df.repartition(3))) == whole
+    for digits in (0, 1, 4):
+        assert rows(mixing.mix_report(df.repartition(3), digits=digits)) == whole
 
 
 def test_mix_holds_each_row_as_often_as_reported(spark):

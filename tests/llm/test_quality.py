@@ -75,7 +75,7 @@ def test_labelled_documents(spark, labels):
     out = quality.judged(docs, known, out="said").join(known, "doc_id").filter("NOT said.base_failed")
     out = out.selectExpr("quality = 1 AS good", "CAST(said.kept AS INT) AS kept").groupBy("good").avg("kept")
     share = {r[0]: r[1] for r in out.collect()}
-    assert share[True] > 0.98 and share[False] < 0.2
+    assert share[True] > 0.98 and share[False] < 0.4
 
 
 def test_viterbi_is_the_best_labelling():
