@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import drop_staged, stage_table
 from .quality import batches
@@ -255,30 +255,43 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(tops)
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shard: int = SHARD) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row."""
+def _grouped(docs: DataFrame, id_col, text_col, shard: int) -> DataFrame:
+    """``doc_id, fp, label, component_id`` for every row; the label names the group."""
     prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"))
     prints = stage_table(prints, "prints")
     distinct = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     groups = stage_table(components(links(distinct, shard)), "groups")
     named = distinct.join(groups, F.col("fp") == F.col("node"), "left")
     named = stage_table(named.select("fp", "first", F.coalesce("label", "fp").alias("label")), "named")
-    heads = stage_table(named.groupBy("label").agg(F.min("first").alias("component_id")).withColumnRenamed("label", "_label"), "heads")
-    named = named.join(heads, F.col("label") == F.col("_label")).select(F.col("fp").alias("_fp"), "component_id")
-    out = prints.join(stage_table(named, "components"), F.col("fp") == F.col("_fp"))
+    heads = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    heads = stage_table(heads.withColumnRenamed("label", "_label"), "heads")
+    named = named.join(heads, F.col("label") == F.col("_label")).select(F.col("fp").alias("_fp"), "label", "component_id")
+    return prints.join(stage_table(named, "components"), F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shard: int = SHARD) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every row."""
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return out.select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, shard).select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """``docs`` with one row of each group: the one with the smallest id, all columns kept."""
-    found = stage_table(near_duplicates(docs, id_col, text_col), "found")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = stage_table(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    stay = docs.join(gone, docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-    again = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
+def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shard: int = SHARD) -> DataFrame:
+    """``docs`` with one row of each group, all columns kept.
+
+    It is the row with the smallest id; among rows that share that id, the first by content.
+    """
+    found = stage_table(_grouped(docs, id_col, text_col, shard), "found")
+    once = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_goes"))
+    # ids that go, or that need a look at their rows since they occur more than once
+    gone = stage_table(once.filter("_goes OR _n > 1").select(F.col("doc_id").alias("_nd_id"), (F.col("_n") > 1).alias("_nd_again")), "gone")
+    same = docs[id_col].eqNullSafe(F.col("_nd_id"))
+    stay = docs.join(gone, same, "left_anti")
+    if gone.filter("_nd_again").isEmpty():
         return stay
-    # ids that occur more than once: one of their rows, the first by content
-    first = Window.partitionBy(id_col).orderBy(*[F.col(c).cast("string") for c in docs.columns])
-    return stay.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
+    groups = found.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_head"))
+    again = docs.join(gone.filter("_nd_again"), same, "left_semi").select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_nd_id"), fingerprint(docs[text_col]).alias("_print")
+    )
+    again = again.join(stage_table(groups.distinct(), "again"), F.col("_print") == F.col("_fp"))
+    again = again.filter(F.col("_nd_id").eqNullSafe(F.col("_head"))).groupBy("_label").agg(F.min("_row").alias("_row"))
+    return stay.unionByName(again.select("_row.*"))
