@@ -1,3 +1,4 @@
+import functools
 import math
 from collections import defaultdict
 
@@ -22,6 +23,7 @@ def plain_bits(samples, text, order, least):
     kept.add(b"")
     seen = {b for texts in samples.values() for b in b"".join(b"\0" * order + t for t in texts)}
 
+    @functools.cache
     def p(l, context, byte):
         """Distribution of the longest kept suffix."""
         while context not in kept:

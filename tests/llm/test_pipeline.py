@@ -53,7 +53,7 @@ def test_run(spark):
     assert read_table(spark, SF, "documents").count() > 0
 
 
-@pytest.mark.parametrize("name", list(queries.QUERIES))
-def test_every_query_runs(spark, name):
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.ORACLE and n != "pipeline"])
+def test_queries_without_sql_run(spark, name):
     out = queries.QUERIES[name](spark, SF)
     assert out.count() > 0 and len(set(out.columns)) == len(out.columns)
