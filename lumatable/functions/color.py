@@ -25,9 +25,6 @@ def byte_to_linear(byte: Column | str) -> Column:
     return F.expr(byte_to_linear_sql(byte))
 
 
-def srgb_to_linear(v: Column) -> Column:
-    return F.when(v <= 0.04045, v / 12.92).otherwise(F.pow((v + 0.055) / 1.055, F.lit(2.4)))
-
 
 def linear_to_srgb(v: Column) -> Column:
     v = clamp01(v)
@@ -40,9 +37,6 @@ def luma_709(r: Column, g: Column, b: Column) -> Column:
     return r * 0.2126 + g * 0.7152 + b * 0.0722
 
 
-def luma_2020(r: Column, g: Column, b: Column) -> Column:
-    return r * 0.2627 + g * 0.678 + b * 0.0593
-
 
 def luma_level(r: Column, g: Column, b: Column) -> Column:
     """BT.709 luma of bytes in exact ten-thousandths (integer, at most 2 550 000)."""

@@ -13,7 +13,7 @@ from .. import schema as S
 from ..functions.color import byte_to_linear_sql
 from ..functions.recipe import INLINE_KNOTS, default_curve, default_mask, render_constants
 from .geometry import frame_geometry, preview, preview_size, turn_any, turn_quarters
-from ..plans.joins import BROADCAST_ROWS, has_few_rows, join_per_image
+from ..plans.joins import has_few_rows, join_per_image
 from .tiles import TILE, tile_with_halo
 
 CHANNELS = ("r", "g", "b")
@@ -295,6 +295,24 @@ def grid_gaps(pixels: DataFrame, images: DataFrame) -> DataFrame:
     ).filter("status IS NOT NULL")
 
 
+def steps_needed(recipes: DataFrame) -> dict[str, bool]:
+    """Which optional steps any recipe asks for; keys that recipes lack are neutral."""
+    asks = {
+        "fine": ("noiseReduction", "noiseReduction <> 0D"), "sharp": ("sharpness", "sharpness <> 0D"),
+        "free": ("rotation", "pmod(rotation, 90D) <> 0D"), "quarter": ("rotation", "pmod(rotation, 360D) <> 0D"),
+        "flip_h": ("flipHorizontal", "flipHorizontal <> 0D"), "flip_v": ("flipVertical", "flipVertical <> 0D"),
+    }
+    here = {n: e for n, (key, e) in asks.items() if key in recipes.columns}
+    found = dict.fromkeys(asks, False)
+    if here:
+        row = recipes.agg(*[F.max(F.expr(e)).alias(n) for n, e in here.items()]).first()
+        found |= {n: bool(row[n]) for n in here}
+    return {
+        "fine": found["fine"] or found["sharp"], "free": found["free"],
+        "turned": found["quarter"] or found["flip_h"] or found["flip_v"],
+    }
+
+
 def grade(
     pixels: DataFrame,
     images: DataFrame,
@@ -317,11 +335,7 @@ def grade(
         )
     dims = render_table(images, recipes)
     fine = "k.denoise <> 0D OR k.sharpen <> 0D"
-    need = dims.agg(
-        F.count("*").alias("n"), F.max(F.expr(fine)).alias("fine"), F.max(F.expr("geo.quarter < 0")).alias("free"),
-        F.max(F.expr("geo.quarter <> 0 OR geo.sx < 0D OR geo.sy < 0D")).alias("turned"),
-    ).first()
-    small, bytes_ = need["n"] <= BROADCAST_ROWS, S.PIXELS.fieldNames()
+    need, small, bytes_ = steps_needed(recipes), has_few_rows(images), S.PIXELS.fieldNames()
 
     def rendered(some):
         px = join_per_image(pixels, some, small)

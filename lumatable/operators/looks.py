@@ -36,9 +36,6 @@ def long_recipes(recipes: DataFrame, keys=None) -> DataFrame:
     return recipes.unpivot(["image_id"], keys, "param", "value")
 
 
-def wide_recipes(rows: DataFrame, keys=None) -> DataFrame:
-    return rows.groupBy("image_id").pivot("param", keys or S.KEYS).agg(F.first("value"))
-
 
 def apply_look(axes: DataFrame, basis: DataFrame, base: DataFrame, protected=PROTECTED) -> DataFrame:
     """Parameters of a look: base + sum over terms of basis weight x axis value.

@@ -277,8 +277,3 @@ def island_cleanup(mask: DataFrame, min_area: int, threshold: float = 0.5) -> Da
     area = labelled.groupBy("label").agg(F.count("*").alias("_area"))
     small = labelled.join(area.filter(F.col("_area") < min_area), "label").select(*key)
     return mask.join(small, key, "left_anti")
-
-
-def grid_mask(images: DataFrame, w: Column) -> DataFrame:
-    """A mask for every pixel of every frame from an expression over x, y, width, height."""
-    return full_grid(images.select("image_id", "width", "height")).select("image_id", "x", "y", w.alias("w"))

@@ -269,7 +269,7 @@ def look_features(pixels: DataFrame) -> DataFrame:
     px = perceptual(pixels).withColumn("level", luma_level(F.col("r"), F.col("g"), F.col("b")))
     l, chroma, rad = clamp01(F.col("lab_l")), F.col("chroma"), F.col("hue") * (math.pi / 180.0)
     near = (chroma < 0.04) & F.col("lab_l").between(0.2, 0.9)
-    sums = {"n": F.lit(1.0), "near": near.cast("double"), "c": chroma, "l": F.col("lab_l")}
+    sums = {"n": F.lit(1.0), "near": F.col("near").cast("double"), "c": chroma, "l": F.col("lab_l")}
     sums |= {"cl": chroma * F.col("lab_l"), "ll": F.col("lab_l") * F.col("lab_l")}
     zones = {
         "shadow": (1.0 - l) * (1.0 - l), "mid": F.greatest(F.lit(0.0), 1.0 - F.abs(l - 0.5) * 2.0), "high": l * l,
@@ -278,9 +278,12 @@ def look_features(pixels: DataFrame) -> DataFrame:
         sums |= {f"{z}_w": w, f"{z}_wa": w * F.col("lab_a"), f"{z}_wb": w * F.col("lab_b")}
     for n, centre in HUE_BANDS.items():
         w = band_weight(F.col("hue"), F.lit(centre)) * chroma
-        sums |= {f"{n}_w": w, f"{n}_ws": w * F.sin(rad), f"{n}_wc": w * F.cos(rad), f"{n}_wch": w * chroma, f"{n}_wl": w * F.col("lab_l")}
+        sums |= {f"{n}_w": w, f"{n}_ws": w * F.col("sin_h"), f"{n}_wc": w * F.col("cos_h"), f"{n}_wch": w * chroma, f"{n}_wl": w * F.col("lab_l")}
     step = lambda c: F.floor(F.col(c) * 10000.0 + 0.5).cast("long")
-    px = px.select("image_id", "level", near.alias("near"), step("lab_a").alias("sa"), step("lab_b").alias("sb"), *[v.alias(f"s_{k}") for k, v in sums.items()])
+    px = px.select(
+        "image_id", "level", near.alias("near"), step("lab_a").alias("sa"), step("lab_b").alias("sb"),
+        "lab_l", "lab_a", "lab_b", "chroma", "hue", F.sin(rad).alias("sin_h"), F.cos(rad).alias("cos_h"),
+    )
     kinds = F.expr(
         "explode(CASE WHEN near THEN array(named_struct('kind', 0, 'v', 0L), named_struct('kind', 1, 'v', cast(level as bigint)), "
         "named_struct('kind', 2, 'v', sa), named_struct('kind', 3, 'v', sb)) "
@@ -289,7 +292,7 @@ def look_features(pixels: DataFrame) -> DataFrame:
     rows = px.select("*", kinds)
     first = F.col("e.kind") == 0
     merged = rows.groupBy("image_id", F.col("e.kind").alias("kind"), F.col("e.v").alias("v")).agg(
-        F.count("*").alias("m"), *[F.sum(F.when(first, F.col(f"s_{k}"))).alias(k) for k in sums]
+        F.count("*").alias("m"), *[F.sum(F.when(first, v)).alias(k) for k, v in sums.items()]
     )
     up_to, whole = Window.partitionBy("image_id", "kind").orderBy("v"), Window.partitionBy("image_id", "kind")
     c = merged.withColumns({"_cum": F.sum("m").over(up_to), "_all": F.sum("m").over(whole)})
@@ -334,19 +337,27 @@ def look_features(pixels: DataFrame) -> DataFrame:
 # --- colour stages built on the same space ----------------------------------
 
 
-def color_mixer(pixels: DataFrame, shifts: dict[str, tuple[float, float, float]]) -> DataFrame:
+def color_mixer(pixels: DataFrame, shifts: dict[str, tuple[float, float, float]] | DataFrame) -> DataFrame:
     """Shift hue (degrees), chroma and lightness (factors) in eight smooth hue bands.
 
-    Adjacent tents sum to one, so the bands blend without seams.
+    Adjacent tents sum to one, so the bands blend without seams. ``shifts`` is one setting for all
+    photos, or a table image_id, band, hue, chroma, lightness; photos and bands without a row there
+    have no shift.
     """
     from ..functions.color import linear_to_srgb, with_rgb_from_oklab
     from ..functions.numeric import half_up
 
     px = perceptual(pixels)
-    weights = {n: band_weight(F.col("hue"), c) for n, c in HUE_BANDS.items() if n in shifts}
-    part = lambda i: total(
-        [F.lit(0.0)] + [w * float(shifts[n][i]) for n, w in weights.items()]
-    )
+    if isinstance(shifts, DataFrame):
+        pick = lambda n, c: F.max(F.when(F.col("band") == n, F.col(c).cast("double")))
+        names = [(n, i, c) for n in HUE_BANDS for i, c in enumerate(("hue", "chroma", "lightness"))]
+        wide = shifts.groupBy("image_id").agg(*[pick(n, c).alias(f"_{n}{i}") for n, i, c in names])
+        px = px.join(F.broadcast(wide) if has_few_rows(wide) else wide, "image_id", "left")
+        amount = {n: [F.coalesce(f"_{n}{i}", F.lit(0.0)) for i in range(3)] for n in HUE_BANDS}
+    else:
+        amount = {n: [F.lit(float(v)) for v in three] for n, three in shifts.items()}
+    weights = {n: band_weight(F.col("hue"), c) for n, c in HUE_BANDS.items() if n in amount}
+    part = lambda i: total([F.lit(0.0)] + [w * amount[n][i] for n, w in weights.items()])
     px = px.withColumns({"_dh": part(0), "_dc": part(1), "_dl": part(2)})
     px = px.withColumns(
         {

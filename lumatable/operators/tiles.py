@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.joins import has_few_rows, join_per_image
+
 TILE = 1024
 
 
@@ -18,7 +20,8 @@ def tile_with_halo(
     whatever the size of the frame.
     """
     if images is not None:
-        pixels = pixels.join(images.select("image_id", "width", "height"), "image_id")
+        dims = images.select("image_id", "width", "height")
+        pixels = join_per_image(pixels, dims, has_few_rows(dims))
 
     def span(pos, extent):
         first = F.floor(F.greatest(F.col(pos) - halo, F.lit(0)) / size)

@@ -163,6 +163,24 @@ def class_stats(spark, sf):
     return T.class_stats(px, masks).select("image_id", "class", *r6(mass="mass", l="l", a="a", b="b"))
 
 
+@register("paired_class_stats", I.with_ctes(
+    ["pixels"],
+    LAB + """, m AS (SELECT *, CASE WHEN y < 5 THEN 'sky' ELSE 'ground' END AS class FROM lab WHERE NOT (y < 5 AND image_id % 3 = 0))
+    , c AS (SELECT image_id, class, avg(ll) AS l, avg(la) AS a, avg(lb_) AS b FROM m GROUP BY ALL)
+    SELECT t.image_id AS target_id, r.image_id AS ref_id, t.class, round(t.l, 6) AS target_l, round(t.a, 6) AS target_a, round(t.b, 6) AS target_b,
+      round(r.l, 6) AS ref_l, round(r.a, 6) AS ref_a, round(r.b, 6) AS ref_b
+    FROM c t JOIN c r ON r.image_id = t.image_id + 1 AND t.class = r.class""",
+))
+def paired_class_stats(spark, sf):
+    """Neighbouring photos, by class; every third photo has no sky."""
+    px = I.pixels(spark, sf)
+    masks = px.selectExpr("image_id", "x", "y", "CASE WHEN y < 5 THEN 'sky' ELSE 'ground' END AS class", "1D AS w", "1D AS confidence")
+    stats = T.class_stats(px, masks.filter("NOT (class = 'sky' AND image_id % 3 = 0)"))
+    pairs = I.photos(spark, sf).select(F.col("image_id").alias("target_id"), (F.col("image_id") + 1).alias("ref_id"))
+    out = T.paired_class_stats(stats, stats, pairs)
+    return out.select("target_id", "ref_id", "class", *r6(**{f"{p}_{c}": f"{p}_{c}" for p in ("target", "ref") for c in "lab"}))
+
+
 @register("wb_eyedropper", I.with_ctes(
     ["photos", "pixels"],
     """, s AS (SELECT image_id AS sample_id, image_id, 2 + image_id % 9 AS x, 3 + image_id % 5 AS y FROM photos)
@@ -222,19 +240,19 @@ def look_features(spark, sf):
 
 _SHIFTS = {"red": (10.0, 0.2, 0.0), "blue": (-15.0, -0.5, 0.1), "green": (0.0, 0.3, -0.1)}
 _W = lambda c: f"greatest(0e0, 1e0-least(abs(hue-{c}e0), 360e0-abs(hue-{c}e0))/45e0)"
-_part = lambda i: " + ".join(f"{_W(T.HUE_BANDS[n])}*({v[i]}e0)" for n, v in _SHIFTS.items())
+_part = lambda i, by: " + ".join(f"{_W(T.HUE_BANDS[n])}*({v[i]}e0{by})" for n, v in _SHIFTS.items())
 _enc = lambda c: (
     f"CAST(floor(255e0*(CASE WHEN least(1e0,greatest(0e0,{c})) <= 0.0031308e0 THEN least(1e0,greatest(0e0,{c}))*12.92e0 "
     f"ELSE 1.055e0*pow(least(1e0,greatest(0e0,{c})), {1/2.4!r}e0)-0.055e0 END)+0.5e0) AS INT)"
 )
 
 
-def _mixer_sql():
+def _mixer_sql(by=""):
     from lumatable.functions.color import LAB_TO_LMS, LMS_TO_RGB
 
     return I.with_ctes(
         ["pixels"],
-        LAB + f""", sh AS (SELECT image_id, x, y, radians(hue + {_part(0)}) AS h2, ch*greatest(0e0, 1e0+{_part(1)}) AS c2, ll*greatest(0e0, 1e0+{_part(2)}) AS l2 FROM lch)
+        LAB + f""", sh AS (SELECT image_id, x, y, radians(hue + {_part(0, by)}) AS h2, ch*greatest(0e0, 1e0+{_part(1, by)}) AS c2, ll*greatest(0e0, 1e0+{_part(2, by)}) AS l2 FROM lch)
         , ab AS (SELECT *, c2*cos(h2) AS a2, c2*sin(h2) AS b2 FROM sh)
         , q AS (SELECT *, {', '.join(f"pow({_row(m, ['l2', 'a2', 'b2'])}, 3) AS q{i}" for i, m in enumerate(LAB_TO_LMS))} FROM ab)
         , o AS (SELECT image_id, x, y, {', '.join(f"{_row(m, ['q0', 'q1', 'q2'])} AS out_{c}" for c, m in zip('rgb', LMS_TO_RGB))} FROM q)
@@ -247,6 +265,17 @@ def color_mixer(spark, sf):
     return T.color_mixer(I.pixels(spark, sf).select("image_id", "x", "y", "r", "g", "b"), _SHIFTS)
 
 
+@register("color_mixer_by_photo", _mixer_sql("*(image_id % 3)/2e0"))
+def color_mixer_by_photo(spark, sf):
+    """Photos differ in the strength of the setting; every third has none."""
+    rows = F.array(*[
+        F.struct(F.lit(n).alias("band"), *[(F.lit(v) * (F.col("image_id") % 3) / 2.0).alias(c) for c, v in zip(("hue", "chroma", "lightness"), three)])
+        for n, three in _SHIFTS.items()
+    ])
+    shifts = I.photos(spark, sf).filter("image_id % 3 <> 0").select("image_id", F.explode(rows).alias("s")).select("image_id", "s.*")
+    return T.color_mixer(I.pixels(spark, sf).select("image_id", "x", "y", "r", "g", "b"), shifts)
+
+
 _ss = lambda lo, hi, v: f"(least(1e0,greatest(0e0,({v}-{lo}e0)/({hi}e0-{lo}e0))))"
 _sm = lambda lo, hi, v: f"({_ss(lo, hi, v)}*{_ss(lo, hi, v)}*(3e0-2e0*{_ss(lo, hi, v)}))"
 _pl = lambda e, v: f"{_sm(e[0], e[1], v)}*(1e0-{_sm(e[2], e[3], v)})"
