@@ -101,5 +101,11 @@ def test_one_of_each_group_stays(spark):
     df = awkward_docs(spark)
     kept = without_near_duplicates(df)
     assert kept.columns == df.columns
-    group = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in near_duplicates(df).collect()}
-    assert len(set(group.values())) == kept.count()
+    prints = [(r["doc_id"], plain_print(r["text"])) for r in df.collect()]
+    groups = plain_groups([p for _, p in prints])
+    # one row for every group, the one with its smallest id; id 9 stands in two groups
+    got = sorted((groups[plain_print(r["text"])], r["doc_id"] or 0) for r in kept.collect())
+    first = {}
+    for d, p in prints:
+        first[groups[p]] = min(d or 0, first.get(groups[p], 99)) if d is not None or groups[p] not in first else first[groups[p]]
+    assert got == sorted(first.items())
