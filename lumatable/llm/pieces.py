@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -300,7 +301,7 @@ def decoded(tokens: DataFrame, ids_col: str = "ids", out: str = "text", model: s
     path = model or model_path()
 
     @F.pandas_udf("string")
-    def decode(parts: Iterator) -> Iterator:
+    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words = Vocabulary(path)
         for ids in parts:
             yield ids.map(lambda x: None if x is None else words.decode(x.tolist()).decode("utf-8", "replace"))
