@@ -260,7 +260,12 @@ def _grouped(docs: DataFrame, id_col, text_col, shard: int) -> DataFrame:
     prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"))
     prints = stage_table(prints, "prints")
     distinct = stage_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    groups = stage_table(components(links(distinct, shard)), "groups")
+    return labelled(prints, distinct, links(distinct, shard))
+
+
+def labelled(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` with ``label, component_id``: the groups that ``edges`` between values of ``fp`` make."""
+    groups = stage_table(components(edges), "groups")
     named = distinct.join(groups, F.col("fp") == F.col("node"), "left")
     named = stage_table(named.select("fp", "first", F.coalesce("label", "fp").alias("label")), "named")
     heads = named.groupBy("label").agg(F.min("first").alias("component_id"))
@@ -280,7 +285,12 @@ def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", s
 
     It is the row with the smallest id; among rows that share that id, the first by content.
     """
-    found = stage_table(_grouped(docs, id_col, text_col, shard), "found")
+    return one_of_each(docs, _grouped(docs, id_col, text_col, shard), fingerprint, id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame, print_of, id_col="doc_id", text_col="text") -> DataFrame:
+    """``docs`` with one row of each group of ``grouped``, whose ``fp`` is ``print_of`` the text."""
+    found = stage_table(grouped, "found")
     once = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("_goes"))
     # ids that go, or that need a look at their rows since they occur more than once
     gone = stage_table(once.filter("_goes OR _n > 1").select(F.col("doc_id").alias("_nd_id"), (F.col("_n") > 1).alias("_nd_again")), "gone")
@@ -290,7 +300,7 @@ def without_near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", s
         return stay
     groups = found.select(F.col("fp").alias("_fp"), F.col("label").alias("_label"), F.col("component_id").alias("_head"))
     again = docs.join(gone.filter("_nd_again"), same, "left_semi").select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_nd_id"), fingerprint(docs[text_col]).alias("_print")
+        F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs[id_col].alias("_nd_id"), print_of(docs[text_col]).alias("_print")
     )
     again = again.join(stage_table(groups.distinct(), "again"), F.col("_print") == F.col("_fp"))
     again = again.filter(F.col("_nd_id").eqNullSafe(F.col("_head"))).groupBy("_label").agg(F.min("_row").alias("_row"))
