@@ -10,7 +10,7 @@ The table has contexts x alphabet x languages entries; raise ``least`` for many
 The language with the shortest code wins; the score is its posterior under a uniform prior of
 languages, with code lengths taken per ``UNIT`` bytes so that long texts don't all saturate.
 
-Training uses a bounded sample: the first ``SAMPLE`` documents per language by a hash of their text
+Training uses a bounded sample: the first ``SAMPLE`` different texts per language by their hash
 among those allowed, and contexts seen at least ``LEAST`` times. Byte values of the sample form a
 compact alphabet; all others share one place in it and split its probability evenly.
 
@@ -25,7 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .common import stage_table
 
 ORDER = 3
 SAMPLE = 300
@@ -132,20 +134,24 @@ class ContextTrees:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text_col="text", lang_col="lang", **options) -> ContextTrees | None:
-    """Train on at most ``sample`` documents of each language in ``docs``."""
+    """Train on at most ``sample`` different texts of each language in ``docs``."""
     pool = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     pool = pool.filter("lang IS NOT NULL AND text IS NOT NULL AND text != ''")
-    counts = {r[0]: r[1] for r in pool.groupBy("lang").count().collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("long")
-    pool = pool.withColumn("place", place)
-    wanted = F.lit(False)  # hash ranges that hold about twice the sample, so one scan finds it
-    for lang, n in counts.items():
-        wanted |= (F.col("lang") == F.lit(lang)) & (F.col("place") < F.lit(int(min(1.0, 2 * sample / n) * (1 << 30))))
+    pool = pool.withColumn("place", F.xxhash64("text"))
+    slim = stage_table(pool.select("lang", "place").distinct(), "hashes")
+    small = F.pmod("place", F.lit(1 << 30))
+    # of n different hashes, spread evenly, about twice the sample lie in this range; few of n are all in it
+    counts = slim.groupBy("lang").agg(F.count("*").alias("_n")).withColumnRenamed("lang", "_lang")
+    near = slim.join(F.broadcast(counts), F.col("lang") == F.col("_lang")).filter(small < F.lit(2.0 * sample * (1 << 30)) / F.col("_n"))
+    order = Window.partitionBy("lang").orderBy(small, "place")
+    taken = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
+    taken = taken.select(F.col("lang").alias("_lang"), F.col("place").alias("_place"), "rank")
+    # bounded by the sample
+    texts = pool.join(F.broadcast(taken), (F.col("lang") == F.col("_lang")) & (F.col("place") == F.col("_place")))
+    texts = texts.groupBy("lang", "place", "rank").agg(F.min("text").alias("text"))
     samples: dict[str, list[bytes]] = {}
-    for r in sorted(pool.filter(wanted).collect(), key=lambda r: (r["place"], r["text"])):
-        own = samples.setdefault(r["lang"], [])
-        if len(own) < sample:
-            own.append(r["text"].encode("utf-8", "replace"))
+    for r in sorted(texts.collect(), key=lambda r: r["rank"]):
+        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "replace"))
     return ContextTrees(samples, **options) if samples else None
 
 
