@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
 from lumatable.plans.session import checkpoint_dir
 
-from . import langid, line_dedup, mixing, pieces, quality, simhash, substrings, token_files, urls, vector_search
-from .common import read_table
+from . import centroids, langid, line_dedup, mixing, pieces, quality, simhash, substrings, token_files, urls, vector_search
+from .common import read_table, stage_table
 
 
 def op1_line_dedup(spark, sf_dir):
@@ -178,6 +180,51 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+def op13_centroid_clustering(spark, sf_dir):
+    """Cluster and distance of every vector, and figures of its cluster."""
+    rows, found = centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+    rows = stage_table(rows, "clustered")
+    # one row per centroid
+    sums = dict(rows.groupBy("cluster").agg(centroids.sum_within_long(F.col("distance"))).collect())
+    whole = None if None in sums.values() else sum(sums.values())
+    inertia = whole if whole is not None and whole <= centroids.LAST else None
+    figures = [
+        (c, sums.get(c), inertia, hashlib.sha256(",".join(map(str, v)).encode()).hexdigest()) for c, v in enumerate(found)
+    ]
+    figures = F.broadcast(spark.createDataFrame(figures, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string"))
+    return rows.join(figures, "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def _op13_sql():
+    k, dim = centroids.K, centroids.DIM
+    squares = "list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    steps = []
+    for r in range(centroids.ROUNDS + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT r, vec_id, any_value(v) AS v, min(struct_pack(d := {squares}, c := c)) AS best FROM ints, c{r} GROUP BY r, vec_id)"
+        )
+        if r < centroids.ROUNDS:
+            steps.append(f"""p{r} AS (SELECT best.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{r}),
+m{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM p{r} GROUP BY c, i),
+n{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS w FROM m{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n{r}.w, c{r}.w) AS w FROM c{r} LEFT JOIN n{r} USING (c))""")
+    last = centroids.ROUNDS
+    return f"""
+WITH ints AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::DOUBLE)::BIGINT) AS v,
+    sha256('{centroids.SEED}:' || coalesce(vec_id::VARCHAR, '')) AS h
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v AS w FROM ints QUALIFY row_number() OVER (ORDER BY h, v) <= {k}
+), {", ".join(steps)}
+SELECT vec_id, best.c AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+  (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} ON best.c = c{last}.c
+"""
+
+
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline, one after the other."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -194,6 +241,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash": op9_simhash,
     "op10_vector_search": op10_vector_search,
+    "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
 }
 ORACLE = {
@@ -201,4 +249,5 @@ ORACLE = {
     "op4_url_filters": _op4_sql(),
     "op8_source_mixing": OP8_SQL,
     "op10_vector_search": OP10_SQL,
+    "op13_centroid_clustering": _op13_sql(),
 }
