@@ -10,7 +10,7 @@ import corpus_pipeline
 
 from lumatable.plans.session import checkpoint_dir
 
-from . import centroids, langid, line_dedup, mixing, pieces, quality, simhash, substrings, token_files, urls, vector_search
+from . import centroids, langid, line_dedup, mixing, pieces, quality, sharding, simhash, substrings, token_files, urls, vector_search
 from .common import read_table, stage_table
 
 
@@ -180,6 +180,15 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+def op12_sharding(spark, sf_dir):
+    """Shard and slot of every document; shards have equally many rows, to one."""
+    size, check = sharding.sizes_and_checks(F.col("text"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), check.alias("text_crc32"))
+    return sharding.sharded(docs).select(
+        "doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard_place.*", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op13_centroid_clustering(spark, sf_dir):
     """Cluster and distance of every vector, and figures of its cluster."""
     rows, found = centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
@@ -241,6 +250,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash": op9_simhash,
     "op10_vector_search": op10_vector_search,
+    "op12_sharding": op12_sharding,
     "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
 }
