@@ -28,7 +28,7 @@ def duck(sf):
 def canonical(pdf: pd.DataFrame):
     pdf = pdf[sorted(pdf.columns)]
     def cell(v):
-        if v is None or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool_":
             return str(bool(v))
