@@ -10,7 +10,7 @@ import corpus_pipeline
 
 from lumatable.plans.session import checkpoint_dir
 
-from . import centroids, langid, line_dedup, mixing, pieces, quality, sharding, simhash, substrings, token_files, urls, vector_search
+from . import centroids, langid, line_dedup, mixing, pieces, prefixes, quality, sharding, simhash, substrings, token_files, urls, vector_search
 from .common import read_table, stage_table
 
 
@@ -180,6 +180,52 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 """
 
 
+def op11_prefix_trie(spark, sf_dir):
+    """Every node of the trie of rebuilt conversations, with figures of its subtree."""
+    convs = stage_table(prefixes.rebuilt(read_table(spark, sf_dir, "conversations")), "rebuilt")
+    nodes = prefixes.prefix_trie(convs)
+    ended = nodes.filter("end_key IS NOT NULL").join(prefixes.end_digests(convs), "end_key")
+    passed = nodes.filter("end_key IS NULL").withColumn("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest()))
+    return ended.unionByName(passed).drop("end_key")
+
+
+OP11_SQL = f"""
+WITH own AS (
+  SELECT conv_id, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT conv_id, list(t ORDER BY pos) AS ts FROM own GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, ts, conv_id - conv_id % {prefixes.EVERY} AS base,
+    xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, z: xor(x >> 1, (x & 1) * 3988292384)))) % {prefixes.HEADS} AS h
+  FROM lists
+), built AS (
+  SELECT a.conv_id, list_concat(coalesce(b.ts, [])[1 : a.h], a.ts[a.h + 1 :]) AS ts
+  FROM heads a LEFT JOIN lists b ON a.base = b.conv_id
+), depths AS (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS depth FROM built),
+members AS (
+  SELECT depth, ts[1 : depth] AS path, ts[1 : greatest(depth - 1, 0)] AS up, conv_id, len(ts) = depth AS is_end FROM depths
+), nodes AS MATERIALIZED (
+  SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_end), '') AS ends,
+    CASE WHEN depth = 0 THEN 0 ELSE length(path[depth].text) END AS chars
+  FROM members GROUP BY depth, path
+), children AS (SELECT up AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up, depth),
+sized AS (SELECT o.*, coalesce(c.n, 0) AS n_children FROM nodes o LEFT JOIN children c USING (depth, path)),
+above AS (SELECT n, chars, n_children, unnest(range(depth + 1)) AS depth, path AS full_path FROM sized),
+trees AS (
+  SELECT depth, full_path[1 : depth] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n - 1) * chars)::BIGINT AS saved
+  FROM above GROUP BY ALL
+)
+SELECT o.conv_id, o.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, o.n AS n_convs, o.n_children, t.n_leaves, t.saved AS saved_tokens,
+  sha256(o.ends) AS ends_sha256
+FROM sized o JOIN trees t USING (depth, path) LEFT JOIN nodes p ON o.depth > 0 AND p.depth = o.depth - 1 AND p.path = o.up
+"""
+
+
 def op12_sharding(spark, sf_dir):
     """Shard and slot of every document; shards have equally many rows, to one."""
     size, check = sharding.sizes_and_checks(F.col("text"))
@@ -250,6 +296,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_simhash": op9_simhash,
     "op10_vector_search": op10_vector_search,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_sharding": op12_sharding,
     "op13_centroid_clustering": op13_centroid_clustering,
     "pipeline": pipeline,
@@ -259,5 +306,6 @@ ORACLE = {
     "op4_url_filters": _op4_sql(),
     "op8_source_mixing": OP8_SQL,
     "op10_vector_search": OP10_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_centroid_clustering": _op13_sql(),
 }
