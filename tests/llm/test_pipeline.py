@@ -5,7 +5,7 @@ from lumatable.llm import pieces, queries
 from lumatable.llm.common import read_table
 from test_line_dedup import plain as plain_lines
 from test_quality import plain_counts
-from test_simhash import plain_groups, plain_print
+from test_near_copies import plain_groups as near_groups
 from sentencepiece import SentencePieceProcessor
 
 SF = "/root/testdata/sf0.001"
@@ -34,16 +34,21 @@ def test_every_stage_on_what_the_one_before_kept(spark, make):
             assert rows(out, "text") == sorted((w[0],) for w in want)
             assert all(r["n_chars"] == len(r["text"]) for r in after)
         elif name == "near_dedup":
-            prints = [(r["doc_id"], plain_print(r["text"])) for r in before]
-            groups = plain_groups([p for _, p in prints])
-            assert len(after) == len(set(groups.values()))
+            # five words and similarity 0.8, not the two bits of the op9 query
+            groups = near_groups([r["text"] for r in before])
+            first = {}
+            for r, g in zip(before, groups):
+                if r["doc_id"] is not None:
+                    first[g] = min(r["doc_id"], first.get(g, r["doc_id"]))
+            assert sorted(r["doc_id"] or 0 for r in after) == sorted(first.get(g) or 0 for g in set(groups))
         elif name == "source_mixing":
             assert {r["doc_id"] for r in after} <= {r["doc_id"] for r in before}
         else:
             sp = SentencePieceProcessor(model_file=pieces.model_path())
-            text = {r["doc_id"]: r["text"] for r in before}
-            assert len(after) == len(before)
-            assert all(r["ids"] == sp.encode(text[r["doc_id"]]) and r["round_trip"] for r in after)
+            # two rows with different texts may share an id
+            want = sorted((r["doc_id"] or 0, sp.encode(r["text"] or "")) for r in before)
+            assert sorted((r["doc_id"] or 0, list(r["ids"])) for r in after) == want
+            assert all(r["round_trip"] for r in after)
         docs = out
 
 
