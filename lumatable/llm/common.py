@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -38,6 +39,18 @@ def drop_staged(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str):
+    """Python stages planned inside get batches of at most about ``size``, whatever the length of a row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def running_totals(df: DataFrame, order: list, sums: dict) -> DataFrame:
     """Add, for each name in ``sums``, the sum of its column over all rows before this one.
 
