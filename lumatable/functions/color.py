@@ -17,8 +17,8 @@ _LINEAR_TABLE = "array(" + ", ".join(f"{_decode(b / 255)!r}D" for b in range(256
 
 
 def byte_to_linear_sql(byte: str) -> str:
-    """sRGB byte to linear light through a 256-entry constant array built from the rule."""
-    return f"{_LINEAR_TABLE}[{byte}]"
+    """sRGB byte to linear light through a 256-entry constant array built from the rule; null stays null."""
+    return f"get({_LINEAR_TABLE}, {byte})"
 
 
 def byte_to_linear(byte: Column | str) -> Column:

@@ -101,12 +101,18 @@ def remove_photos(photos: DataFrame, ids: DataFrame, library="library_id") -> Da
 
 
 def verify_unchanged(manifest: DataFrame, rescan: DataFrame) -> DataFrame:
-    """Compare stored identities with a fresh scan: unchanged, changed, missing or new."""
-    old = manifest.select("path", F.col("content_hash").alias("old_hash"))
-    new = rescan.select("path", F.col("content_hash").alias("new_hash"))
+    """Compare stored identities with a fresh scan: unchanged, changed, missing, new or unreadable.
+
+    A path is new or missing if the other side has no row for it. One with rows on both sides is
+    ``unreadable`` if the scan has no hash, and ``unverified`` if only the stored hash is missing.
+    """
+    old = manifest.select("path", F.col("content_hash").alias("old_hash"), F.lit(True).alias("_old"))
+    new = rescan.select("path", F.col("content_hash").alias("new_hash"), F.lit(True).alias("_new"))
     status = (
-        F.when(F.col("old_hash").isNull(), "new")
-        .when(F.col("new_hash").isNull(), "missing")
+        F.when(F.col("_old").isNull(), "new")
+        .when(F.col("_new").isNull(), "missing")
+        .when(F.col("new_hash").isNull(), "unreadable")
+        .when(F.col("old_hash").isNull(), "unverified")
         .when(F.col("old_hash") == F.col("new_hash"), "unchanged")
         .otherwise("changed")
     )

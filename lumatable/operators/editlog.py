@@ -50,9 +50,14 @@ def _sound(actions, columns) -> "F.Column":
     return F.coalesce(ok, F.lit(False))
 
 
+def sound_events(log: DataFrame, actions=EDIT_ACTIONS) -> DataFrame:
+    """Complete events, repeated deliveries included; works on streams too."""
+    return log.filter(_sound(actions, log.columns))
+
+
 def valid_events(log: DataFrame, actions=EDIT_ACTIONS) -> DataFrame:
     """Complete events, each (photo, seq) once: the earliest delivery by ``ts`` and content."""
-    once = log.filter(_sound(actions, log.columns))
+    once = sound_events(log, actions)
     rest = [c for c in log.columns if c not in ("photo_id", "seq")]
     order = F.struct(*[F.col(c) for c in ("ts", *[c for c in rest if c != "ts"]) if c in rest])
     first = once.groupBy("photo_id", "seq").agg(F.min(order).alias("_e"))
@@ -293,8 +298,11 @@ def _order(log: DataFrame) -> list[str]:
 
 
 def suppress_noop(log: DataFrame) -> DataFrame:
-    """Adjust events of a log without undo that really change their key."""
-    adjusts = log.filter(F.col("action").isin("commit", "drag", "reset")).withColumn(
+    """Adjust events of a log without undo that really change their key.
+
+    Takes valid events only, as the folds do; ``quarantined_events`` returns the others.
+    """
+    adjusts = valid_events(log).filter(F.col("action").isin("commit", "drag", "reset")).withColumn(
         "value", F.expr(_value_of_event())
     )
     seen = with_previous(adjusts, ["photo_id", "key"], _order(log), ["value"])
@@ -304,8 +312,11 @@ def suppress_noop(log: DataFrame) -> DataFrame:
 
 
 def param_history(log: DataFrame) -> DataFrame:
-    """History as parameter differences: one row per change with old and new value."""
-    adjusts = log.filter(F.col("action").isin("commit", "drag", "reset")).withColumn(
+    """History as parameter differences: one row per change with old and new value.
+
+    Takes valid events only, as the folds do.
+    """
+    adjusts = valid_events(log).filter(F.col("action").isin("commit", "drag", "reset")).withColumn(
         "value", F.expr(_value_of_event())
     )
     seen = with_previous(adjusts, ["photo_id", "key"], _order(log), ["value"])

@@ -100,16 +100,75 @@ def turn_any(pixels: DataFrame, free: DataFrame) -> DataFrame:
         f"{whole} OR (x BETWEEN 0 AND geo.ow - 1 AND y BETWEEN 0 AND geo.oh - 1 "
         f"AND floor({_BACK_X}) = sx AND floor({_BACK_Y}) = sy)"
     )
-    blank = full_grid(_with(free, ow="geo.ow", oh="geo.oh"), "ow", "oh").filter(
-        f"floor({_BACK_X}) NOT BETWEEN 0 AND geo.w - 1 "
-        f"OR floor({_BACK_Y}) NOT BETWEEN 0 AND geo.h - 1"
-    )
-    blank = blank.withColumns({c: F.lit(0) for c in ("r", "g", "b", "a")})
     out = ["x", "y", *keep]
-    turned = covered.select(*out).unionByName(blank.select(*out))
+    turned = covered.select(*out).unionByName(_uncovered(free).select(*out))
     return _with(turned, width="geo.ow", height="geo.oh").drop("geo")
 
 
+_COVERED = f"floor({_BACK_X}) BETWEEN 0 AND geo.w - 1 AND floor({_BACK_Y}) BETWEEN 0 AND geo.h - 1"
+
+
+def _uncovered(free: DataFrame) -> DataFrame:
+    """Pixels of turned frames whose centre lies on no source pixel, as transparent black."""
+    blank = full_grid(_with(free, ow="geo.ow", oh="geo.oh"), "ow", "oh").filter(f"NOT ({_COVERED})")
+    return blank.withColumns({c: F.lit(0) for c in ("r", "g", "b", "a")})
+
+
+# place of a source pixel in the turned frame, and how far from it in x or y it still has weight
+_CENTRE_X = (
+    "(geo.ow / 2D + geo.sx * ((sx + 0.5D - geo.w / 2D) * geo.co - (sy + 0.5D - geo.h / 2D) * geo.si) - 0.5D)"
+)
+_CENTRE_Y = (
+    "(geo.oh / 2D + geo.sy * ((sx + 0.5D - geo.w / 2D) * geo.si + (sy + 0.5D - geo.h / 2D) * geo.co) - 0.5D)"
+)
+_SPAN = "(abs(geo.co) + abs(geo.si))"
+
+
+def scatter_weights(pixels: DataFrame) -> DataFrame:
+    """The output pixels that each source pixel has a bilinear weight in, with the weight ``w``.
+
+    ``pixels`` carries ``geo``. A source pixel is a tent of one pixel's width to each side; turned, it
+    reaches less than 1.42 output pixels in x and y, so it proposes nine and keeps those inside its tent
+    (four, on average). The weights in an output pixel away from the border add up to 1.
+    """
+    keep = [c for c in pixels.columns if c not in ("x", "y")]
+    sent = _with(pixels, sx="x", sy="y").drop("x", "y")
+    sent = _with(
+        sent, qx=f"cast(ceil({_CENTRE_X} - {_SPAN}) as int)", qy=f"cast(ceil({_CENTRE_Y} - {_SPAN}) as int)",
+        n="explode(sequence(0, 8))",
+    )
+    sent = _with(sent, x="qx + n % 3", y="qy + n div 3").withColumn("y", F.col("y").cast("int"))
+    tent = lambda back, at: f"greatest(0D, 1D - abs({back} - 0.5D - {at}))"
+    sent = _with(sent, w=f"{tent(_BACK_X, 'sx')} * {tent(_BACK_Y, 'sy')}")
+    inside = f"w > 0D AND x BETWEEN 0 AND geo.ow - 1 AND y BETWEEN 0 AND geo.oh - 1 AND {_COVERED}"
+    return sent.filter(inside).select(*keep, "x", "y", "w")
+
+
+def rotate_smooth(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Turn and flip every photo; angles that are no quarter turns are resampled bilinearly.
+
+    Returns ``image_id, x, y, r, g, b, a, width, height``. Source pixels scatter their bytes with exact
+    weights and each output pixel sums them up, map-side first: no pixel is joined with another one. An
+    output pixel is covered if its centre lies on a source pixel, as in ``rotate_flip``; there the sum is divided
+    by the weight of the bytes that are there, so the border keeps its brightness and a missing byte takes
+    no part. Others are transparent black. Quarter turns move bytes without a sum.
+    """
+    small, out = has_few_rows(dims), ["image_id", "x", "y", "r", "g", "b", "a", "width", "height"]
+    source = pixels.select("image_id", "x", "y", "r", "g", "b", "a")
+    frames = dims.select("image_id", "geo")
+    free = frames.filter("geo.quarter < 0")
+    whole = turn_quarters(join_per_image(source, frames.filter("geo.quarter >= 0"), small))
+    spread_out = scatter_weights(join_per_image(source, free, small))
+    byte = lambda c: F.expr(
+        f"cast(floor(round(try_divide(sum(w * {c}), sum(CASE WHEN {c} IS NOT NULL THEN w END)), 6) + 0.5D) as int)"
+    ).alias(c)
+    summed = spread_out.groupBy("image_id", "x", "y").agg(
+        *[byte(c) for c in "rgba"], F.max("geo.ow").alias("width"), F.max("geo.oh").alias("height")
+    )
+    blank = _with(_uncovered(free), width="geo.ow", height="geo.oh")
+    return whole.select(*out).unionByName(summed.select(*out)).unionByName(blank.select(*out))
+
+
 def rotate_flip(pixels: DataFrame, dims: DataFrame) -> DataFrame:
     """Turn and flip every photo by its recipe; ``dims`` holds ``frame_geometry`` per image."""
     return turn_any(join_per_image(pixels, dims, has_few_rows(dims)), dims.filter("geo.quarter < 0"))

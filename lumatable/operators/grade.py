@@ -20,8 +20,29 @@ CHANNELS = ("r", "g", "b")
 LINEAR = ("lr", "lg", "lb")
 
 
+def repeated_recipes(recipes: DataFrame) -> DataFrame:
+    """``image_id, n`` of photos with more than one recipe; rendering takes one of them."""
+    return recipes.groupBy("image_id").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def one_recipe_each(recipes: DataFrame) -> DataFrame:
+    """One row per photo: the greatest ``version`` where there is such a column, then the greatest values.
+
+    A photo with two recipe rows would otherwise be rendered twice over.
+    """
+    order = [c for c in ("version", *[k for k in S.KEYS], "mask") if c in recipes.columns]
+    row = F.struct(*recipes.columns)
+    if not order:
+        return recipes.dropDuplicates(["image_id"])
+    return recipes.groupBy("image_id").agg(F.max_by(row, F.struct(*order)).alias("_r")).select("_r.*")
+
+
 def complete_recipes(images: DataFrame, recipes: DataFrame) -> DataFrame:
-    """One full recipe per image: missing recipes and missing columns get neutral values."""
+    """One full recipe per image: missing recipes and missing columns get neutral values.
+
+    Of several recipes of a photo ``one_recipe_each`` picks one, ``repeated_recipes`` reports them.
+    """
+    recipes = one_recipe_each(recipes)
     present = set(recipes.columns)
     wanted = recipes.select(
         "image_id",

@@ -72,22 +72,23 @@ def mix_styles(styles: DataFrame, protected=PROTECTED) -> DataFrame:
 
     ``styles``: image_id, style, weight, param, value. Additive values mix linearly, gains in the
     log domain, hues (degrees) on the circle, and categories follow the heaviest style. Styles
-    without a value (for gains, a positive one) don't weigh in; where no weight is left the value is
-    null. Curves are mixed by ``mix_curves``.
+    without a value (for gains, a positive one) or without a weight don't weigh in; where no weight is
+    left the value is null. Curves are mixed by ``mix_curves``.
     """
     w, v = F.col("weight"), F.col("value")
     rad = v * (math.pi / 180.0)
     rows = styles.filter(~F.col("param").isin(list(protected))).withColumn("kind", _kind())
     over = lambda e, ok: F.try_divide(F.sum(F.when(ok, e)), F.sum(F.when(ok, w)))
     log = F.when(v > 0, F.ln(v))
+    counts = v.isNotNull() & w.isNotNull()
     return rows.groupBy("image_id", "param").agg(
         F.when(F.first("kind") == "gain", F.exp(over(w * log, v > 0)))
         .when(
             F.first("kind") == "hue",
-            F.atan2(F.sum(w * F.sin(rad)), F.sum(w * F.cos(rad))) * (180.0 / math.pi),
+            F.when(F.max(counts & (w != 0)), F.atan2(F.sum(w * F.sin(rad)), F.sum(w * F.cos(rad))) * (180.0 / math.pi)),
         )
         # on equal weight the first style by name wins
-        .when(F.first("kind") == "category", F.min_by(v, F.struct(-w, F.col("style"))))
+        .when(F.first("kind") == "category", F.min_by(v, F.when(counts & (w != 0), F.struct(-w, F.col("style")))))
         .otherwise(over(w * v, v.isNotNull()))
         .alias("value")
     )

@@ -34,7 +34,8 @@ def color_range(px: DataFrame, samples: DataFrame, tolerance: float, softness: f
     """Nearness to the closest sampled colour of the photo, in OKLab.
 
     ``samples``: image_id, sample_a, sample_b, sample_l; a photo has a handful of them. They are
-    gathered into one array per photo, so the pixel table keeps its row count.
+    gathered into one array per photo, so the pixel table keeps its row count. In a photo without
+    samples nothing is near: its pixels keep their rows with weight 0.
     """
     picked = samples.groupBy("image_id").agg(
         F.collect_list(F.struct("sample_l", "sample_a", "sample_b")).alias("_s")
@@ -48,7 +49,8 @@ def color_range(px: DataFrame, samples: DataFrame, tolerance: float, softness: f
 
     nearest = F.array_min(F.transform("_s", distance))
     w = 1.0 - smoothstep(F.lit(tolerance), F.lit(tolerance + softness), nearest)
-    return px.join(picked, "image_id").withColumn("w", w).drop("_s")
+    w = F.when(F.col("_s").isNull(), 0.0).otherwise(w)
+    return px.join(picked, "image_id", "left").withColumn("w", w).drop("_s")
 
 
 def brush_mask(images: DataFrame, dabs: DataFrame) -> DataFrame:
@@ -137,12 +139,18 @@ def mask_tree(tree: DataFrame, rasters: DataFrame, by=("image_id", "x", "y"), ma
 
     ``tree``: node_id, parent_id (null for top nodes), ord, op, invert. ``rasters``: node_id, keys, w
     for the leaves. The result of a group is the raster of its node; ``invert`` turns a node's weight
-    around before it joins its siblings. One ``mask_algebra`` per depth.
+    around before it joins its siblings. One ``mask_algebra`` per depth. A node whose parent is not in
+    the table, a cycle or a tree deeper than ``max_depth`` is an error that names the node: leaving such a
+    node out would change the mask without a word.
     """
     level = {r["node_id"]: r["parent_id"] for r in tree.select("node_id", "parent_id").limit(10_001).collect()}
     if len(level) > 10_000:
         raise ValueError("a mask tree is hand-made; more than 10,000 nodes are not one")
 
+    lost = sorted(n for n, parent in level.items() if parent is not None and parent not in level)
+    if lost:
+        raise ValueError(f"mask nodes under a parent that is not in the tree: {lost[:10]}")
+
     def depth(node):
         n = 0
         while level.get(node) is not None:

@@ -31,6 +31,21 @@ HUE_BANDS = {
 BAND_REACH = 45.0
 
 
+def whole_pixels(pixels: DataFrame) -> DataFrame:
+    """Pixels with all three colour bytes: what every statistic here is taken of.
+
+    ``gap_counts`` counts the others; a statistic never makes up a value for them.
+    """
+    return pixels.filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
+
+
+def gap_counts(pixels: DataFrame) -> DataFrame:
+    """Pixels per photo that statistics leave out since a colour byte is missing."""
+    return pixels.groupBy("image_id").agg(
+        F.count("*").alias("n_pixels"), F.count_if(F.expr("r IS NULL OR g IS NULL OR b IS NULL")).alias("n_left_out")
+    )
+
+
 def luma_histogram(
     pixels: DataFrame, images: DataFrame, bins: int = S.HISTOGRAM_BINS, sample_target: int | None = None
 ) -> DataFrame:
@@ -41,12 +56,12 @@ def luma_histogram(
     from a join.
     """
     luma = luma_709(F.col("r"), F.col("g"), F.col("b"))
-    sampled = pixels
+    sampled = whole_pixels(pixels)
     if sample_target is not None:
         dims = images.select("image_id", "width", "height")
         area = F.col("width").cast("long") * F.col("height")
         step = F.greatest(F.lit(1), F.floor(area / sample_target))
-        sampled = join_per_image(pixels, dims, has_few_rows(dims)).filter(
+        sampled = join_per_image(sampled, dims, has_few_rows(dims)).filter(
             (F.col("y").cast("long") * F.col("width") + F.col("x")) % step == 0
         )
     hits = sampled.select(
@@ -63,10 +78,10 @@ def luma_histogram(
 
 
 def rgb_histogram(pixels: DataFrame, bins: int = 256) -> DataFrame:
-    """Counts per channel (R, G, B, luma) and bin; empty bins are absent."""
+    """Counts per channel (R, G, B, luma) and bin of whole pixels; empty bins are absent."""
     luma = F.floor(luma_level(F.col("r"), F.col("g"), F.col("b")) / 10000).cast("int").alias("luma")
     return (
-        pixels.select("image_id", "r", "g", "b", luma)
+        whole_pixels(pixels).select("image_id", "r", "g", "b", luma)
         .selectExpr("image_id", "stack(4, 'r', r, 'g', g, 'b', b, 'luma', luma) AS (channel, v)")
         .groupBy("image_id", "channel", F.expr(f"cast(floor(v * {bins} / 256) as int)").alias("bin"))
         .agg(F.count("*").alias("n"))
@@ -77,8 +92,9 @@ def weighted_quantiles(counts: DataFrame, keys, value: str, n: str, probs, names
     """Exact interpolated quantiles from (value, count) pairs.
 
     Works on pre-aggregated distinct values, so the ordered pass sees at most one row per
-    distinct value of a key, never one per pixel.
+    distinct value of a key, never one per pixel. Null values count nowhere.
     """
+    counts = counts.filter(F.col(value).isNotNull())
     up_to = Window.partitionBy(*keys).orderBy(value)
     whole = Window.partitionBy(*keys)
     c = counts.withColumns({"_cum": F.sum(n).over(up_to), "_all": F.sum(n).over(whole)})
@@ -98,7 +114,7 @@ def weighted_quantiles(counts: DataFrame, keys, value: str, n: str, probs, names
 def luma_quantiles(pixels: DataFrame) -> DataFrame:
     """Luma percentiles (0..255), robust contrast, toe and shoulder per photo."""
     level = luma_level(F.col("r"), F.col("g"), F.col("b")).alias("level")
-    counts = pixels.select("image_id", level).groupBy("image_id", "level").agg(F.count("*").alias("n"))
+    counts = whole_pixels(pixels).select("image_id", level).groupBy("image_id", "level").agg(F.count("*").alias("n"))
     names = [f"p{round(p * 100):02d}" for p in QUANTILES]
     q = weighted_quantiles(counts, ["image_id"], "level", "n", QUANTILES, names)
     q = q.select("image_id", *[(F.col(n) / 10000.0).alias(n) for n in names])
@@ -132,7 +148,7 @@ def hue_band_stats(pixels: DataFrame) -> DataFrame:
     )
     k = F.floor(F.col("hue") / BAND_REACH).cast("int") % len(HUE_BANDS)
     near = F.array(F.get(bands, k), F.get(bands, (k + 1) % len(HUE_BANDS)))
-    px = perceptual(pixels).select("image_id", "lab_l", "chroma", "hue", F.explode(near).alias("b"))
+    px = perceptual(whole_pixels(pixels)).select("image_id", "lab_l", "chroma", "hue", F.explode(near).alias("b"))
     px = px.withColumn("w", band_weight(F.col("hue"), F.col("b.centre")) * F.col("chroma"))
     px = px.filter("w > 0")
     rad = F.col("hue") * (math.pi / 180.0)
@@ -149,7 +165,7 @@ def hue_band_stats(pixels: DataFrame) -> DataFrame:
 
 def zone_centroids(pixels: DataFrame) -> DataFrame:
     """Weighted OKLab centroids of shadows, midtones and highlights."""
-    px = perceptual(pixels)
+    px = perceptual(whole_pixels(pixels))
     l = clamp01(F.col("lab_l"))
     weights = F.array(
         *[
@@ -175,7 +191,7 @@ def neutral_center(pixels: DataFrame, max_chroma=0.04, lightness=(0.2, 0.9)) ->
 
     a and b are taken in steps of 1/10000, which bounds the distinct values per photo.
     """
-    px = perceptual(pixels)
+    px = perceptual(whole_pixels(pixels))
     near = (F.col("chroma") < max_chroma) & F.col("lab_l").between(*lightness)
     step = lambda c: F.floor(F.col(c) * 10000.0 + 0.5).cast("long")
     values = px.select(
@@ -202,7 +218,7 @@ def density_relation(pixels: DataFrame, steps: int = 8) -> DataFrame:
     """Mean chroma per lightness step."""
     step = F.least(F.lit(steps - 1), F.floor(clamp01(F.col("lab_l")) * steps)).cast("int")
     return (
-        perceptual(pixels)
+        perceptual(whole_pixels(pixels))
         .groupBy("image_id", step.alias("step"))
         .agg(F.count("*").alias("n"), F.avg("chroma").alias("mean_chroma"))
     )
@@ -210,7 +226,7 @@ def density_relation(pixels: DataFrame, steps: int = 8) -> DataFrame:
 
 def density_slope(pixels: DataFrame) -> DataFrame:
     """Slope of chroma against lightness."""
-    return perceptual(pixels).groupBy("image_id").agg(
+    return perceptual(whole_pixels(pixels)).groupBy("image_id").agg(
         F.regr_slope("chroma", "lab_l").alias("density_slope")
     )
 
@@ -218,10 +234,15 @@ def density_slope(pixels: DataFrame) -> DataFrame:
 def class_stats(pixels: DataFrame, masks: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Mean OKLab per photo and mask class, for confident masks only.
 
-    ``masks``: image_id, class, x, y, w, confidence.
+    ``masks``: image_id, class, x, y, w, confidence. A class counts if its least confidence in the photo
+    reaches ``min_confidence``; a missing one does not. Which classes do is decided by a small table
+    before the join with the pixels.
     """
-    sure = masks.filter(F.col("confidence") >= min_confidence)
-    j = perceptual(pixels).join(sure, ["image_id", "x", "y"])
+    least = masks.groupBy("image_id", "class").agg(
+        F.min(F.coalesce("confidence", F.lit(float("-inf")))).alias("_least")
+    )
+    sure = masks.join(least.filter(F.col("_least") >= min_confidence), ["image_id", "class"], "left_semi")
+    j = perceptual(whole_pixels(pixels)).join(sure, ["image_id", "x", "y"])
     w = F.col("w")
     mean = lambda c: F.try_divide(F.sum(w * F.col(c)), F.sum(w))
     return j.groupBy("image_id", "class").agg(
@@ -266,7 +287,7 @@ def look_features(pixels: DataFrame) -> DataFrame:
     aggregate by (photo, kind, value), whose map-side sums are bounded by the distinct values of a
     photo. Sums, medians and quantiles are then formed from those.
     """
-    px = perceptual(pixels).withColumn("level", luma_level(F.col("r"), F.col("g"), F.col("b")))
+    px = perceptual(whole_pixels(pixels)).withColumn("level", luma_level(F.col("r"), F.col("g"), F.col("b")))
     l, chroma, rad = clamp01(F.col("lab_l")), F.col("chroma"), F.col("hue") * (math.pi / 180.0)
     near = (chroma < 0.04) & F.col("lab_l").between(0.2, 0.9)
     sums = {"n": F.lit(1.0), "near": F.col("near").cast("double"), "c": chroma, "l": F.col("lab_l")}
@@ -342,7 +363,7 @@ def color_mixer(pixels: DataFrame, shifts: dict[str, tuple[float, float, float]]
 
     Adjacent tents sum to one, so the bands blend without seams. ``shifts`` is one setting for all
     photos, or a table image_id, band, hue, chroma, lightness; photos and bands without a row there
-    have no shift.
+    have no shift. A pixel with a missing byte has no colour to shift: all three come out missing.
     """
     from ..functions.color import linear_to_srgb, with_rgb_from_oklab
     from ..functions.numeric import half_up
@@ -368,8 +389,10 @@ def color_mixer(pixels: DataFrame, shifts: dict[str, tuple[float, float, float]]
     )
     px = px.withColumns({"lab_a": F.col("_c") * F.cos("_h"), "lab_b": F.col("_c") * F.sin("_h")})
     px = with_rgb_from_oklab(px)
+    # clamping would make a value up where a byte is missing
+    whole = F.expr("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")
     return px.withColumns(
-        {c: half_up(linear_to_srgb(F.col(f"l{c}")) * 255.0) for c in "rgb"}
+        {c: F.when(whole, half_up(linear_to_srgb(F.col(f"l{c}")) * 255.0)) for c in "rgb"}
     ).select(*pixels.columns)
 
 

@@ -43,7 +43,8 @@ def blend_tiles(tiles: DataFrame, tile_size: int, value: str = "v") -> DataFrame
     """Weighted mean of overlapping tile results.
 
     Rows carry ``image_id, x, y, tile_x0, tile_y0`` (origin of the tile) and a value; the
-    weight is a tent that falls towards the tile edges.
+    weight is a tent that falls towards the tile edges. A missing value takes no weight; where all
+    are missing the result is null.
     """
     def tent(pos, origin):
         d = F.col(pos) - F.col(origin)
@@ -53,7 +54,7 @@ def blend_tiles(tiles: DataFrame, tile_size: int, value: str = "v") -> DataFrame
     return (
         tiles.withColumn("_w", w)
         .groupBy("image_id", "x", "y")
-        .agg((F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value))
+        .agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum(F.when(F.col(value).isNotNull(), F.col("_w")))).alias(value))
     )
 
 

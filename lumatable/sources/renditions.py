@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .. import schema as S
+from ..operators.capture import stage_hashes
+from ..operators.grade import complete_recipes, grade
+from ..plans.session import cut_lineage
+
+PIXEL_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.PIXELS.fields)
 
 
 def rendition_name(name: Column, suffix: str = "-graded.jpg") -> Column:
@@ -29,3 +36,107 @@ def write_renditions(pixels: DataFrame, path: str, buckets: int = 64, photos: Da
         .partitionBy("image_bucket")
         .parquet(path)
     )
+
+
+# --- keeping a stored table of renditions up to date ---------------------------
+
+
+def render_hashes(images: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``image_id, source`` and a hash per render stage, for every image.
+
+    A photo without a recipe has the hashes of the neutral one. ``source`` covers the frame size and, where
+    the image table has it, ``content_hash``: another file under the same id is rendered anew.
+    """
+    held = [c for c in ("width", "height", "content_hash") if c in images.columns]
+    source = images.select("image_id", F.xxhash64(*held).alias("source"))
+    return source.join(stage_hashes(complete_recipes(images, recipes)), "image_id")
+
+
+def stale_renditions(now: DataFrame, stored: DataFrame) -> DataFrame:
+    """``image_id, reason``: what a stored table lacks, holds in an old form or holds too much.
+
+    Reasons: ``new``, ``removed``, or the first stage whose hash differs (``source`` before all others).
+    Both inputs are tables of :func:`render_hashes`.
+    """
+    stages = [c for c in now.columns if c not in ("image_id", "image_bucket")]
+    side = lambda df, p: df.select("image_id", F.lit(True).alias(f"{p}there"), *[F.col(c).alias(p + c) for c in stages])
+    both = side(now, "_n_").join(side(stored, "_s_"), "image_id", "full")
+    first = F.coalesce(*[F.when(~F.col(f"_n_{c}").eqNullSafe(F.col(f"_s_{c}")), F.lit(c)) for c in stages])
+    reason = F.when(F.col("_s_there").isNull(), "new").when(F.col("_n_there").isNull(), "removed").otherwise(first)
+    return both.select("image_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.hash("image_id"), F.lit(buckets))
+
+
+def _write_buckets(df: DataFrame, path: str, keys: list) -> None:
+    """Replace the buckets that ``df`` has rows of; Spark swaps them in when the job commits."""
+    (
+        df.repartition("image_bucket", *keys)
+        .sortWithinPartitions("image_bucket", "image_id", *[c for c in ("y", "x") if c in df.columns])
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("image_bucket")
+        .parquet(path)
+    )
+
+
+def _drop_buckets(spark: SparkSession, path: str, numbers: list[int]) -> None:
+    """Remove the folders of buckets that have no photo any more; an overwrite leaves them as they are."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for n in numbers:
+        folder = hadoop(f"{path}/image_bucket={n}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+
+
+def read_renditions(spark: SparkSession, path: str) -> DataFrame:
+    """The pixels of a table kept by :func:`refresh_renditions`."""
+    return _stored(spark, path, f"{PIXEL_SCHEMA}, image_bucket int").drop("image_bucket")
+
+
+def refresh_renditions(
+    path: str, pixels: DataFrame, images: DataFrame, recipes: DataFrame, render=grade, buckets: int = 64
+) -> DataFrame:
+    """Bring a stored table of renditions up to date; returns ``image_id, reason`` of what was done.
+
+    ``<path>`` holds the pixels and ``<path>-hashes`` the stage hashes of the recipes they were rendered with,
+    both in buckets of photos. Only photos whose hashes differ are rendered, and only their buckets are
+    written: the other photos of such a bucket are copied, all other files stay as they are. The first call
+    finds nothing stored and renders everything.
+
+    Pixels are replaced before hashes. A run that fails in between leaves old hashes, so the next run
+    does the same photos again. The number of buckets must stay the same for a table.
+    """
+    spark = pixels.sparkSession
+    now = render_hashes(images, recipes).withColumn("image_bucket", _bucket(buckets))
+    hashes = f"{path}-hashes"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema.fields)
+    stored = _stored(spark, hashes, schema)
+    now, stale = cut_lineage(now), cut_lineage(stale_renditions(now, stored))
+    # at most one number per bucket
+    touched = [r[0] for r in stale.select(_bucket(buckets).alias("b")).distinct().collect()]
+    if not touched:
+        return stale
+    here = now.filter(F.col("image_bucket").isin(touched))
+    filled = {r[0] for r in here.select("image_bucket").distinct().collect()}
+    again = stale.filter("reason != 'removed'").select("image_id")
+    fresh = render(
+        pixels.join(again, "image_id", "left_semi"), images.join(again, "image_id", "left_semi"),
+        recipes.join(again, "image_id", "left_semi"),
+    )
+    columns = S.PIXELS.fieldNames()
+    old = _stored(spark, path, f"{PIXEL_SCHEMA}, image_bucket int").filter(F.col("image_bucket").isin(touched))
+    kept = old.join(stale.select("image_id"), "image_id", "left_anti")
+    whole = fresh.select(*columns).unionByName(kept.select(*columns)).withColumn("image_bucket", _bucket(buckets))
+    _write_buckets(whole, path, ["image_id", F.floor(F.col("y") / 1024)])
+    _drop_buckets(spark, path, [b for b in touched if b not in filled])
+    _write_buckets(here, hashes, [])
+    _drop_buckets(spark, hashes, [b for b in touched if b not in filled])
+    return stale

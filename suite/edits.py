@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumatable import schema as S
 from lumatable.operators import editlog as E
+from lumatable.streaming import live as L
 
 from . import inputs as I
 
@@ -207,3 +208,16 @@ def throttle_latest(spark, sf):
 ))
 def bounded_history(spark, sf):
     return E.bounded_history(I.edit_log(spark, sf), 5).select("photo_id", "seq", "rank")
+
+
+@register("live_view", I.with_ctes(
+    ["edit_log"],
+    """, ev AS (SELECT * FROM edit_log WHERE photo_id IS NOT NULL AND ts IS NOT NULL AND (action IN ('undo', 'redo', 'reset') OR value IS NOT NULL))
+    , seen AS (SELECT *, lead(ts) OVER (PARTITION BY photo_id ORDER BY ts, seq) AS later,
+        row_number() OVER (PARTITION BY photo_id, epoch_us(ts) // 21600000000 ORDER BY ts DESC, seq DESC) AS back FROM ev)
+    , marked AS (SELECT *, back = 1 AS is_latest, later IS NULL OR epoch_us(later) - epoch_us(ts) >= 3600000000 AS is_settled FROM seen)
+    SELECT photo_id, seq, action, key, value, is_latest, is_settled FROM marked WHERE is_latest OR is_settled""",
+))
+def live_view(spark, sf):
+    """The last edit of every six hours, and every edit followed by an hour of silence."""
+    return L.live_view(I.edit_log(spark, sf), slot_ms=6 * 3_600_000, gap_ms=3_600_000).drop("ts")

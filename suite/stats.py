@@ -60,6 +60,40 @@ def rgb_histogram(spark, sf):
     return T.rgb_histogram(I.pixels(spark, sf))
 
 
+_GAP = "(image_id*7 + x*5 + y*3 + {0}) % 13 = 0"
+
+
+@register("statistics_with_gaps", I.with_ctes(
+    ["pixels"],
+    ", gaps AS (SELECT image_id, x, y, " + ", ".join(f"CASE WHEN {_GAP.format(k)} THEN NULL ELSE {c} END AS {c}" for k, c in enumerate("rgb")) + """ FROM pixels)
+    , counts AS (SELECT image_id, count(*) AS n_pixels, count(*) FILTER (WHERE r IS NULL OR g IS NULL OR b IS NULL) AS n_left_out FROM gaps GROUP BY image_id)
+    , whole AS (SELECT * FROM gaps WHERE r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL)""" + LAB.replace("FROM pixels", "FROM whole") + """
+    , zones AS (SELECT image_id, sum((1e0-l)*(1e0-l)) AS shadow, sum(l*l) AS high, avg(ch) AS chroma, regr_slope(ch, ll) AS slope
+      FROM (SELECT *, least(1e0, greatest(0e0, ll)) AS l FROM lch) GROUP BY image_id)
+    , luma AS (SELECT image_id, quantile_cont(CAST(2126*r+7152*g+722*b AS DOUBLE), 0.5)/10000e0 AS p50,
+        count(*) FILTER (WHERE 0.2126e0*r+0.7152e0*g+0.0722e0*b >= 224e0) AS top_bin FROM whole GROUP BY image_id)
+    SELECT image_id, n_pixels, n_left_out, round(p50, 6) AS p50, top_bin, round(shadow, 6) AS shadow_mass, round(high, 6) AS high_mass,
+      round(chroma, 6) AS mean_chroma, round(slope, 6) AS density_slope
+    FROM counts JOIN zones USING (image_id) JOIN luma USING (image_id)""",
+))
+def statistics_with_gaps(spark, sf):
+    """Statistics of photos in which every 13th byte is missing: those of their whole pixels."""
+    px = I.pixels(spark, sf)
+    px = px.withColumns({c: F.expr(f"CASE WHEN {_GAP.format(k)} THEN NULL ELSE {c} END") for k, c in enumerate("rgb")})
+    zones = T.zone_centroids(px).groupBy("image_id").agg(
+        *[F.max(F.when(F.col("zone") == z, F.col("mass"))).alias(f"{z}_mass") for z in ("shadow", "high")]
+    )
+    bins = T.luma_histogram(px, I.photos(spark, sf), 8).filter("bin = 7").select("image_id", F.col("n").cast("long").alias("top_bin"))
+    chroma = T.density_relation(px).groupBy("image_id").agg((F.sum(F.col("n") * F.col("mean_chroma")) / F.sum("n")).alias("mean_chroma"))
+    out = T.gap_counts(px)
+    for part in (T.luma_quantiles(px).select("image_id", "p50"), bins, zones, chroma, T.density_slope(px)):
+        out = out.join(part, "image_id")
+    return out.select(
+        "image_id", "n_pixels", "n_left_out", "top_bin",
+        *r6(**{c: c for c in ("p50", "shadow_mass", "high_mass", "mean_chroma", "density_slope")}),
+    )
+
+
 _Q = ", ".join(f"quantile_cont(v, {p}) AS p{round(p * 100):02d}" for p in T.QUANTILES)
 _QN = ", ".join(f"round(p{round(p * 100):02d}/10000e0, 6) AS p{round(p * 100):02d}" for p in T.QUANTILES)
 
