@@ -129,8 +129,11 @@ def judge_urls(pages: DataFrame, url_col: str = "url", rules=RULES, blocked=BLOC
     @F.pandas_udf("rule string, verdict string")
     def decide(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for urls in batches:
-            hit = auto.match([u.encode("utf-8", "replace") for u in urls])
-            own = hit[:, : len(ranked)]
+            data = [u.encode("utf-8", "replace") for u in urls]
+            hit = auto.match(data)
+            # a rule's path starts with a slash; without a path the query would be read as more of the host
+            bare = np.fromiter((b"/" not in u.partition(b"?")[0] for u in data), bool, len(data))
+            own = hit[:, : len(ranked)] & ~bare[:, None]
             best = np.where(own.any(axis=1), own.argmax(axis=1), -1) if len(ranked) else np.full(len(urls), -1)
             bad = hit[:, len(ranked) :].any(axis=1)
             yield pd.DataFrame({

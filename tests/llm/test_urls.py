@@ -9,6 +9,7 @@ ODD = [
     "http://notexample.net/en/", "https://example.com/de/", "https://example.com/DE/", "x://y://z.net/a", "http://host.org/fr/x", "http://host.org?/fr/",
     "http://host.org#/fr/", "http://net/", "http://é.ÉX.net/ü", "http://a.com/ads/x", "http://ads.a.com/", "http://a.com/x?sid=1", "http://a.com/x.exe",
     "http://a.com/x.exe?y", "http://" + "a" * 70_000 + ".net/" + "b" * 1000, "http://h/p.net/x/.net/", "http://a.b:80/net/", "http://\x00.net/",
+    "http://a.com?ref=www.b.net/x", "http://a.com?x=.org/fr/", "http://b.net?x/", "http://b.net#/", "http://?.net/",
 ]
 
 
