@@ -7,8 +7,8 @@ text is kept.
 
 The field is trained on a bounded sample of labelled documents (``SAMPLE`` per class, in the order
 of a hash of their id): lines of good documents count as content, lines of bad ones as boilerplate.
-Only line features reach the driver. With fewer than ``LEAST`` documents of either class the weights
-``PRIOR`` are used as they are.
+Only line features reach the driver. The weights are drawn to ``PRIOR`` with the weight of ``PULL``
+documents: without labels of both classes they are the prior, and the more labels, the less it counts.
 
 Defined results: null or wordless text has all counts 0, fails the base rules and is not kept;
 rows with equal ids are judged on their own; an empty table gives an empty result; whole texts are
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import WordIds
 
 SAMPLE = 400
-LEAST = 20
+#: Weight of the prior, in documents: each labelled one counts 1 against it, at every sample size.
+PULL = 1.6
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
@@ -124,18 +125,22 @@ def viterbi(scores: np.ndarray, owner: np.ndarray, stay: float) -> np.ndarray:
 def train(features: list[np.ndarray], good: list[bool], rounds: int = 150, rate: float = 0.2):
     """Weights and stay gain that maximise the likelihood of the labelled chains."""
     w, stay = np.array(PRIOR, float), float(PRIOR_STAY)
-    if min(sum(good), len(good) - sum(good)) < LEAST:
-        return w, stay
+    if not sum(map(len, features)):
+        return w, stay  # no line to learn from: the prior is the answer
     order = np.argsort([-len(f) for f in features], kind="stable")
     length = np.array([len(features[i]) for i in order])
     x = np.concatenate([features[i] for i in order])
     y = np.repeat(np.array([good[i] for i in order], float), length)
     first = np.cumsum(length) - length
     alive = [int((length > t).sum()) for t in range(length[0])]
-    each = np.repeat(1.0 / length, length)  # a text counts once, however many lines it has
+    # both classes count as much as the smaller one: a single class says nothing about the border
+    most = np.array([len(good) - sum(good), sum(good)])
+    weight = most.min() / np.maximum(most, 1)[np.array(good, int)[order]]
+    whole = weight.sum() + PULL
+    each = np.repeat(weight / np.maximum(length, 1), length)  # a text counts once, however many lines it has
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     steps = np.maximum(length - 1, 0).sum()
-    same = (length - 1) / np.maximum(length, 1)
+    same = weight * (length - 1) / np.maximum(length, 1)
     for k in range(1, rounds + 1):
         s = x @ w
         # forward and backward log sums over both labels
@@ -162,7 +167,7 @@ def train(features: list[np.ndarray], good: list[bool], rounds: int = 150, rate:
                 np.clip(f[prev, 1] + stay + s[nxt] + b[nxt, 1] - z, -50, 0)
             )
             gs = same.sum() - (keep * each[prev]).sum()
-        g = np.append(grad, gs) / len(length) - 0.002 * (np.append(w, stay) - np.append(PRIOR, PRIOR_STAY))
+        g = (np.append(grad, gs) - PULL * (np.append(w, stay) - np.append(PRIOR, PRIOR_STAY))) / whole
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
         w, stay = w + step[:-1], max(0.0, stay + step[-1])

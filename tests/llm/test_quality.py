@@ -105,6 +105,21 @@ def test_training_separates_and_needs_both_classes():
     assert tuple(quality.train(chains[:40], good[:40])[0]) == quality.PRIOR
 
 
+@pytest.mark.parametrize("rare", [True, False])
+def test_weights_leave_the_prior_by_degrees(rare):
+    """One rule at every sample size: 0, 1, 3, 11, 60 and 400 documents of the rarer class."""
+    rng = np.random.default_rng(2)
+    make = lambda good: np.column_stack([np.ones(3), *(rng.random(3) * (0.02 if good else 0.3) for _ in range(8))])
+    far = []
+    for n in (0, 1, 3, 11, 60, 400):
+        good = [not rare] * 400 + [rare] * n
+        w, stay = quality.train([make(g) for g in good], good)
+        far.append(np.abs(w - quality.PRIOR).sum() + abs(stay - quality.PRIOR_STAY))
+    assert far[0] == 0 < far[1] and far == sorted(far)
+    assert all(b - a < 0.75 * far[-1] for a, b in zip(far, far[1:]))
+    assert tuple(quality.train([], [])[0]) == quality.PRIOR
+
+
 def test_repeated_windows_across_texts_do_not_count():
     ids = np.array([*range(12), *range(12), 1, 2, 3, 4, 5, 6, 7, 8, 1, 2, 3, 4, 5, 6, 7, 8])
     assert quality.repeated_words(ids, np.array([12, 12, 16]), 8).tolist() == [0, 0, 16]
