@@ -167,16 +167,17 @@ def op10_vector_search(spark, sf_dir):
 
 OP10_SQL = f"""
 WITH ints AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor({vector_search.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id,
+    list_transform(embedding, lambda x: floor({vector_search.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
-  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+  FROM ints q JOIN ints c ON q.n <> c.n AND len(q.v) = len(c.v)
   WHERE q.vec_id % {vector_search.EVERY} = 0
 )
-SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
-QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {vector_search.K}
+SELECT query_id, (row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored
+QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) <= {vector_search.K}
 """
 
 

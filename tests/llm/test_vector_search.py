@@ -9,16 +9,16 @@ SCHEMA = "vec_id long, embedding array<float>, score int, rank string"
 
 
 def plain(data, k=20, every=20):
-    best = {}
+    rows = []
     for i, v in data:
         if i is None or not v or any(x is None or not math.isfinite(x) for x in v):
             continue
-        q = [math.floor(64 * float(np.float32(x))) for x in v]
-        best[i] = min(best.get(i, q), q)
+        rows.append((i, [max(-(2**63), min(2**63 - 1, math.floor(64 * float(np.float32(x))))) for x in v]))
     out = []
-    for i, q in best.items():
+    for a, (i, q) in enumerate(rows):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in best.items() if j != i and len(v) == len(q))
+            dots = [(sum(x * y for x, y in zip(q, v)), j) for b, (j, v) in enumerate(rows) if b != a and len(v) == len(q)]
+            scores = sorted((-max(-(2**63) + 2, min(2**63 - 1, s)), j) for s, j in dots)
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -54,6 +54,17 @@ def test_awkward(spark):
     check(spark, [])
 
 
+def test_rows_that_share_an_id(spark):
+    data = [(20, [1.0, 1.0]), (1, [5.0, 5.0]), (1, [0.5, 0.5]), (1, [5.0, 5.0]), (20, [2.0, 0.0]), (40, [0.25, 9.0])]
+    check(spark, data)
+    check(spark, data, k=2, chunk=1, block=2)
+
+
+def test_large_components(spark):
+    data = [(0, [1e9, 1.0]), (1, [-1e9, 3.0]), (2, [1e9, 2.0]), (20, [0.5, 0.5]), (40, [3e38, -3e38]), (60, [1e-3, 1e12])]
+    check(spark, data + [(100 + i, [float(i), 1.0]) for i in range(40)])
+
+
 def test_offset_dimensions(spark):
     data = [(i, [1e5 + i % 7, (i % 5) * 1e-3, -3e4]) for i in range(200)]
     check(spark, data, k=4, block=32)
@@ -67,7 +78,7 @@ def test_bounds_hold_and_save_reads():
     middle = q @ cells.middle(cells.of(v)).T
     assert (np.abs(middle - q @ v.T) <= cells.slack(q)[:, None]).all()
     s, i = np.full((len(q), 20), V.NONE), np.full((len(q), 20), V.LAST)
-    reads = V.search_block(ids[::100], q, ids, v, cells, s, i, 20)
+    reads = V.search_block(ids[::100], q, ids, ids, v, cells, s, i, 20)
     assert reads < 0.1 * len(q) * len(v)
 
 
