@@ -35,7 +35,7 @@ from .quality import batches
 MARK = "▁"
 KEEP = 300_000
 #: Characters of texts taken together, and of new units that are indexed at once.
-STEP, INDEX = 3_000_000, 400_000
+STEP, INDEX = 1_000_000, 400_000
 #: Units longer than this are merged with a heap.
 LONG = 200
 SAFE = re.compile(f"(?<=[^{MARK}])(?={MARK})")
@@ -271,7 +271,7 @@ def _encode_batches(path, text_at, round_trip):
         encoder = Encoder(words)
         for part in parts:
             done = 0
-            for texts in batches(part.column(text_at).to_pylist(), STEP):
+            for texts in batches((t.as_py() for t in part.column(text_at)), STEP):
                 ids, count = encoder.encode(texts)
                 own = part.slice(done, len(texts))
                 done += len(texts)

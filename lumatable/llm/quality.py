@@ -17,6 +17,8 @@ read whatever their length; other columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -272,7 +274,7 @@ def quality_verdict(model, min_content: float = MIN_CONTENT):
     return verdict
 
 
-def batches(values: list, limit: int = 2_000_000):
+def batches(values: Iterable, limit: int = 2_000_000):
     """Cut a list of texts where ``limit`` characters are reached."""
     part, size = [], 0
     for v in values:
