@@ -18,8 +18,8 @@ one row per shard (its counts) passes the driver.
 Texts are encoded by the tokenizers library. Byte-level tokenizers split before a space between two
 visible characters and around a line feed between two visible characters anyway, so texts are cut
 there and each different piece is encoded once per Python worker (as long as it is among the ``KEEP``
-pieces remembered), words of letters by the library's model directly; texts with other white space are cut at those spaces only. Texts for
-other tokenizers are encoded as they are.
+pieces remembered), new ones many at once; texts with other white space are cut at those spaces only.
+Texts for other tokenizers are encoded as they are.
 
 Defined results: null text is the empty text and gives the end id alone; null ids come first; rows
 with equal ids are ordered by text; an empty table gives no file and an empty result; other columns
@@ -48,16 +48,8 @@ BATCH = 256
 END_ID = 2
 KEEP = 400_000
 WHITE = re.compile(r"\s")
-
-
-def _byte_chars() -> dict[int, str]:
-    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = (b for b in range(256) if b not in plain)
-    return {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-BYTE_CHARS = _byte_chars()
+#: New pieces that are encoded as one text.
+TOGETHER = 20_000
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 STEP = 4_000_000
 
@@ -68,8 +60,25 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+class _Numbers(dict):
+    """Numbers of pieces, in the order in which they are first looked up."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.new: list = []
+
+    def __missing__(self, piece):
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
-    """Ids of texts; pieces between safe cuts are encoded once."""
+    """Ids of texts; pieces between safe cuts are encoded once.
+
+    New pieces go to the library in one text per ``TOGETHER`` of them, since it splits between them
+    anyway; the bytes that each id stands for tell where a piece's ids end.
+    """
 
     def __init__(self, path: str):
         import os
@@ -79,85 +88,89 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
-        self.model = self.tok.model
-        self.feed = self.tok.encode("\n", add_special_tokens=False).ids
         steps = json.loads(self.tok.to_str())
         kind = steps["pre_tokenizer"] or {}
         self.byte_level = (
             steps["normalizer"] is None and kind.get("type") == "ByteLevel"
             and not kind["add_prefix_space"] and kind.get("use_regex", True)
         )
+        vocabulary = self.tok.get_vocab()
+        self.width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():  # a character a byte
+            self.width[i] = len(token)
+        for added in steps["added_tokens"]:
+            self.width[added["id"]] = len(added["content"].encode())
         self.clear()
 
     def clear(self):
-        self.known: dict = {}
+        self.known = _Numbers()
         self.flat = np.zeros(0, np.int32)
         self.start, self.count, self.hits = (np.zeros(0, np.int64) for _ in range(3))
 
     def forget(self):
         """Keep the pieces met more than once since the last time, at most half of ``KEEP``."""
-        units = [u for u, i in self.known.items() if i >= 0]
-        at = np.array([self.known[u] for u in units], np.int64)
-        best = np.argsort(-self.hits[at], kind="stable")[: KEEP // 2]
-        best = best[self.hits[at[best]] > 1]
-        at = at[best]
-        self.known = {units[k]: n for n, k in enumerate(best.tolist())}
+        units = list(self.known)  # in the order of their numbers
+        best = np.argsort(-self.hits, kind="stable")[: KEEP // 2]
+        at = best[(self.hits[best] > 1) & (self.count[best] >= 0)]
+        self.known = _Numbers(zip(map(units.__getitem__, at.tolist()), range(len(at))))
         self.flat, self.count = self.flat[ranges(self.start[at], self.count[at])], self.count[at]
         self.start = np.cumsum(self.count) - self.count
         self.hits = np.zeros(len(at), np.int64)
 
-    def _learn(self, units):
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
-        names, ids, other = [], [], []
-        cores: dict = {}
-        for u in new:
-            line = u[:1] == "\n"
-            if isinstance(u, tuple):
-                other.append((u[0], u))
-                continue
-            word = u[1:] if line else u
-            if not word or WHITE.search(word):
-                self.known[u] = -1  # its text has other white space
-                continue
-            # letters, and letters with one mark after them, are one and two pieces of the model
-            core, mark = (word, "") if word.isalpha() else (word[:-1], word[-1])
-            if not core.isalpha() or mark.isalnum() or not mark.isprintable():
-                other.append((u if line else " " + u, u))
-                continue
-            core = core if line else " " + core
-            if core not in cores:
-                cores[core] = self._model(core)
-            names.append(u)
-            ids.append((self.feed if line else []) + cores[core] + (self._model(mark) if mark else []))
-        if other:
-            names += [u for _, u in other]
-            ids += [e.ids for e in self.tok.encode_batch_fast([t for t, _ in other], add_special_tokens=False)]
+    def _one_by_one(self, texts):
+        ids = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        at = len(self.flat) + np.cumsum(count) - count
-        self.known.update(zip(names, range(len(self.start), len(self.start) + len(names))))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(count.sum()))])
-        self.start, self.count = np.concatenate([self.start, at]), np.concatenate([self.count, count])
-        self.hits = np.concatenate([self.hits, np.zeros(len(names), np.int64)])
-
-    def _model(self, piece: str) -> list[int]:
-        """Ids of one piece of the pre-tokenizer."""
-        if piece.isascii():  # of printable ones only the space has a character of its own
-            piece = piece.replace(" ", BYTE_CHARS[32])
-        else:
-            piece = piece.encode().decode("latin-1").translate(BYTE_CHARS)
-        return [t.id for t in self.model.tokenize(piece)]
-
-    def _look_up(self, own):
+        return np.fromiter((i for x in ids for i in x), np.int32, int(count.sum())), count
+
+    def _together(self, texts):
+        """Ids and counts of pieces that begin with their only white space."""
+        joined = "".join(texts)
+        ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        size = map(len, texts) if joined.isascii() else (len(t.encode()) for t in texts)
+        edge = np.cumsum(np.fromiter(size, np.int64, len(texts)))
+        reached = np.cumsum(self.width[ids])
+        last = np.searchsorted(reached, edge)
+        if not len(ids) or reached[-1] != edge[-1] or (reached[last] != edge).any():
+            return self._one_by_one(texts)
+        return ids, np.diff(last, prepend=-1)
+
+    def _words(self, units):
+        """Ids and counts of units without a space; the count is -1 for those with other white space."""
+        words = [u[1:] if u[:1] == "\n" else u for u in units]
+        texts = [u if u[:1] == "\n" else " " + u for u in units]
+        if "".join(texts).split() == words:
+            return self._together(texts)
+        plain = np.array([bool(w) and not WHITE.search(w) for w in words])
+        count = np.full(len(units), -1, np.int64)
+        ids = np.zeros(0, np.int32)
+        if plain.any():
+            ids, count[plain] = self._together([texts[k] for k in np.flatnonzero(plain).tolist()])
+        return ids, count
+
+    def _learn(self, whole):
+        new, self.known.new = self.known.new, []
+        flat, counts = [self.flat], [self.count]
+        for at in range(0, len(new), TOGETHER):
+            some = new[at : at + TOGETHER]
+            ids, count = self._one_by_one([u for u, in some]) if whole else self._words(some)
+            flat.append(ids)
+            counts.append(count)
+        self.flat, self.count = np.concatenate(flat), np.concatenate(counts)
+        held = np.maximum(self.count, 0)
+        self.start = np.cumsum(held) - held
+        self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+
+    def _look_up(self, own, whole=False):
         units = [u for us in own for u in us]
-        self._learn(units)
-        return np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        if self.known.new:
+            self._learn(whole)
+        return which
 
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         if not self.byte_level:
-            ids = [e.ids for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-            total = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.int32, int(total.sum())), total
+            return self._one_by_one([t or "" for t in texts])
         if len(self.known) > KEEP:
             self.forget()
         # the first piece is looked up as the start of a line; the line feed's id is dropped below
@@ -165,12 +178,13 @@ class Encoder:
         skip = np.ones(len(texts), np.int64)
         which = self._look_up(own)
         size = np.fromiter(map(len, own), np.int64, len(own))
-        odd = np.unique(np.repeat(np.arange(len(own)), size)[which < 0])
+        odd = np.unique(np.repeat(np.arange(len(own)), size)[self.count[which] < 0])
         if len(odd):
             for i in odd.tolist():
                 own[i] = [(u,) for u in SAFE.split(texts[i] or "")]
             skip[odd] = 0
-            which = self._look_up(own)
+            # all other pieces have their numbers by now, so that only whole ones are new
+            which = self._look_up(own, whole=True)
             size = np.fromiter(map(len, own), np.int64, len(own))
         first = np.cumsum(size) - size
         self.hits += np.bincount(which, minlength=len(self.hits))
