@@ -211,6 +211,28 @@ def mask_quality_sparse(spark, sf):
     return out.select("image_id", *r6(iou="iou", boundary_f="boundary_f"))
 
 
+@register("mask_boundary_tolerance", I.with_ctes(
+    ["frames"],
+    """, m AS (SELECT image_id, x, y, v >= 140 AS p, (v + x*9 + y*5) % 256 >= 140 AS t FROM frames)
+    , nb AS (SELECT a.image_id, a.x, a.y, a.p AND bool_or(NOT b.p) AS ep, a.t AND bool_or(NOT b.t) AS et
+        FROM m a JOIN m b ON a.image_id = b.image_id AND abs(a.x-b.x)+abs(a.y-b.y) = 1 GROUP BY a.image_id, a.x, a.y, a.p, a.t)
+    , h AS (SELECT a.image_id, a.x, a.y, a.ep, a.et, coalesce(bool_or(b.et), false) AS near_t, coalesce(bool_or(b.ep), false) AS near_p
+        FROM nb a JOIN nb b ON a.image_id = b.image_id AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 2 GROUP BY ALL)
+    , s AS (SELECT image_id, count(*) FILTER (ep) AS np, count(*) FILTER (et) AS nt,
+        count(*) FILTER (ep AND near_t) AS hp, count(*) FILTER (et AND near_p) AS ht FROM h GROUP BY image_id)
+    , f AS (SELECT image_id, np, nt, CASE WHEN np > 0 THEN CAST(hp AS DOUBLE)/np END AS pr, CASE WHEN nt > 0 THEN CAST(ht AS DOUBLE)/nt END AS re FROM s)
+    SELECT image_id, round(pr, 6) AS precision, round(re, 6) AS recall, CASE WHEN np+nt > 0 THEN
+      CASE WHEN coalesce(pr, 0)+coalesce(re, 0) > 0 THEN round(2e0*coalesce(pr, 0)*coalesce(re, 0)/(coalesce(pr, 0)+coalesce(re, 0)), 6) ELSE 0e0 END
+      END AS boundary_f FROM f""",
+))
+def mask_boundary_tolerance(spark, sf):
+    """Boundaries of two masks of a frame that may lie one step, also a diagonal one, apart."""
+    px = I.frames(spark, sf)
+    mask = lambda v: px.selectExpr("image_id", "x", "y", f"IF({v} >= 140, 1D, 0D) AS w")
+    out = Q.boundary_score(mask("v"), mask("(v + x * 9 + y * 5) % 256"), tolerance=1.5)
+    return out.select("image_id", *r6(precision="precision", recall="recall", boundary_f="boundary_f"))
+
+
 _RADIAL = """, rm AS (SELECT p.image_id, p.x, p.y, q.maskFeather AS feather, p.image_id % 2 = 1 AS inv, q.mask AS m,
     x/greatest(1,w0-1) - q.mask.x AS dx, y/greatest(1,h0-1) - q.mask.y AS dy, -q.mask.rotation*pi()/180e0 AS ang FROM fr p JOIN recipes q ON p.image_id = q.image_id)
   , rd AS (SELECT *, (dx*cos(ang)-dy*sin(ang))/greatest(0.02e0, m.width/2e0) AS u, (dx*sin(ang)+dy*cos(ang))/greatest(0.02e0, m.height/2e0) AS v FROM rm)

@@ -146,6 +146,22 @@ def hue_band_stats(spark, sf):
     )
 
 
+@register("hue_band_medians", I.with_ctes(
+    ["pixels"],
+    LAB + f""", o AS (SELECT image_id, ch, b.band, b.c, fmod(hue-b.c+540e0, 360e0)-180e0 AS d
+      FROM lch, (VALUES {_BANDS}) b(band, c))
+    , w AS (SELECT image_id, band, c, CAST(floor(d*10e0+0.5e0) AS BIGINT) AS step, ch*greatest(0e0, 1e0-abs(d)/45e0) AS w FROM o)
+    , n AS (SELECT image_id, band, c, step, sum(CAST(floor(w*1e6+0.5e0) AS BIGINT)) AS n FROM w WHERE w > 0 GROUP BY ALL)
+    , q AS (SELECT *, sum(n) OVER (PARTITION BY image_id, band ORDER BY step) AS cum, sum(n) OVER (PARTITION BY image_id, band) AS al FROM n)
+    SELECT image_id, band, round(fmod(min(step) FILTER (WHERE 2*cum >= al)/10e0+c+360e0, 360e0), 4) AS median_hue,
+      round(CAST(max(al) AS DOUBLE)/1e6, 4) AS mass FROM q WHERE al > 0 GROUP BY image_id, band, c""",
+))
+def hue_band_medians(spark, sf):
+    return T.hue_band_medians(I.pixels(spark, sf)).select(
+        "image_id", "band", F.round("median_hue", 4).alias("median_hue"), F.round("mass", 4).alias("mass")
+    )
+
+
 @register("zone_centroids", I.with_ctes(
     ["pixels"],
     LAB + """, c AS (SELECT *, least(1e0, greatest(0e0, ll)) AS l1 FROM lch)
