@@ -29,7 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ranges
+from .common import give_back, ranges
 from .quality import batches
 
 MARK = "▁"
@@ -284,6 +284,8 @@ def _encode_batches(path, text_at, round_trip):
                     columns.append(pa.array(same, pa.bool_()))
                 names = [*own.schema.names, "n_tokens", "ids", *["round_trip"] * round_trip]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        del words, encoder
+        give_back()
 
     return run
 
