@@ -13,7 +13,7 @@ from .. import schema as S
 from ..functions.color import byte_to_linear_sql
 from ..functions.recipe import INLINE_KNOTS, default_curve, default_mask, render_constants
 from .geometry import frame_geometry, preview, preview_size, turn_any, turn_quarters
-from ..plans.joins import has_few_rows, join_per_image
+from ..plans.joins import has_few_rows, join_large, join_per_image
 from .tiles import TILE, tile_with_halo
 
 CHANNELS = ("r", "g", "b")
@@ -54,7 +54,7 @@ def complete_recipes(images: DataFrame, recipes: DataFrame) -> DataFrame:
         (F.col("mask") if "mask" in present else default_mask()).alias("mask"),
         F.lit(True).alias("_has"),
     )
-    joined = images.select("image_id", "width", "height").join(wanted, "image_id", "left")
+    joined = join_large(images.select("image_id", "width", "height"), wanted, "image_id", "left")
     return joined.select(
         "image_id",
         "width",
@@ -306,7 +306,7 @@ def grid_gaps(pixels: DataFrame, images: DataFrame) -> DataFrame:
     counts = pixels.groupBy("image_id").agg(F.count_if(whole).alias("n_pixels"))
     expected = (F.col("width").cast("long") * F.col("height")).alias("n_expected")
     rows = images.select("image_id", expected, F.lit(True).alias("_row"))
-    joined = rows.join(counts, "image_id", "full")
+    joined = join_large(rows, counts, "image_id", "full")
     status = F.expr(
         "CASE WHEN _row IS NULL THEN 'no-image-row' WHEN n_pixels IS NULL AND coalesce(n_expected, 1) > 0 THEN 'no-pixels' "
         "WHEN coalesce(n_pixels, 0) < n_expected THEN 'incomplete' WHEN n_pixels > n_expected THEN 'surplus' END"
@@ -385,7 +385,7 @@ def compare_renditions(before: DataFrame, after: DataFrame) -> DataFrame:
     side = lambda df, p: df.select(
         "image_id", "x", "y", *[F.col(c).alias(f"{p}{c}") for c in CHANNELS]
     )
-    j = side(before, "b_").join(side(after, "a_"), ["image_id", "x", "y"], "full")
+    j = join_large(side(before, "b_"), side(after, "a_"), ["image_id", "x", "y"], "full")
     both = F.col("b_r").isNotNull() & F.col("a_r").isNotNull()
     diffs = [F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in CHANNELS]
     diff = diffs[0] + diffs[1] + diffs[2]

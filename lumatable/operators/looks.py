@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions.numeric import total
 from ..functions.recipe import sort_curve
+from ..plans.joins import join_large
 from .stats import HUE_BANDS
 
 # How a parameter is interpolated; everything not listed is additive.
@@ -245,7 +246,7 @@ def match_reference(pairs: DataFrame, features: DataFrame, mode: str = "full") -
         F.col("image_id").alias("target_id" if p == "t" else "ref_id"),
         *[F.col(c).alias(f"{p}_{c}") for c in cols],
     )
-    j = pairs.join(side("t"), "target_id").join(side("r"), "ref_id")
+    j = join_large(join_large(pairs, side("t"), "target_id"), side("r"), "ref_id")
     linear = lambda c: F.pow(F.greatest(F.col(c), F.lit(1.0)) / 255.0, F.lit(2.2))
     mid = lambda p: (linear(f"{p}_p25") + linear(f"{p}_p50") + linear(f"{p}_p75")) / 3.0
     exposure = F.least(F.lit(5.0), F.greatest(F.lit(-5.0), F.log2(mid("r") / mid("t"))))
@@ -329,7 +330,7 @@ def refine_exposure(matches: DataFrame, features: DataFrame, steps: int = 5, wid
         F.col("image_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in ("p25", "p50", "p75")]
     )
     grid = F.array(*[F.lit(i * width / steps) for i in range(-steps, steps + 1)])
-    j = matches.join(side("t", "target_id"), "target_id").join(side("r", "ref_id"), "ref_id")
+    j = join_large(join_large(matches, side("t", "target_id"), "target_id"), side("r", "ref_id"), "ref_id")
     j = j.withColumn("_c", F.explode(grid)).withColumn(
         "_e", F.least(F.lit(5.0), F.greatest(F.lit(-5.0), F.col("exposure") + F.col("_c")))
     )
@@ -342,7 +343,7 @@ def refine_exposure(matches: DataFrame, features: DataFrame, steps: int = 5, wid
         j.groupBy("target_id", "ref_id")
         .agg(F.min_by("_e", F.struct(loss, "_e")).alias("refined_exposure"), F.min(loss).alias("loss"))
     )
-    return matches.join(best, ["target_id", "ref_id"])
+    return join_large(matches, best, ["target_id", "ref_id"])
 
 
 def match_strength(original: DataFrame, matched: DataFrame, strength: float) -> DataFrame:
@@ -362,7 +363,7 @@ def match_strength(original: DataFrame, matched: DataFrame, strength: float) ->
     m = matched.select(
         "image_id", *[F.col(k).alias(f"_m_{k}") for k in keys], *([F.col("curve").alias("_m_curve")] if curved else [])
     )
-    j = original.join(m, "image_id", "left")
+    j = join_large(original, m, "image_id", "left")
 
     def moved(k):
         a, b = F.col(k), F.col(f"_m_{k}")
@@ -411,7 +412,7 @@ def closed_loop_report(
     errors = F.array(*[
         F.struct(F.lit(k).alias("param"), F.abs(F.col(k) - F.col(f"_true_{k}")).alias("error")) for k in known
     ])
-    rows = matched.join(truth, "target_id").select(F.explode(errors).alias("e")).select("e.param", "e.error")
+    rows = join_large(matched, truth, "target_id").select(F.explode(errors).alias("e")).select("e.param", "e.error")
     return rows.groupBy("param").agg(
         F.count("*").alias("pairs"),
         F.avg("error").alias("mean_error"),

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import clamp01, half_up, length2, smoothstep
+from ..plans.joins import join_large
 from ..plans.session import cut_lineage, spread
 from .geometry import full_grid
 
@@ -199,7 +200,7 @@ def local_composite(original: DataFrame, adjusted: DataFrame, mask: DataFrame) -
     """
     key = ["image_id", "x", "y"]
     adj = adjusted.select(*key, *[F.col(c).alias(f"_{c}") for c in "rgb"], F.lit(True).alias("_there"))
-    j = original.join(adj, key, "left").join(mask.select(*key, F.col("w").alias("_w")), key, "left")
+    j = join_large(join_large(original, adj, key, "left"), mask.select(*key, F.col("w").alias("_w")), key, "left")
     w = F.coalesce("_w", F.lit(0.0))
     matched = F.coalesce("_there", F.lit(False))
     mixed = lambda c: F.when(matched, half_up(F.col(c) * (1.0 - w) + F.col(f"_{c}") * w)).otherwise(F.col(c))
@@ -213,7 +214,7 @@ def strength_blend(source: DataFrame, processed: DataFrame, strength: Column) ->
     """
     key = ["image_id", "x", "y"]
     other = processed.select(*key, *[F.col(c).alias(f"_{c}") for c in "rgb"], F.lit(True).alias("_there"))
-    j = source.withColumn("_t", strength).join(other, key, "left")
+    j = join_large(source.withColumn("_t", strength), other, key, "left")
     matched = F.coalesce("_there", F.lit(False))
     mix = lambda c: F.when((F.col("_t") == 0.0) | ~matched, F.col(c)).otherwise(
         half_up(F.col(c) + (F.col(f"_{c}") - F.col(c)) * F.col("_t"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import any_of
+from ..plans.joins import join_large
 
 KEY = ["image_id", "x", "y"]
 # The usual SSIM constants for 8-bit values.
@@ -20,7 +21,7 @@ def image_quality(a: DataFrame, b: DataFrame, value: str = "v", tolerance: int =
     row per block. The figures are taken over pixels that both sides have; ``unmatched`` counts the
     others, and an image with none in common has null figures.
     """
-    j = a.select(*KEY, F.col(value).alias("u")).join(b.select(*KEY, F.col(value).alias("t")), KEY, "full")
+    j = join_large(a.select(*KEY, F.col(value).alias("u")), b.select(*KEY, F.col(value).alias("t")), KEY, "full")
     both = F.col("u").isNotNull() & F.col("t").isNotNull()
     j = j.withColumns({"u": F.when(both, F.col("u")), "t": F.when(both, F.col("t"))})
     u, t = F.col("u").cast("double"), F.col("t").cast("double")
@@ -59,7 +60,7 @@ def _boundary(mask: DataFrame, frames: DataFrame, threshold: float) -> DataFrame
     near = {"l": F.lag("x").over(row) == F.col("x") - 1, "r": F.lead("x").over(row) == F.col("x") + 1}
     m = m.withColumns(near)
     m = m.withColumns({"t": F.lag("y").over(col) == F.col("y") - 1, "d": F.lead("y").over(col) == F.col("y") + 1})
-    m = m.join(frames, "image_id")
+    m = join_large(m, frames, "image_id")
     inside = {"l": F.col("x") > F.col("x0"), "r": F.col("x") < F.col("x1"), "t": F.col("y") > F.col("y0"), "d": F.col("y") < F.col("y1")}
     edge = any_of(ok & ~F.coalesce(F.col(c), F.lit(False)) for c, ok in inside.items())
     return m.filter(edge).select(*KEY)
@@ -84,7 +85,7 @@ def mask_quality(pred: DataFrame, truth: DataFrame, threshold: float = 0.5, imag
     """
     frames = _frames(pred, truth, images)
     p, t = pred.select(*KEY, F.col("w").alias("p")), truth.select(*KEY, F.col("w").alias("t"))
-    both = p.join(t, KEY, "full").select(
+    both = join_large(p, t, KEY, "full").select(
         "image_id", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("t", F.lit(0.0)).alias("t")
     )
     iou = both.groupBy("image_id").agg(
@@ -92,12 +93,12 @@ def mask_quality(pred: DataFrame, truth: DataFrame, threshold: float = 0.5, imag
     )
     bp = _boundary(pred, frames, threshold).withColumn("p", F.lit(1))
     bt = _boundary(truth, frames, threshold).withColumn("t", F.lit(1))
-    b = bp.join(bt, KEY, "full").groupBy("image_id").agg(
+    b = join_large(bp, bt, KEY, "full").groupBy("image_id").agg(
         F.sum(F.coalesce("p", F.lit(0)) * F.coalesce("t", F.lit(0))).alias("hit"),
         F.sum(F.coalesce("p", F.lit(0)) + F.coalesce("t", F.lit(0))).alias("both"),
     )
     score = b.select("image_id", (F.col("hit") * 2.0 / F.col("both")).alias("boundary_f"))
-    return iou.join(score, "image_id", "left")
+    return join_large(iou, score, "image_id", "left")
 
 
 def _reached(points: DataFrame, marks: DataFrame, tolerance: float) -> DataFrame:
@@ -142,4 +143,4 @@ def boundary_score(
     shares = sides.groupBy("image_id").agg(share("p").alias("precision"), share("t").alias("recall"))
     p, r = F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0))
     score = F.when(p + r > 0, p * r * 2.0 / (p + r)).otherwise(0.0)
-    return frames.select("image_id").join(shares.withColumn("boundary_f", score), "image_id", "left")
+    return join_large(frames.select("image_id"), shares.withColumn("boundary_f", score), "image_id", "left")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schema as S
 from ..functions.color import luma_709, luma_level, with_linear, with_oklab, with_oklch
 from ..functions.numeric import clamp01, smoothstep, total
-from ..plans.joins import has_few_rows, join_per_image
+from ..plans.joins import BROADCAST_ROWS, has_few_rows, join_large, join_per_image
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -237,7 +237,7 @@ def neutral_center(pixels: DataFrame, max_chroma=0.04, lightness=(0.2, 0.9)) ->
     pick = lambda axis: F.max(F.when(F.col("axis") == axis, F.col("median") / 10000.0))
     centers = medians.groupBy("image_id").agg(pick("a").alias("a"), pick("b").alias("b"))
     share = px.groupBy("image_id").agg((F.count_if(near) / F.count("*")).alias("confidence"))
-    return share.join(centers, "image_id", "left").select("image_id", "a", "b", "confidence")
+    return join_large(share, centers, "image_id", "left").select("image_id", "a", "b", "confidence")
 
 
 def density_relation(pixels: DataFrame, steps: int = 8) -> DataFrame:
@@ -267,8 +267,8 @@ def class_stats(pixels: DataFrame, masks: DataFrame, min_confidence: float = 0.5
     least = masks.groupBy("image_id", "class").agg(
         F.min(F.coalesce("confidence", F.lit(float("-inf")))).alias("_least")
     )
-    sure = masks.join(least.filter(F.col("_least") >= min_confidence), ["image_id", "class"], "left_semi")
-    j = perceptual(whole_pixels(pixels)).join(sure, ["image_id", "x", "y"])
+    sure = join_large(masks, least.filter(F.col("_least") >= min_confidence), ["image_id", "class"], "left_semi")
+    j = join_large(perceptual(whole_pixels(pixels)), sure, ["image_id", "x", "y"])
     w = F.col("w")
     mean = lambda c: F.try_divide(F.sum(w * F.col(c)), F.sum(w))
     return j.groupBy("image_id", "class").agg(
@@ -281,9 +281,8 @@ def paired_class_stats(left: DataFrame, right: DataFrame, pairs: DataFrame) -> D
     side = lambda df, p: df.select(
         F.col("image_id").alias(f"{p}_id"), "class", *[F.col(c).alias(f"{p}_{c}") for c in "lab"]
     )
-    return pairs.join(side(left, "target"), "target_id").join(
-        side(right, "ref"), ["ref_id", "class"]
-    )
+    targets = join_large(pairs, side(left, "target"), "target_id")
+    return join_large(targets, side(right, "ref"), ["ref_id", "class"])
 
 
 def wb_eyedropper(pixels: DataFrame, samples: DataFrame, reach: int = 4) -> DataFrame:
@@ -299,7 +298,8 @@ def wb_eyedropper(pixels: DataFrame, samples: DataFrame, reach: int = 4) -> Data
     cells = rows.select(
         "sample_id", "image_id", "y", F.explode(F.sequence(F.col("sx") - reach, F.col("sx") + reach)).alias("x")
     )
-    hit = cells.join(pixels, ["image_id", "x", "y"])
+    few = has_few_rows(samples, BROADCAST_ROWS // (2 * reach + 1) ** 2)
+    hit = pixels.join(cells.hint("broadcast" if few else "merge"), ["image_id", "x", "y"])
     return hit.groupBy("sample_id", "image_id").agg(
         F.count("*").alias("n"), *[F.median(c).alias(c) for c in "rgb"]
     )
@@ -399,7 +399,7 @@ def color_mixer(pixels: DataFrame, shifts: dict[str, tuple[float, float, float]]
         pick = lambda n, c: F.max(F.when(F.col("band") == n, F.col(c).cast("double")))
         names = [(n, i, c) for n in HUE_BANDS for i, c in enumerate(("hue", "chroma", "lightness"))]
         wide = shifts.groupBy("image_id").agg(*[pick(n, c).alias(f"_{n}{i}") for n, i, c in names])
-        px = px.join(F.broadcast(wide) if has_few_rows(wide) else wide, "image_id", "left")
+        px = join_per_image(px, wide, has_few_rows(wide), how="left")
         amount = {n: [F.coalesce(f"_{n}{i}", F.lit(0.0)) for i in range(3)] for n in HUE_BANDS}
     else:
         amount = {n: [F.lit(float(v)) for v in three] for n, three in shifts.items()}

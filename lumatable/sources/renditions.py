@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schema as S
 from ..operators.capture import stage_hashes
 from ..operators.grade import complete_recipes, grade
+from ..plans.joins import has_few_rows, join_large, join_per_image
 from ..plans.session import cut_lineage
 
 PIXEL_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.PIXELS.fields)
@@ -49,7 +50,7 @@ def render_hashes(images: DataFrame, recipes: DataFrame) -> DataFrame:
     """
     held = [c for c in ("width", "height", "content_hash") if c in images.columns]
     source = images.select("image_id", F.xxhash64(*held).alias("source"))
-    return source.join(stage_hashes(complete_recipes(images, recipes)), "image_id")
+    return join_large(source, stage_hashes(complete_recipes(images, recipes)), "image_id")
 
 
 def stale_renditions(now: DataFrame, stored: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def stale_renditions(now: DataFrame, stored: DataFrame) -> DataFrame:
     """
     stages = [c for c in now.columns if c not in ("image_id", "image_bucket")]
     side = lambda df, p: df.select("image_id", F.lit(True).alias(f"{p}there"), *[F.col(c).alias(p + c) for c in stages])
-    both = side(now, "_n_").join(side(stored, "_s_"), "image_id", "full")
+    both = join_large(side(now, "_n_"), side(stored, "_s_"), "image_id", "full")
     first = F.coalesce(*[F.when(~F.col(f"_n_{c}").eqNullSafe(F.col(f"_s_{c}")), F.lit(c)) for c in stages])
     reason = F.when(F.col("_s_there").isNull(), "new").when(F.col("_n_there").isNull(), "removed").otherwise(first)
     return both.select("image_id", reason.alias("reason")).filter("reason IS NOT NULL")
@@ -127,13 +128,13 @@ def refresh_renditions(
     here = now.filter(F.col("image_bucket").isin(touched))
     filled = {r[0] for r in here.select("image_bucket").distinct().collect()}
     again = stale.filter("reason != 'removed'").select("image_id")
+    few = has_few_rows(stale)
     fresh = render(
-        pixels.join(again, "image_id", "left_semi"), images.join(again, "image_id", "left_semi"),
-        recipes.join(again, "image_id", "left_semi"),
+        *[join_per_image(df, again, few, how="left_semi") for df in (pixels, images, recipes)]
     )
     columns = S.PIXELS.fieldNames()
     old = _stored(spark, path, f"{PIXEL_SCHEMA}, image_bucket int").filter(F.col("image_bucket").isin(touched))
-    kept = old.join(stale.select("image_id"), "image_id", "left_anti")
+    kept = join_per_image(old, stale.select("image_id"), few, how="left_anti")
     whole = fresh.select(*columns).unionByName(kept.select(*columns)).withColumn("image_bucket", _bucket(buckets))
     _write_buckets(whole, path, ["image_id", F.floor(F.col("y") / 1024)])
     _drop_buckets(spark, path, [b for b in touched if b not in filled])

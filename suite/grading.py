@@ -11,6 +11,7 @@ from lumatable.functions.color import byte_to_linear, linear_to_srgb
 from lumatable.functions.numeric import half_up, smoothstep
 from lumatable.functions.recipe import sort_curve
 from lumatable.operators import geometry, grade as G
+from lumatable.plans.joins import join_large
 from lumatable.plans.session import checkpoint_dir
 from lumatable.sources import renditions as R
 
@@ -274,7 +275,7 @@ def neutral_short_circuit(spark, sf):
     px, images, rec = I.pixels(spark, sf), I.photos(spark, sf), I.recipes(spark, sf, ["exposure", "curve"])
     diff = G.compare_renditions(px, G.grade(px, images, rec))
     flags = G.render_table(images, rec).select("image_id", F.col("k.neutral").alias("k_neutral"))
-    return diff.join(flags, "image_id").select("image_id", "k_neutral", "changed")
+    return join_large(diff, flags, "image_id").select("image_id", "k_neutral", "changed")
 
 
 QUERIES["neutral_short_circuit"] = neutral_short_circuit
