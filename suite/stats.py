@@ -157,8 +157,10 @@ def hue_band_stats(spark, sf):
       round(CAST(max(al) AS DOUBLE)/1e6, 4) AS mass FROM q WHERE al > 0 GROUP BY image_id, band, c""",
 ))
 def hue_band_medians(spark, sf):
+    # masses are whole millionths, so many end in 5 after the fourth digit: SQL rounds the product, not the decimals
+    mass = F.floor(F.col("mass") * 1e4 + 0.5) / 1e4
     return T.hue_band_medians(I.pixels(spark, sf)).select(
-        "image_id", "band", F.round("median_hue", 4).alias("median_hue"), F.round("mass", 4).alias("mass")
+        "image_id", "band", F.round("median_hue", 4).alias("median_hue"), mass.alias("mass")
     )
 
 
