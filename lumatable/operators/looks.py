@@ -14,6 +14,7 @@ from .. import schema as S
 from ..functions.numeric import total
 from ..functions.recipe import sort_curve
 from ..plans.joins import join_large
+from ..plans.session import cut_lineage
 from .stats import HUE_BANDS
 
 # How a parameter is interpolated; everything not listed is additive.
@@ -406,7 +407,8 @@ def closed_loop_report(
     )
     ref = look_features(grade(small, sizes, recipes)).withColumn("image_id", -F.col("image_id") - 1)
     pairs = images.select(F.col("image_id").alias("target_id"), (-F.col("image_id") - 1).alias("ref_id"))
-    matched = match_reference(pairs, look_features(small).unionByName(ref), "full")
+    features = cut_lineage(look_features(small).unionByName(ref))  # both sides of a pair read it
+    matched = match_reference(pairs, features, "full")
     known = [k for k in keys if k in recipes.columns]
     truth = recipes.select(F.col("image_id").alias("target_id"), *[F.col(k).alias(f"_true_{k}") for k in known])
     errors = F.array(*[

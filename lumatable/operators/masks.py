@@ -166,7 +166,7 @@ def mask_tree(tree: DataFrame, rasters: DataFrame, by=("image_id", "x", "y"), ma
     )
     ready = rasters.select("node_id", *by, "w")
     for d in range(max(depths.values(), default=0), -1, -1):
-        nodes = rows.filter(F.col("_depth") == d).join(ready, "node_id")
+        nodes = ready.join(F.broadcast(rows.filter(F.col("_depth") == d)), "node_id")
         w = F.when(F.coalesce(F.col("invert"), F.lit(False)), 1.0 - F.col("w")).otherwise(F.col("w"))
         nodes = nodes.select(F.col("parent_id").alias("_parent"), *by, "ord", "op", w.alias("w"))
         folded = mask_algebra(nodes, ("_parent", *by))

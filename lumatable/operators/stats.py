@@ -14,6 +14,7 @@ from .. import schema as S
 from ..functions.color import luma_709, luma_level, with_linear, with_oklab, with_oklch
 from ..functions.numeric import clamp01, smoothstep, total
 from ..plans.joins import BROADCAST_ROWS, has_few_rows, join_large, join_per_image
+from ..plans.session import spread
 
 QUANTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -69,7 +70,8 @@ def luma_histogram(
         F.least(F.lit(bins - 1), F.floor(luma / 256.0 * bins)).cast("int").alias("bin"),
         F.lit(1).alias("one"),
     )
-    empty = images.select(
+    ids = images.select("image_id")
+    empty = spread(ids, "image_id", rows=ids.count()).select(
         "image_id", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).alias("one")
     )
     counts = hits.unionByName(empty).groupBy("image_id", "bin").agg(F.sum("one").alias("n"))
@@ -144,7 +146,7 @@ def _band_rows(pixels: DataFrame) -> DataFrame:
     The tents overlap with their neighbours only, so a pixel becomes two rows, not eight.
     """
     bands = F.array(
-        *[F.struct(F.lit(n).alias("band"), F.lit(c).alias("centre")) for n, c in HUE_BANDS.items()]
+        *[F.struct(F.lit(i).alias("k"), F.lit(n).alias("band"), F.lit(c).alias("centre")) for i, (n, c) in enumerate(HUE_BANDS.items())]
     )
     k = F.floor(F.col("hue") / BAND_REACH).cast("int") % len(HUE_BANDS)
     near = F.array(F.get(bands, k), F.get(bands, (k + 1) % len(HUE_BANDS)))
@@ -179,13 +181,15 @@ def hue_band_medians(pixels: DataFrame) -> DataFrame:
     """
     offset = F.pmod(F.col("hue") - F.col("b.centre") + 180.0, F.lit(360.0)) - 180.0
     steps = _band_rows(pixels).groupBy(
-        "image_id", "b.band", "b.centre", F.floor(offset * 10.0 + 0.5).alias("step")
+        "image_id", "b.k", F.floor(offset * 10.0 + 0.5).alias("step")
     ).agg(F.sum(F.floor(F.col("w") * 1e6 + 0.5)).alias("n"))
-    whole = Window.partitionBy("image_id", "band", "centre")
+    whole = Window.partitionBy("image_id", "k")
     c = steps.withColumns({"_cum": F.sum("n").over(whole.orderBy("step")), "_all": F.sum("n").over(whole)}).filter("_all > 0")
     median = F.min(F.when(F.col("_cum") * 2 >= F.col("_all"), F.col("step"))) / 10.0
-    return c.groupBy("image_id", "band", "centre").agg(median.alias("_m"), F.max("_all").alias("_n")).select(
-        "image_id", "band", F.pmod(F.col("_m") + F.col("centre"), F.lit(360.0)).alias("median_hue"), (F.col("_n") / 1e6).alias("mass")
+    # groups and windows go by the band's number; its name and centre are looked up once a row
+    name, centre = (F.get(F.array(*map(F.lit, values)), F.col("k")) for values in (HUE_BANDS.keys(), HUE_BANDS.values()))
+    return c.groupBy("image_id", "k").agg(median.alias("_m"), F.max("_all").alias("_n")).select(
+        "image_id", name.alias("band"), F.pmod(F.col("_m") + centre, F.lit(360.0)).alias("median_hue"), (F.col("_n") / 1e6).alias("mass")
     )
 
 
@@ -308,10 +312,10 @@ def wb_eyedropper(pixels: DataFrame, samples: DataFrame, reach: int = 4) -> Data
 def look_features(pixels: DataFrame) -> DataFrame:
     """One wide row per photo: quantiles, bands, zones, neutral centre and density slope.
 
-    Give it previews (``geometry.preview``) of a library. The pixels are read once: each becomes at
-    most four rows (one of sums, one luma level, two steps of near-neutral colour) of a single
-    aggregate by (photo, kind, value), whose map-side sums are bounded by the distinct values of a
-    photo. Sums, medians and quantiles are then formed from those.
+    Give it previews (``geometry.preview``) of a library. One aggregate has the sums, a row a photo. The
+    other counts by (photo, kind, value): a pixel is at most three rows there (luma level, two steps of
+    near-neutral colour) that carry a count and no sums, so its groups are narrow. Medians and quantiles are
+    formed from those. Where pixels are dealt out by photo, neither exchanges them.
     """
     px = perceptual(whole_pixels(pixels)).withColumn("level", luma_level(F.col("r"), F.col("g"), F.col("b")))
     l, chroma, rad = clamp01(F.col("lab_l")), F.col("chroma"), F.col("hue") * (math.pi / 180.0)
@@ -332,15 +336,13 @@ def look_features(pixels: DataFrame) -> DataFrame:
         "lab_l", "lab_a", "lab_b", "chroma", "hue", F.sin(rad).alias("sin_h"), F.cos(rad).alias("cos_h"),
     )
     kinds = F.expr(
-        "explode(CASE WHEN near THEN array(named_struct('kind', 0, 'v', 0L), named_struct('kind', 1, 'v', cast(level as bigint)), "
+        "explode(CASE WHEN near THEN array(named_struct('kind', 1, 'v', cast(level as bigint)), "
         "named_struct('kind', 2, 'v', sa), named_struct('kind', 3, 'v', sb)) "
-        "ELSE array(named_struct('kind', 0, 'v', 0L), named_struct('kind', 1, 'v', cast(level as bigint))) END) AS e"
-    )
-    rows = px.select("*", kinds)
-    first = F.col("e.kind") == 0
-    merged = rows.groupBy("image_id", F.col("e.kind").alias("kind"), F.col("e.v").alias("v")).agg(
-        F.count("*").alias("m"), *[F.sum(F.when(first, v)).alias(k) for k, v in sums.items()]
+        "ELSE array(named_struct('kind', 1, 'v', cast(level as bigint))) END) AS e"
     )
+    summed = px.groupBy("image_id").agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()])
+    rows = px.select("image_id", kinds)
+    merged = rows.groupBy("image_id", F.col("e.kind").alias("kind"), F.col("e.v").alias("v")).agg(F.count("*").alias("m"))
     up_to, whole = Window.partitionBy("image_id", "kind").orderBy("v"), Window.partitionBy("image_id", "kind")
     c = merged.withColumns({"_cum": F.sum("m").over(up_to), "_all": F.sum("m").over(whole)})
 
@@ -355,8 +357,8 @@ def look_features(pixels: DataFrame) -> DataFrame:
     out = c.groupBy("image_id").agg(
         *[quantile(1, p).alias(n) for p, n in names.items()],
         quantile(2, 0.5).alias("neutral_a"), quantile(3, 0.5).alias("neutral_b"),
-        *[F.max(F.when(F.col("kind") == 0, F.col(k))).alias(f"s_{k}") for k in sums],
     )
+    out = join_large(out, summed, "image_id")
     s = {k: F.col(f"s_{k}") for k in sums}
     over = lambda a, b: F.try_divide(a, F.when(b > 0, b))
     columns = [F.col(n) for n in names.values()]

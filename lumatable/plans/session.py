@@ -15,8 +15,13 @@ RUNTIME_SETTINGS = {
     # The tone chain compiles to one method too large for the JIT; past this size Spark
     # generates several small projections instead of one fused loop, which then do get compiled.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Tables dealt out by photo meet on (photo, x, y) without another exchange of their pixels.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
+#: Photos whose pixels, curves or parameters one task makes: keeps a task's memory the same however many there are.
+PHOTOS_A_TASK = 2000
+
 
 def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else created."""
@@ -56,10 +61,12 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, *keys):
+def spread(df, *keys, rows: int = 0):
     """Repartition few rows that are about to be exploded into many.
 
-    The count is explicit, since AQE judges the small input and would merge it into one task.
+    The count is explicit, since AQE judges the small input and would merge it into one task. It
+    grows with ``rows``, where the caller has counted them.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)
+    parts = max(parts, df.sparkSession.sparkContext.defaultParallelism, -(-rows // PHOTOS_A_TASK))
+    return df.repartition(parts, *keys)

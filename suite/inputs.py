@@ -132,7 +132,9 @@ def photos(spark, sf) -> DataFrame:
 
 
 def recipes(spark, sf, keys=None) -> DataFrame:
-    df = table(spark, sf, "part").selectExpr(*recipe_columns("spark"))
+    """Recipes, dealt out like the pixels: a small file is a single split."""
+    part = table(spark, sf, "part")
+    df = spread(part, "p_partkey", rows=part.count()).selectExpr(*recipe_columns("spark"))
     return df if keys is None else df.select("image_id", *keys)
 
 
@@ -146,7 +148,7 @@ def pixels(spark, sf) -> DataFrame:
     """One row per pixel. A small file is a single split, so photos are spread out first."""
     base = photos(spark, sf).select("image_id", "width", "height", "rating")
     return (
-        spread(base, "image_id")
+        spread(base, "image_id", rows=base.count())
         .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
         .withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
         .selectExpr("image_id", "x", "y", *BYTE_COLUMNS)

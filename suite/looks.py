@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lumatable import schema as S
 from lumatable.operators import capture as P, looks as L, stats as T
+from lumatable.plans.session import cut_lineage
 
 from . import inputs as I
 from .stats import FEATURES, ROUNDED, r6, rounded_features
@@ -150,7 +151,7 @@ def match_reference_tone(spark, sf):
     features = q.withColumns(
         {"neutral_a": F.lit(0.0), "neutral_b": F.lit(0.0), "neutral_confidence": F.lit(0.0), "density_slope": F.lit(0.0)}
     )
-    m = L.match_reference(_pairs(spark, sf), features, "tone")
+    m = L.match_reference(_pairs(spark, sf), cut_lineage(features), "tone")
     return m.select(
         "target_id", "ref_id", *r6(exposure="exposure"),
         *[F.round(F.col("curve")[i + 1]["y"], 6).alias(f"y{i}") for i in range(5)],
@@ -191,7 +192,7 @@ def _full_sql():
 
 @register("match_reference_full", _full_sql())
 def match_reference_full(spark, sf):
-    features = rounded_features(spark, sf)
+    features = cut_lineage(rounded_features(spark, sf))
     m = L.match_reference(_pairs(spark, sf), features, "full")
     band = lambda n, c: F.try_element_at(F.filter("bands", lambda b: b["band"] == n), F.lit(1))[c]
     zone = lambda i, a: F.col("grading")[i][a]
@@ -205,7 +206,7 @@ def match_reference_full(spark, sf):
 
 @register("refine_exposure")
 def refine_exposure(spark, sf):
-    features = rounded_features(spark, sf)
+    features = cut_lineage(rounded_features(spark, sf))
     return L.refine_exposure(L.match_reference(_pairs(spark, sf), features, "full"), features).select(
         "target_id", "ref_id", "exposure", "refined_exposure", "loss"
     )

@@ -1,9 +1,11 @@
 """Tables that grow with the library: never broadcast on an estimate, tasks of bounded size."""
 
+import re
+
 import pytest
 
 import suite
-from lumatable.plans import joins
+from lumatable.plans import joins, session
 from lumatable.operators import geometry, grade, stats, tiles
 
 SF = "/root/testdata/sf0.001"
@@ -25,3 +27,17 @@ def many_photos(monkeypatch):
 def test_exploded_tables_are_not_broadcast(spark, many_photos, name):
     plan = suite.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("name", ["look_features", "rgb_histogram", "luma_histogram", "mix_styles", "mix_curves", "match_strength", "hue_band_medians"])
+def test_tasks_do_not_grow_with_the_photos(spark, monkeypatch, name):
+    """200 photos at 10 a task: 20 tasks or more make the rows, whatever the shuffle setting says."""
+    monkeypatch.setattr(session, "PHOTOS_A_TASK", 10)
+    plan = suite.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and min(dealt) == 20
+
+
+def test_pixels_dealt_out_by_photo_meet_without_an_exchange(spark):
+    plan = suite.queries()["image_quality_blocks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"hashpartitioning\([^()]*\b[xy]#", plan)
