@@ -68,10 +68,17 @@ def complete_recipes(images: DataFrame, recipes: DataFrame) -> DataFrame:
 def render_table(images: DataFrame, recipes: DataFrame) -> DataFrame:
     """Frame size, constants ``k`` and geometry ``geo``: one row per image."""
     dims = frame_geometry(render_constants(complete_recipes(images, recipes)))
-    # The one-element explode hides how the fields were computed. Without it the optimizer
-    # rewrites every filter on ``k`` or ``geo`` into the full recipe expressions of all branches,
-    # and planning takes minutes.
-    return dims.selectExpr("image_id", "inline(array(struct(width, height, kg, kt, kc, k, geo)))")
+    return settled(dims, ["image_id"], ["width", "height", "kg", "kt", "kc", "k", "geo"])
+
+
+def settled(df: DataFrame, keys, values) -> DataFrame:
+    """``df`` with ``values`` whose expressions the optimizer no longer sees.
+
+    The one-element explode hides how they were computed. Without it the optimizer rewrites every
+    filter on them (on ``k`` or ``geo``, on the bytes of a graded pixel) into the full expressions
+    of all stages, and planning takes minutes.
+    """
+    return df.selectExpr(*keys, f"inline(array(struct({', '.join(values)})))")
 
 
 def attach_recipe(pixels: DataFrame, images: DataFrame, recipes: DataFrame) -> DataFrame:

@@ -398,14 +398,15 @@ def closed_loop_report(
     Both sides are brought to the size of the analysis preview first.
     """
     from .geometry import preview, preview_size
-    from .grade import grade
+    from .grade import grade, settled
     from .stats import look_features
 
     small = preview(pixels, images, FEATURE_EDGE)
     sizes = preview_size(images, FEATURE_EDGE).select(
         "image_id", F.col("out_width").alias("width"), F.col("out_height").alias("height")
     )
-    ref = look_features(grade(small, sizes, recipes)).withColumn("image_id", -F.col("image_id") - 1)
+    graded = settled(grade(small, sizes, recipes), ["image_id", "x", "y"], list("rgba"))
+    ref = look_features(graded).withColumn("image_id", -F.col("image_id") - 1)
     pairs = images.select(F.col("image_id").alias("target_id"), (-F.col("image_id") - 1).alias("ref_id"))
     features = cut_lineage(look_features(small).unionByName(ref))  # both sides of a pair read it
     matched = match_reference(pairs, features, "full")

@@ -41,3 +41,20 @@ def test_tasks_do_not_grow_with_the_photos(spark, monkeypatch, name):
 def test_pixels_dealt_out_by_photo_meet_without_an_exchange(spark):
     plan = suite.queries()["image_quality_blocks"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and not re.search(r"hashpartitioning\([^()]*\b[xy]#", plan)
+
+
+def test_filters_on_graded_bytes_are_not_rewritten(spark):
+    """Rewritten into the tone stages, the filter of ``look_features`` kept the planner busy for over ten minutes."""
+    graded = grade.settled(suite.queries()["grade_tone_full"](spark, SF), ["image_id", "x", "y"], ["r", "g", "b", "a"])
+    plan = graded.filter("r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    top, below = plan.split("\n")[:2]
+    assert top.startswith("Filter") and "Generate inline" in below and len(top) < 200
+
+
+@pytest.mark.parametrize("name", [
+    "grade_tone_curve", "grade_tone_full", "grade_tone_regions", "grade_vibrance_saturation", "grade_vignette", "grade_white_balance",
+    "grade_contrast_clarity", "grade_radial_mask", "rotate_bilinear", "rotate_flip", "compare_renditions", "detail_filter", "grade_full",
+])
+def test_no_rendering_is_broadcast(spark, many_photos, name):
+    plan = suite.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
