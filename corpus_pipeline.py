@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 
 from lumatable.llm import line_dedup, mixing, near_copies, pieces, quality
-from lumatable.llm.common import read_table
+from lumatable.llm.common import bound_batches, read_table
 from lumatable.plans.session import checkpoint_dir
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and hold mostly content lines."""
+    bound_batches(spark)
     judged = quality.judged(docs, read_table(spark, sf_dir, "labels"), out="_judged")
     return judged.filter("_judged.kept").drop("_judged")
 
@@ -34,6 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document of the mix."""
+    bound_batches(spark)
     return pieces.encoded(docs).select("doc_id", "source", "lang", "n_tokens", "ids", "round_trip")
 
 

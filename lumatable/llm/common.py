@@ -53,6 +53,15 @@ def arrow_batches(spark: SparkSession, size: str):
         spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on Python stages of the session get batches of about ``size``.
+
+    For results that are computed after the function that plans them has returned. Spark's own limit
+    is ten thousand rows, which the JVM holds outside its heap and Python holds again as texts.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def running_totals(df: DataFrame, order: list, sums: dict) -> DataFrame:
     """Add, for each name in ``sums``, the sum of its column over all rows before this one.
 

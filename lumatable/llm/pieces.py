@@ -35,7 +35,7 @@ from .quality import batches
 MARK = "▁"
 KEEP = 300_000
 #: Characters of texts taken together, and of new units that are indexed at once.
-STEP, INDEX = 1_000_000, 400_000
+STEP, INDEX = 400_000, 200_000
 #: Units longer than this are merged with a heap.
 LONG = 200
 SAFE = re.compile(f"(?<=[^{MARK}])(?={MARK})")
@@ -284,6 +284,7 @@ def _encode_batches(path, text_at, round_trip):
                     columns.append(pa.array(same, pa.bool_()))
                 names = [*own.schema.names, "n_tokens", "ids", *["round_trip"] * round_trip]
                 yield pa.RecordBatch.from_arrays(columns, names)
+            give_back()
         del words, encoder
         give_back()
 

@@ -62,3 +62,14 @@ def test_run(spark):
 def test_queries_without_sql_run(spark, name):
     out = queries.QUERIES[name](spark, SF)
     assert out.count() > 0 and len(set(out.columns)) == len(out.columns)
+
+
+def test_python_stages_get_batches_of_bounded_size(spark):
+    """Set when the result is computed, not only while it is planned: rows of 20 kB, far fewer than ten thousand a batch."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    corpus_pipeline.encode(spark, awkward_docs(spark), SF)
+    docs = spark.range(0, 1000, 1, 1).select(F.repeat(F.lit("word "), 4000).alias("text"))
+    sizes = docs.select(F.pandas_udf(lambda t: pd.Series([len(t)] * len(t)), "long")("text").alias("n")).agg(F.max("n")).first()[0]
+    assert sizes <= 400
