@@ -107,9 +107,10 @@ class BKTree:
             d = (own ^ value).bit_count()
             if d <= radius:
                 found.append(own)
-            for k in range(d - radius, d + radius + 1):
-                if k in children:
-                    open_.append(children[k])
+            if 2 * radius < len(children):
+                open_ += [children[k] for k in range(d - radius, d + radius + 1) if k in children]
+            else:
+                open_ += [child for k, child in children.items() if abs(k - d) <= radius]
         return found
 
 

@@ -117,3 +117,52 @@ def test_hardly_any_pair_shares_no_bucket():
         pool = rnd.integers(1 << 62, size=100, dtype=np.uint64)
         a, b = np.unique(pool[:90]), np.unique(pool[10:])  # 80 of 100 shared
         assert (near_copies.buckets(a) == near_copies.buckets(b)).any()
+
+
+def mark_of(grams):
+    """The bits that are set in over half of the hashes, counted one by one."""
+    return sum(1 << k for k in range(64) if 2 * sum(g >> k & 1 for g in grams.tolist()) > len(grams))
+
+
+def test_fingerprints_of_sets():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 64, near_copies.STEP + 3):
+        grams = np.sort(rnd.integers(1 << 64, size=n, dtype=np.uint64))
+        assert near_copies.set_print(grams) == mark_of(grams)
+
+
+def test_similar_sets_are_within_the_radius():
+    """Similarity 0.8: four of five shingles, and longer texts."""
+    rnd = np.random.default_rng(2)
+    for common, a, b in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (160, 20, 20)):
+        for _ in range(2000):
+            pool = rnd.integers(1 << 64, size=common + a + b, dtype=np.uint64)
+            one, other = pool[: common + a], np.concatenate([pool[:common], pool[common + a :]])
+            assert (near_copies.set_print(one) ^ near_copies.set_print(other)).bit_count() <= near_copies.RADIUS
+
+
+def test_trees_find_the_candidates(monkeypatch):
+    """Shards ask a tree, and compare only what it finds; a tree around a hub finds what is within the radius."""
+    rnd = np.random.default_rng(3)
+    sets = [np.sort(rnd.integers(1 << 64, size=100, dtype=np.uint64)) for _ in range(40)]
+    sets += [np.sort(np.concatenate([s[5:], rnd.integers(1 << 64, size=5, dtype=np.uint64)])) for s in sets[:20]]
+    compared, similar = [], near_copies.similar
+    monkeypatch.setattr(near_copies, "similar", lambda a, b: compared.append((mark_of(a) ^ mark_of(b)).bit_count()) or similar(a, b))
+    found = near_copies.set_links([(k, k, s) for k, s in enumerate(sets)])
+    assert sorted(tuple(sorted(p)) for p in found) == [(k, k + 40) for k in range(20)]
+    assert max(compared) <= near_copies.RADIUS and len(compared) < 60 * 59 / 2 / 2
+
+    far = {(1 << n) - 1: [n, 100 + n] for n in range(65)}
+    assert sorted(near_copies.near_prints(0, far)) == sorted(m for n in range(near_copies.RADIUS + 1) for m in (n, 100 + n))
+    assert near_copies.near_prints((1 << 64) - 1, {0: [1]}) == []
+
+
+def test_trees_of_any_radius():
+    rnd = random.Random(5)
+    values = {rnd.getrandbits(64) & rnd.getrandbits(64) for _ in range(300)}
+    tree = near_copies.BKTree()
+    for v in values:
+        tree.add(v)
+    for radius in (0, 2, 10, 28, 64):
+        for v in list(values)[:20]:
+            assert sorted(tree.within(v, radius)) == sorted(w for w in values if (v ^ w).bit_count() <= radius)
