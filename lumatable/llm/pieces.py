@@ -21,7 +21,9 @@ are kept.
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,56 +82,89 @@ class Vocabulary:
         return text[1:] if text[:1] == b" " else text
 
 
+def numbers(codes: np.ndarray) -> np.ndarray:
+    """A table from code to its number 1, 2, ... among those in ``codes``, 0 for all others."""
+    seen = np.unique(codes)
+    table = np.zeros(0x110000, np.int64)
+    table[seen] = np.arange(1, len(seen) + 1)
+    return table
+
+
+def packed(codes: np.ndarray, depth: int, table: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """At each place the numbers of as many codes as fit into one integer, first ones highest.
+
+    Zeros stand for what follows the end. Also returns how many codes that are (at most ``depth``)
+    and the bits of one.
+    """
+    bits = int(table.max()).bit_length()
+    per = min(63 // bits, depth)
+    padded = np.concatenate([table[codes], np.zeros(per, np.int64)])
+    word = np.zeros(len(codes), np.int64)
+    for k in range(per):
+        word = word << bits | padded[k : k + len(codes)]
+    return word, per, bits
+
+
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
     """Places sorted by the ``depth`` codes that begin there (missing ones sort first)."""
-    rank = np.unique(codes, return_inverse=True)[1] + 1
-    span = 1
+    rank, span, _ = packed(codes, depth, numbers(codes))
     while span < depth:  # ranks of twice as many codes from pairs of ranks
+        rank = np.unique(rank, return_inverse=True)[1] + 1
         after = np.zeros_like(rank)
         after[:-span] = rank[span:]
-        rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1] + 1
+        rank = rank * (rank.max() + 1) + after
         span *= 2
     return np.argsort(rank, kind="stable")
 
 
 def piece_ranges(codes: np.ndarray, array: np.ndarray, pieces: np.ndarray, lengths: np.ndarray):
-    """For each piece, the first place in the array whose text is not less, and where it ends."""
-    depth = pieces.shape[1]
-    padded = np.concatenate([codes, np.zeros(depth, codes.dtype)])
-
-    def bound(after):
-        low, high = np.zeros(len(pieces), np.int64), np.full(len(pieces), len(array))
-        while True:
-            open_ = np.flatnonzero(low < high)
-            if not len(open_):
-                return low
-            mid = (low[open_] + high[open_]) // 2
-            at, rows = array[mid], open_
-            right = np.full(len(open_), after)  # a text that begins with the piece
-            tied = np.arange(len(open_))
-            for k in range(depth):
-                tied = tied[lengths[rows[tied]] > k]
-                if not len(tied):
-                    break
-                a, b = padded[at[tied] + k], pieces[rows[tied], k]
-                right[tied[a < b]] = True
-                right[tied[a > b]] = False
-                tied = tied[a == b]
-            low[open_[right]] = mid[right] + 1
-            high[open_[~right]] = mid[~right]
-
-    return bound(False), bound(True)
+    """For each piece, the first place in the array whose text is not less, and where it ends.
+
+    Codes are compared many at once, packed into integers; both ends are equal for a piece that occurs nowhere.
+    """
+    table = numbers(codes)
+    word, per, bits = packed(codes, pieces.shape[1], table)
+    low, high = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    number = table[pieces]
+    inside = np.arange(pieces.shape[1]) < lengths[:, None]
+    left = np.flatnonzero(((number > 0) | ~inside).all(1))  # pieces of known codes only
+    high[left] = len(array)
+    word = np.concatenate([word, np.zeros(pieces.shape[1] + per, np.int64)])
+    for done in range(0, pieces.shape[1], per):
+        left = left[(low[left] < high[left]) & ((lengths[left] > done) | (done == 0))]
+        least, most = np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)
+        for k in range(done, done + per):  # any code may follow the piece
+            here = inside[left, k] if k < pieces.shape[1] else np.zeros(len(left), bool)
+            code = number[left, min(k, pieces.shape[1] - 1)]
+            least = least << bits | np.where(here, code, 0)
+            most = most << bits | np.where(here, code, (1 << bits) - 1)
+        if done == 0:
+            first = word[array]
+            low[left], high[left] = np.searchsorted(first, least), np.searchsorted(first, most, side="right")
+        else:
+            bounds = low[left], high[left]
+            low[left] = _bound(word, array + done, *bounds, least)
+            high[left] = _bound(word, array + done, *bounds, most + 1)
+    return low, high
+
+
+def _bound(word, places, low, high, least):
+    """The first row in each [low, high) whose word is not less than ``least``, or ``high``."""
+    low, high = low.copy(), high.copy()
+    while len(open_ := np.flatnonzero(low < high)):
+        mid = (low[open_] + high[open_]) // 2
+        less = word[places[mid]] < least[open_]
+        low[open_[less]] = mid[less] + 1
+        high[open_[~less]] = mid[~less]
+    return low
 
 
 def edge_table(codes: np.ndarray, words: Vocabulary) -> np.ndarray:
     """Rank of the piece at each place by its length, ``FAR`` where there is none."""
     array = suffix_array(codes, words.longest)
-    known = np.zeros(0x110002, bool)
-    known[codes] = True
-    known[0] = False  # fills up the rows of ``words.codes``
-    here = np.flatnonzero(known[words.codes].sum(1) == words.lengths)
-    low, high = piece_ranges(codes, array, words.codes[here], words.lengths[here])
-    found = high - low
+    low, high = piece_ranges(codes, array, words.codes, words.lengths)
+    here = np.flatnonzero(low < high)
+    low, found = low[here], (high - low)[here]
     table = np.full((len(codes), words.longest + 1), FAR, np.int32)
     table[array[ranges(low, found)], np.repeat(words.lengths[here], found)] = np.repeat(here, found)
     return table
@@ -202,7 +237,8 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.known: dict = {}
+        # a unit that is looked up for the first time takes the next number
+        self.known: dict = defaultdict(itertools.count().__next__)
         self.flat = np.zeros(0, np.int32)
         self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -228,15 +264,15 @@ class Encoder:
             ids = out
         return ids.astype(np.int32), np.bincount(owner, count, len(texts)).astype(np.int64)
 
-    def _learn(self, units: list) -> None:
-        new = [u for u in dict.fromkeys(units) if u not in self.known]
+    def _learn(self) -> None:
+        """Encode the units that were numbered since the last time."""
+        new = list(itertools.islice(reversed(self.known), len(self.known) - len(self.start)))[::-1]
         texts = [u[0] if isinstance(u, tuple) else u if u[:1] == "\n" else MARK + u for u in new]
         parts, counts = [self.flat], [self.count]
         for some in batches(texts, INDEX):
             ids, count = self._encode(some)
             parts.append(ids)
             counts.append(count)
-        self.known.update(zip(new, range(len(self.start), len(self.start) + len(new))))
         self.flat, self.count = np.concatenate(parts), np.concatenate(counts)
         self.start = np.cumsum(self.count) - self.count
 
@@ -256,8 +292,8 @@ class Encoder:
                     own[0] = (MARK,)  # the mark before the text stands alone before a line feed
             units += own
             size.append(len(own))
-        self._learn(units)
         which = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        self._learn()
         count = self.count[which]
         edge = np.append(0, np.cumsum(count))
         last = np.cumsum(np.array(size, np.int64)) if size else np.zeros(0, np.int64)
