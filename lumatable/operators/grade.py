@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
-from ..functions.color import byte_to_linear_sql
+from ..functions.color import byte_to_linear_sql, linear_to_srgb_sql
 from ..functions.recipe import INLINE_KNOTS, default_curve, default_mask, render_constants
 from .geometry import frame_geometry, preview, preview_size, turn_any, turn_quarters
 from ..plans.joins import has_few_rows, join_large, join_per_image
@@ -174,11 +174,7 @@ def contrast_clarity(px: DataFrame) -> DataFrame:
 
 
 def encode(px: DataFrame) -> DataFrame:
-    return _each(
-        px,
-        "CASE WHEN {v} <= 0.0031308D THEN {v} * 12.92D "
-        f"ELSE 1.055D * pow({{v}}, {1 / 2.4!r}D) - 0.055D END",
-    )
+    return _each(px, linear_to_srgb_sql("{v}", "{c}"))
 
 
 def tone_curve(px: DataFrame) -> DataFrame:

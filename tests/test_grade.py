@@ -138,6 +138,24 @@ def test_scalar_witness(spark):
             assert out[x, y][:3] == scalar(rows[y][x], x / 8, y / 6, a, curve, mask)
 
 
+# pixels of sf0.1 and its copies that end exactly between two bytes, and what SQL gives
+BETWEEN = [
+    ((35, 171, 59), 0.0, -50.0, (85, 153, 97)),
+    ((33, 115, 121), 0.0, 50.0, (0, 124, 133)),
+    ((33, 115, 121), 0.0, 30.0, (13, 120, 128)),
+    ((92, 228, 116), 0.0, -50.0, (142, 210, 154)),
+    ((228, 220, 6), 0.0, 40.0, (237, 225, 0)),
+]
+
+
+@pytest.mark.parametrize("pixel, vibrance, saturation, want", BETWEEN)
+def test_ends_between_two_bytes_as_in_sql(spark, pixel, vibrance, saturation, want):
+    """The encoded value of an untouched byte decides these by its last bit, where Spark's own power differs."""
+    kw = dict(vibrance=vibrance, saturation=saturation)
+    assert scalar(pixel, 0.0, 0.0, S.ADJUSTMENT_DEFAULTS | kw, [(0, 0), (1, 1)], S.MASK_DEFAULTS) == want
+    assert graded(spark, [[pixel]], **kw)[0, 0][:3] == want
+
+
 def test_tiles_leave_no_seams(spark):
     rows = [[((x * 37 + y * 11) % 256, (x * 5 + y * 53) % 256, (x * 91 + y * 7) % 256) for x in range(13)] for y in range(11)]
     kw = dict(sharpness=60, noiseReduction=-30)
