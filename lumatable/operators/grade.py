@@ -242,6 +242,47 @@ ROW_STAGES = (
 )
 
 
+# what is left of a stage when recipes lack its keys; neutral values give the same numbers to the last bit
+
+
+def plain_gain(px: DataFrame) -> DataFrame:
+    return _with(px, gain="kg.gain")
+
+
+def plain_contrast(px: DataFrame) -> DataFrame:
+    return _each(px, _clamp01("0.18D + ({v} - 0.18D) * kt.contrast")).drop("kt")
+
+
+def plain_saturation(px: DataFrame) -> DataFrame:
+    return _each(_with(px, luma="0.2126D * lr + 0.7152D * lg + 0.0722D * lb"), "luma + ({v} - luma)").drop("luma")
+
+
+def stages_needed(keys) -> tuple:
+    """The row stages for recipes with the columns ``keys``; other keys are neutral for every photo."""
+    has = lambda *names: not {*names}.isdisjoint(keys)
+    local = (normalized_coordinates, mask_and_edge_distance, local_gain)
+    regions, clarity = has("shadows", "highlights", "whites", "blacks"), has("clarity")
+    return (
+        *(local if has("maskExposure", "vignette", "lensBrightness") else (plain_gain,)),
+        linear_light,
+        *((tone_regions,) if regions or clarity else ()),
+        contrast_clarity if regions or clarity else plain_contrast,
+        encode,
+        *((tone_curve,) if has("curve") else ()),
+        vibrance_saturation if has("vibrance", "saturation") else plain_saturation,
+        quantize,
+    )
+
+
+def narrow(dims: DataFrame, stages) -> DataFrame:
+    """``render_table`` without the constants that none of ``stages`` reads: they are copied with every pixel."""
+    if plain_gain in stages:
+        dims = _with(dims, kg="named_struct('gain', kg.gain, 'wb_r', kg.wb_r, 'wb_g', kg.wb_g, 'wb_b', kg.wb_b)")
+    if plain_contrast in stages:
+        dims = _with(dims, kt="named_struct('contrast', kt.contrast)")
+    return dims if tone_curve in stages else dims.drop("kc")
+
+
 def tone(px: DataFrame, stages=ROW_STAGES) -> DataFrame:
     """Run the row stages on pixels joined with ``width``, ``height`` and the struct ``k``."""
     # non-null inputs keep null checks out of the pixel loop
@@ -348,7 +389,7 @@ def grade(
     """Render every photo with its recipe.
 
     Order: optional preview size, rotation and flips, tone stages, detail. One look at the recipes
-    tells which steps any photo needs; the others are not planned. Pixels are read once, and a
+    tells which steps any photo needs; the others are not planned, nor are stages whose keys recipes lack. Pixels are read once, and a
     second time only if some photos need the 3x3 stage, so that all others pass without a shuffle.
     ``extra_stages`` are DataFrame -> DataFrame functions run on the graded bytes.
     """
@@ -357,7 +398,8 @@ def grade(
         images = preview_size(images, max_edge).select(
             "image_id", F.col("out_width").alias("width"), F.col("out_height").alias("height")
         )
-    dims = render_table(images, recipes)
+    stages = stages_needed(recipes.columns)
+    dims = narrow(render_table(images, recipes), stages)
     fine = "k.denoise <> 0D OR k.sharpen <> 0D"
     need, small, bytes_ = steps_needed(recipes), has_few_rows(images), S.PIXELS.fieldNames()
 
@@ -367,7 +409,7 @@ def grade(
             px = turn_any(px, some.filter("geo.quarter < 0"))
         elif need["turned"]:
             px = turn_quarters(px)
-        return tone(px)
+        return tone(px, stages)
 
     if need["fine"]:
         out = rendered(dims.filter(f"NOT ({fine})")).select(*bytes_)

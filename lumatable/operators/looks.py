@@ -390,12 +390,20 @@ def match_strength(original: DataFrame, matched: DataFrame, strength: float) ->
     )
 
 
+# features that a matched key is formed from
+KEY_FEATURES = {
+    "exposure": ("p25", "p50", "p75"), "temperature": ("neutral_b", "neutral_confidence"),
+    "tint": ("neutral_a", "neutral_confidence"), "saturation": ("density_slope",),
+}
+
+
 def closed_loop_report(
     pixels: DataFrame, images: DataFrame, recipes: DataFrame, keys=("exposure", "temperature", "tint", "saturation")
 ) -> DataFrame:
     """Grade photos with known edits, match them back and report the recovery error per key.
 
-    Both sides are brought to the size of the analysis preview first.
+    Both sides are brought to the size of the analysis preview first. Only features that the known keys are
+    matched by are taken of the pixels.
     """
     from .geometry import preview, preview_size
     from .grade import grade, settled
@@ -406,11 +414,14 @@ def closed_loop_report(
         "image_id", F.col("out_width").alias("width"), F.col("out_height").alias("height")
     )
     graded = settled(grade(small, sizes, recipes), ["image_id", "x", "y"], list("rgba"))
-    ref = look_features(graded).withColumn("image_id", -F.col("image_id") - 1)
+    known = [k for k in keys if k in recipes.columns]
+    wanted = {n for k in known for n in KEY_FEATURES.get(k, ())}
+    ref = look_features(graded, wanted).withColumn("image_id", -F.col("image_id") - 1)
     pairs = images.select(F.col("image_id").alias("target_id"), (-F.col("image_id") - 1).alias("ref_id"))
-    features = cut_lineage(look_features(small).unionByName(ref))  # both sides of a pair read it
+    features = cut_lineage(look_features(small, wanted).unionByName(ref))  # both sides of a pair read it
+    others = [n for n, _ in CURVE_KNOTS] + [n for columns in KEY_FEATURES.values() for n in columns]
+    features = features.withColumns({n: F.lit(None).cast("double") for n in others if n not in wanted})
     matched = match_reference(pairs, features, "full")
-    known = [k for k in keys if k in recipes.columns]
     truth = recipes.select(F.col("image_id").alias("target_id"), *[F.col(k).alias(f"_true_{k}") for k in known])
     errors = F.array(*[
         F.struct(F.lit(k).alias("param"), F.abs(F.col(k) - F.col(f"_true_{k}")).alias("error")) for k in known

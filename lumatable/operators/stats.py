@@ -309,9 +309,17 @@ def wb_eyedropper(pixels: DataFrame, samples: DataFrame, reach: int = 4) -> Data
     )
 
 
-def look_features(pixels: DataFrame) -> DataFrame:
+# what look_features forms from counts alone
+COUNTED = {"p01", "p05", "p10", "p25", "p50", "p75", "p90", "p95", "p99", "robust_contrast", "toe", "shoulder"}
+COUNTED |= {"neutral_a", "neutral_b", "neutral_confidence"}
+
+
+def look_features(pixels: DataFrame, wanted=None) -> DataFrame:
     """One wide row per photo: quantiles, bands, zones, neutral centre and density slope.
 
+    ``wanted`` names the columns to form (all of them if not given). If counts are enough for them, the pixels
+    are read once and nothing is summed.
+
     Give it previews (``geometry.preview``) of a library. One aggregate has the sums, a row a photo. The
     other counts by (photo, kind, value): a pixel is at most three rows there (luma level, two steps of
     near-neutral colour) that carry a count and no sums, so its groups are narrow. Medians and quantiles are
@@ -320,7 +328,7 @@ def look_features(pixels: DataFrame) -> DataFrame:
     px = perceptual(whole_pixels(pixels)).withColumn("level", luma_level(F.col("r"), F.col("g"), F.col("b")))
     l, chroma, rad = clamp01(F.col("lab_l")), F.col("chroma"), F.col("hue") * (math.pi / 180.0)
     near = (chroma < 0.04) & F.col("lab_l").between(0.2, 0.9)
-    sums = {"n": F.lit(1.0), "near": F.col("near").cast("double"), "c": chroma, "l": F.col("lab_l")}
+    sums = {"n": F.lit(1.0), "c": chroma, "l": F.col("lab_l")}
     sums |= {"cl": chroma * F.col("lab_l"), "ll": F.col("lab_l") * F.col("lab_l")}
     zones = {
         "shadow": (1.0 - l) * (1.0 - l), "mid": F.greatest(F.lit(0.0), 1.0 - F.abs(l - 0.5) * 2.0), "high": l * l,
@@ -335,11 +343,11 @@ def look_features(pixels: DataFrame) -> DataFrame:
         "image_id", "level", near.alias("near"), step("lab_a").alias("sa"), step("lab_b").alias("sb"),
         "lab_l", "lab_a", "lab_b", "chroma", "hue", F.sin(rad).alias("sin_h"), F.cos(rad).alias("cos_h"),
     )
-    kinds = F.expr(
-        "explode(CASE WHEN near THEN array(named_struct('kind', 1, 'v', cast(level as bigint)), "
-        "named_struct('kind', 2, 'v', sa), named_struct('kind', 3, 'v', sb)) "
-        "ELSE array(named_struct('kind', 1, 'v', cast(level as bigint))) END) AS e"
-    )
+    asked = lambda *columns: wanted is None or not {*columns}.isdisjoint(wanted)
+    luma, some = "named_struct('kind', 1, 'v', cast(level as bigint))", ""
+    some += ", named_struct('kind', 2, 'v', sa)" if asked("neutral_a", "neutral_confidence") else ""
+    some += ", named_struct('kind', 3, 'v', sb)" if asked("neutral_b") else ""
+    kinds = F.expr(f"explode(CASE WHEN near THEN array({luma}{some}) ELSE array({luma}) END) AS e")
     summed = px.groupBy("image_id").agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()])
     rows = px.select("image_id", kinds)
     merged = rows.groupBy("image_id", F.col("e.kind").alias("kind"), F.col("e.v").alias("v")).agg(F.count("*").alias("m"))
@@ -357,30 +365,29 @@ def look_features(pixels: DataFrame) -> DataFrame:
     out = c.groupBy("image_id").agg(
         *[quantile(1, p).alias(n) for p, n in names.items()],
         quantile(2, 0.5).alias("neutral_a"), quantile(3, 0.5).alias("neutral_b"),
+        (F.coalesce(F.max(F.when(F.col("kind") == 2, F.col("_all"))), F.lit(0)) / F.max(F.when(F.col("kind") == 1, F.col("_all")))).alias("neutral_confidence"),
     )
-    out = join_large(out, summed, "image_id")
+    if wanted is None or not COUNTED.issuperset(wanted):
+        out = join_large(out, summed, "image_id")
     s = {k: F.col(f"s_{k}") for k in sums}
     over = lambda a, b: F.try_divide(a, F.when(b > 0, b))
-    columns = [F.col(n) for n in names.values()]
-    columns += [
-        (F.col("p90") - F.col("p10")).alias("robust_contrast"), (F.col("p05") - F.col("p01")).alias("toe"),
-        (F.col("p99") - F.col("p95")).alias("shoulder"),
-    ]
+    columns = {n: F.col(n) for n in names.values()}
+    columns |= {
+        "robust_contrast": F.col("p90") - F.col("p10"), "toe": F.col("p05") - F.col("p01"), "shoulder": F.col("p99") - F.col("p95"),
+    }
     for n in HUE_BANDS:
         w = s[f"{n}_w"]
         angle = F.pmod(F.atan2(s[f"{n}_ws"], s[f"{n}_wc"]) * (180.0 / math.pi), F.lit(360.0))
-        columns += [
-            F.when(w > 0, w).alias(f"{n}_mass"), F.when(w > 0, angle).alias(f"{n}_hue"),
-            over(s[f"{n}_wch"], w).alias(f"{n}_chroma"), over(s[f"{n}_wl"], w).alias(f"{n}_lightness"),
-        ]
+        columns |= {
+            f"{n}_mass": F.when(w > 0, w), f"{n}_hue": F.when(w > 0, angle),
+            f"{n}_chroma": over(s[f"{n}_wch"], w), f"{n}_lightness": over(s[f"{n}_wl"], w),
+        }
     for z in zones:
-        columns += [over(s[f"{z}_wa"], s[f"{z}_w"]).alias(f"{z}_a"), over(s[f"{z}_wb"], s[f"{z}_w"]).alias(f"{z}_b")]
+        columns |= {f"{z}_a": over(s[f"{z}_wa"], s[f"{z}_w"]), f"{z}_b": over(s[f"{z}_wb"], s[f"{z}_w"])}
     spread_l = s["ll"] * s["n"] - s["l"] * s["l"]
-    columns += [
-        F.col("neutral_a"), F.col("neutral_b"), (s["near"] / s["n"]).alias("neutral_confidence"),
-        over(s["cl"] * s["n"] - s["c"] * s["l"], spread_l).alias("density_slope"),
-    ]
-    return out.select("image_id", *columns)
+    columns |= {n: F.col(n) for n in ("neutral_a", "neutral_b", "neutral_confidence")}
+    columns["density_slope"] = over(s["cl"] * s["n"] - s["c"] * s["l"], spread_l)
+    return out.select("image_id", *[v.alias(n) for n, v in columns.items() if asked(n)])
 
 
 # --- colour stages built on the same space ----------------------------------
