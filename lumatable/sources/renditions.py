@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
 from ..operators.capture import stage_hashes
 from ..operators.grade import complete_recipes, grade
-from ..plans.joins import has_few_rows, join_large, join_per_image
+from ..plans.joins import BROADCAST_ROWS, join_large, join_per_image
 from ..plans.session import cut_lineage
 
+#: Pixels that one round of ``refresh_renditions`` exchanges and writes, a bucket at least: bounds the scratch disk.
+PIXELS_A_ROUND = 50_000_000
+#: Ids alone are far narrower than the rows that ``BROADCAST_ROWS`` is meant for.
+BROADCAST_IDS = 10 * BROADCAST_ROWS
+
 PIXEL_SCHEMA = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in S.PIXELS.fields)
 
 
@@ -102,6 +109,31 @@ def read_renditions(spark: SparkSession, path: str) -> DataFrame:
     return _stored(spark, path, f"{PIXEL_SCHEMA}, image_bucket int").drop("image_bucket")
 
 
+def _rounds(photos: dict[int, int], pixels: dict[int, int]) -> list[list[int]]:
+    """The buckets of ``photos`` in groups of at most ``PIXELS_A_ROUND`` pixels, or of one bucket."""
+    rounds, held = [], 0
+    for bucket in sorted(photos):
+        n = pixels.get(bucket) or 0
+        if not rounds or held + n > PIXELS_A_ROUND:
+            rounds.append([])
+            held = 0
+        rounds[-1].append(bucket)
+        held += n
+    return rounds
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession):
+    """Shuffle files go when the query that made them ends; otherwise they stay until the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def refresh_renditions(
     path: str, pixels: DataFrame, images: DataFrame, recipes: DataFrame, render=grade, buckets: int = 64
 ) -> DataFrame:
@@ -112,32 +144,39 @@ def refresh_renditions(
     written: the other photos of such a bucket are copied, all other files stay as they are. The first call
     finds nothing stored and renders everything.
 
+    Buckets are done in rounds of a bounded number of pixels, so that beside the table itself the disk holds one
+    round's exchange and new files, however large the library.
+
     Pixels are replaced before hashes. A run that fails in between leaves old hashes, so the next run
     does the same photos again. The number of buckets must stay the same for a table.
     """
     spark = pixels.sparkSession
     now = render_hashes(images, recipes).withColumn("image_bucket", _bucket(buckets))
-    hashes = f"{path}-hashes"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema.fields)
-    stored = _stored(spark, hashes, schema)
-    now, stale = cut_lineage(now), cut_lineage(stale_renditions(now, stored))
-    # at most one number per bucket
-    touched = [r[0] for r in stale.select(_bucket(buckets).alias("b")).distinct().collect()]
-    if not touched:
-        return stale
-    here = now.filter(F.col("image_bucket").isin(touched))
-    filled = {r[0] for r in here.select("image_bucket").distinct().collect()}
-    again = stale.filter("reason != 'removed'").select("image_id")
-    few = has_few_rows(stale)
-    fresh = render(
-        *[join_per_image(df, again, few, how="left_semi") for df in (pixels, images, recipes)]
-    )
-    columns = S.PIXELS.fieldNames()
-    old = _stored(spark, path, f"{PIXEL_SCHEMA}, image_bucket int").filter(F.col("image_bucket").isin(touched))
-    kept = join_per_image(old, stale.select("image_id"), few, how="left_anti")
-    whole = fresh.select(*columns).unionByName(kept.select(*columns)).withColumn("image_bucket", _bucket(buckets))
-    _write_buckets(whole, path, ["image_id", F.floor(F.col("y") / 1024)])
-    _drop_buckets(spark, path, [b for b in touched if b not in filled])
-    _write_buckets(here, hashes, [])
-    _drop_buckets(spark, hashes, [b for b in touched if b not in filled])
+    stored = _stored(spark, f"{path}-hashes", schema)
+    with _shuffles_dropped(spark):
+        now, stale = cut_lineage(now), cut_lineage(stale_renditions(now, stored))
+        # at most one row per bucket
+        by_bucket = lambda df, n: {r[0]: r[1] for r in df.groupBy(_bucket(buckets).alias("b")).agg(n).collect()}
+        photos = by_bucket(stale, F.count("*"))
+        if not photos:
+            return stale
+        here = now.filter(F.col("image_bucket").isin([*photos]))
+        filled = {r[0] for r in here.select("image_bucket").distinct().collect()}
+        rounds = _rounds(photos, by_bucket(images, F.sum(F.col("width").cast("long") * F.col("height"))))
+        for some in rounds:
+            inputs, changed = (pixels, images, recipes), stale
+            if len(rounds) > 1:
+                *inputs, changed = (df.filter(_bucket(buckets).isin(some)) for df in (*inputs, stale))
+            again = changed.filter("reason != 'removed'").select("image_id")
+            few = sum(photos[b] for b in some) <= BROADCAST_IDS
+            fresh = render(*[join_per_image(df, again, few, how="left_semi") for df in inputs])
+            columns = S.PIXELS.fieldNames()
+            old = _stored(spark, path, f"{PIXEL_SCHEMA}, image_bucket int").filter(F.col("image_bucket").isin(some))
+            kept = join_per_image(old, changed.select("image_id"), few, how="left_anti")
+            whole = fresh.select(*columns).unionByName(kept.select(*columns)).withColumn("image_bucket", _bucket(buckets))
+            _write_buckets(whole, path, ["image_id", F.floor(F.col("y") / 1024)])
+        _drop_buckets(spark, path, [b for b in photos if b not in filled])
+        _write_buckets(here, f"{path}-hashes", [])
+        _drop_buckets(spark, f"{path}-hashes", [b for b in photos if b not in filled])
     return stale

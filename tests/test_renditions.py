@@ -92,6 +92,40 @@ def test_empty_library_and_failed_run(spark, folder, library):
     check(spark, path, px, images, bump)
 
 
+def test_rounds_bound_what_is_on_disk_at_once(spark, folder, library, monkeypatch):
+    """All pixels went through one exchange, and its files stayed on disk while the next table was written."""
+    px, images, recipes = library
+    path, seen, bound = f"{folder}/out", [], 8 * 20
+    monkeypatch.setattr(R, "PIXELS_A_ROUND", bound, raising=False)
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    exchanged = lambda: {f.getName() for f in map(blocks.getAllFiles().apply, range(blocks.getAllFiles().size()))}
+
+    def render(some, *rest):
+        out = G.grade(some, *rest)
+        seen.append(out.count())
+        return out
+
+    steps = (
+        (images.filter("image_id % 4 <> 1"), recipes),
+        (images.filter("image_id <> 2"), recipes.withColumn("exposure", F.expr("exposure + CASE WHEN image_id % 5 = 2 THEN 0.5D ELSE 0D END"))),
+    )
+    for library_now, wanted in steps:
+        seen.clear()
+        before = exchanged()
+        R.refresh_renditions(path, px, library_now, wanted, render=render, buckets=12)
+        assert not any(n.startswith("shuffle_") for n in exchanged() - before)
+        assert len(seen) > 1 and max(seen) <= bound
+        check(spark, path, px, library_now, wanted)
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    assert R.refresh_renditions(path, px, library_now, wanted, buckets=12).count() == 0
+
+
+def test_rounds_hold_every_bucket_once(monkeypatch):
+    monkeypatch.setattr(R, "PIXELS_A_ROUND", 10)
+    assert R._rounds({3: 1, 1: 2, 2: 1, 7: 9, 9: 1}, {1: 4, 2: 6, 3: 30, 7: None}) == [[1, 2], [3], [7, 9]]
+    assert R._rounds({5: 1}, {}) == [[5]] and R._rounds({}, {}) == []
+
+
 @pytest.mark.parametrize("angle, flip", [(33.0, 0.0), (-71.5, 1.0), (0.3, 0.0), (45.0, 0.0)])
 def test_smooth_turn_against_four_taps(spark, angle, flip):
     w, h = 9, 6
